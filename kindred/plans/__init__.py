@@ -1,4 +1,6 @@
 """Registered queries: operators bound to the driver tables, each with its SQL where SQL can say it."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import curation, retrieval, tables
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "curation", "retrieval", "tables"]
