@@ -316,3 +316,18 @@ def test_best_fit_decreasing_uses_few_bins():
     for name, first, last, b in plan:
         used[b] += name * (last - first)
     assert max(used.values()) <= 10 and len(used) == 5
+
+
+def test_null_ids_and_columns_do_no_harm(spark):
+    """Null ids, languages and sources give rows like any other."""
+    docs = spark.createDataFrame([(None, "a b c d e f", None, None), (None, None, None, None), (1, "a b c d e f", None, None)], "doc_id long, text string, lang string, source string")
+    path = public_tokenizers.path
+    assert tokens.count_tokens(docs, path("byte_bpe_50k.json")).count() == 3
+    assert ngram_join.jaccard_components(docs).count() == 3
+    assert exact_dedup.exact_duplicates(docs).count() == 3
+    assert repetition.quality_rules(docs).count() == 3
+    assert sum(r.length for r in packing.pack(docs, path("word_bpe_49k.json")).collect()) == 15
+    assert secrets.scan(docs).count() == 0
+    assert kneser_ney.quality_classifier(docs, docs.select("doc_id")).count() == 3
+    assert toxicity.toxicity(docs, docs.select("doc_id", docs.doc_id.cast("int").alias("toxic"))).count() == 3
+    assert mixing.mix_sources(docs).count() == 3 and sharding.shard(docs).count() == 3
