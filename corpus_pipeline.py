@@ -15,7 +15,8 @@ from kindred.llm.common import written
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within their language's limit."""
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1")
-    return kneser_ney.quality_classifier(docs, trusted).filter("kept").select(*docs.columns)
+    judged = kneser_ney.quality_classifier(docs, trusted, names=("_perplexity", "_threshold", "_kept"))
+    return judged.filter("_kept").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
