@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.shared import numbered_by
 from ..sources.tables import insert_ignore
 from .gates import null_tolerant_gate
 
@@ -121,11 +122,12 @@ def drop_rare_classes(df: DataFrame, label: str, entity: str, least: int = 3) ->
 def group_split(df: DataFrame, group: str, train: float = 0.70, val: float = 0.15, seed: int = 42) -> DataFrame:
     """``group, fold``: whole groups, test first, then validation, by a hash order of the groups' names."""
     groups = df.select(group).distinct()
-    n = F.count("*").over(Window.partitionBy())
-    place = F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(group).cast("string"))), group))
-    test = F.floor(n * round(1 - train - val, 6) + 0.5)
-    held = test + F.floor((n - test) * val / (train + val) + 0.5)
-    return groups.select(group, F.when(place <= test, "test").when(place <= held, "val").otherwise("train").alias("fold"))
+    n = groups.count()
+    test = int((1 - train - val) * n + 0.5 + 1e-9)
+    held = test + int((n - test) * val / (train + val) + 0.5)
+    place = F.col("_place")
+    drawn = numbered_by(groups, F.md5(F.concat(F.lit(f"{seed}|"), F.col(group).cast("string"))), group, "_place")
+    return drawn.select(group, F.when(place <= test, "test").when(place <= held, "val").otherwise("train").alias("fold"))
 
 
 def leakage(assigned: DataFrame, group: str, fold: str = "fold") -> DataFrame:
@@ -154,7 +156,8 @@ def coverage_select(df: DataFrame, label: str, entity: str, id_col: str, target:
 
     An entity's class is its most frequent label (ties by name).  With ``second``, classes of a second label that the
     first pass left uncovered get one entity each.  The fill takes entities while the running sum of rows stays under
-    1.15 times the target; skipping single large entities on the way is left out, as it is sequential.
+    1.15 times the target; skipping single large entities on the way is left out, as it is sequential.  The running sum
+    is over entities (a row each), not over items.
     """
     def classes(name: str) -> DataFrame:
         votes = df.groupBy(entity, name).agg(F.count("*").alias("n"))
@@ -181,7 +184,7 @@ def stratified_sample(df: DataFrame, strata: list[tuple[str, Column, float]], n:
     for name, condition, _ in reversed(strata):
         named = F.when(condition, name).otherwise(named)
     marked = df.withColumn("stratum", F.coalesce(named, F.lit("random")))
-    placed = marked.withColumn("_k", F.row_number().over(Window.partitionBy("stratum").orderBy(hash_order(id_col, seed), id_col)))
+    placed = marked.withColumn("_k", F.row_number().over(Window.partitionBy("stratum").orderBy(hash_order(id_col, seed), id_col))).filter(F.col("_k") <= n)
     quota = S.mapped(F.col("stratum"), {name: int(share * n) for name, _, share in strata}, 0)
     first = placed.withColumn("_first", F.col("_k") <= quota)
     order = Window.orderBy(F.desc("_first"), hash_order(id_col, seed), id_col)

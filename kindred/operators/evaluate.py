@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ def pass_rate(ranks: DataFrame, k: int = 10) -> DataFrame:
 def config_score(groups: list[str], alpha: Column) -> Column:
     """Score of a matrix row under a row of configurations (columns ``w_<group>``, ``w_numeric``)."""
     total = sum((F.col(f"w_{g}") * F.col(g) for g in groups), F.col("w_numeric") * F.col("numeric"))
-    return alpha * total + (1 - alpha) * F.col("jaccard")
+    return F.round(alpha * total + (1 - alpha) * F.col("jaccard"), 9)
 
 
 def rescore(matrix: DataFrame, configs: DataFrame, groups: list[str], ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
@@ -64,6 +66,47 @@ def rescore_many(matrix: DataFrame, configs: DataFrame, groups: list[str], ks: t
     return _recalls(matrix, configs, better, ks)
 
 
+def rescore_bulk(matrix: DataFrame, configs: DataFrame, groups: list[str], ks: tuple[int, ...] = (1, 3, 5), pairs_per_task: int = 200) -> DataFrame:
+    """:func:`rescore_many` for thousands of configurations: a matrix product per pair, hits summed up per task.
+
+    What a task returns is a row per configuration, however many pairs it has seen; the list of configurations is
+    written by the caller and travels to the tasks.
+    """
+    rows = configs.select("config_id", *[f"w_{g}" for g in groups], "w_numeric", "alpha", "use_form", "use_surface", "use_size").toPandas()
+    names = rows["config_id"].tolist()
+    weights = rows[[*[f"w_{g}" for g in groups], "w_numeric"]].to_numpy(float).T * rows["alpha"].to_numpy(float)
+    rest = 1 - rows["alpha"].to_numpy(float)
+    use = rows[["use_form", "use_surface", "use_size"]].to_numpy(bool)
+    shared = matrix.sparkSession.sparkContext.broadcast((names, weights, rest, use))
+    total = matrix.select("query_id", "target_id").distinct().count()
+    tasks = max(1, -(-total // pairs_per_task))
+
+    def hits(table: pa.Table) -> pa.Table:
+        names, weights, rest, use = shared.value
+        table = table.sort_by([("query_id", "ascending"), ("target_id", "ascending")])
+        column = lambda c: table.column(c).to_numpy()
+        query, target, cand = column("query_id"), column("target_id"), column("cand_id")
+        x = np.column_stack([column(c) for c in (*groups, "numeric")]).astype(float)
+        jaccard, passed = column("jaccard").astype(float), np.column_stack([column(f"gate_{g}") for g in ("form", "surface", "size")]).astype(bool)
+        cuts = np.flatnonzero(np.append(True, (query[1:] != query[:-1]) | (target[1:] != target[:-1]))).tolist() + [len(query)]
+        counts = np.zeros((len(ks), len(names)), np.int64)
+        for a, b in zip(cuts, cuts[1:]):
+            own = np.flatnonzero(cand[a:b] == target[a])
+            if not len(own):
+                continue
+            score = np.round(x[a:b] @ weights + jaccard[a:b, None] * rest, 9)
+            open_ = (~use[None] | passed[a:b, None]).all(axis=2)
+            better = ((score > score[own[0]]) & open_).sum(axis=0)
+            for k, most in enumerate(ks):
+                counts[k] += (better < most) & open_[own[0]]
+        return pa.table({"config_id": pa.array(names, pa.string()), **{f"_h{k}": pa.array(c) for k, c in zip(ks, counts)}})
+
+    block = F.pmod(F.xxhash64("query_id", "target_id"), F.lit(tasks))
+    parts = matrix.groupBy(block).applyInArrow(hits, "config_id string, " + ", ".join(f"_h{k} long" for k in ks))
+    summed = parts.groupBy("config_id").agg(*[F.sum(f"_h{k}").alias(f"_h{k}") for k in ks])
+    return summed.select("config_id", F.lit(total).cast("long").alias("total"), *[(F.col(f"_h{k}") / total).alias(f"recall_{k}") for k in ks])
+
+
 def _gated(matrix: DataFrame, configs: DataFrame) -> DataFrame:
     passes = (~F.col("use_form") | F.col("gate_form")) & (~F.col("use_surface") | F.col("gate_surface")) & (~F.col("use_size") | F.col("gate_size"))
     return matrix.join(F.broadcast(configs), passes)  # configurations: a list that the caller writes

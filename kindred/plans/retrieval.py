@@ -477,11 +477,26 @@ def rescore(spark, d):
     return six(E.rescore(matrix_with_targets(spark, d), configurations(spark), GROUPS))
 
 
-@query(f"WITH {MATRIX}, {CONFIG_SQL}, {SCORED_CONF}, tg AS (SELECT *, max(score) FILTER (cand_id = target_id) OVER (PARTITION BY config_id, query_id, target_id) AS ts FROM sc), r AS (SELECT config_id, query_id, target_id, count(*) FILTER (score > ts) + 1 AS r FROM tg WHERE ts IS NOT NULL GROUP BY 1, 2, 3) {RECALL_CONF}")
+RESCORE_MANY = f"WITH {MATRIX}, {CONFIG_SQL}, {SCORED_CONF}, tg AS (SELECT *, max(score) FILTER (cand_id = target_id) OVER (PARTITION BY config_id, query_id, target_id) AS ts FROM sc), r AS (SELECT config_id, query_id, target_id, count(*) FILTER (score > ts) + 1 AS r FROM tg WHERE ts IS NOT NULL GROUP BY 1, 2, 3) {RECALL_CONF}"
+
+
+@query(RESCORE_MANY)
 def rescore_many(spark, d):
     return six(E.rescore_many(matrix_with_targets(spark, d), configurations(spark), GROUPS))
 
 
+@query(RESCORE_MANY)
+def rescore_bulk(spark, d):
+    return six(E.rescore_bulk(matrix_with_targets(spark, d), configurations(spark), GROUPS))
+
+
+@query()
+def sweep(spark, d):
+    """The ten best of 4,000 sampled configurations (100 weight vectors by gates and alphas)."""
+    m = matrix_with_targets(spark, d)
+    return E.best(E.rescore_bulk(m, E.sample_weights(m, 100, GROUPS), GROUPS))
+
+
 @query(f"WITH {MATRIX}, {CONFIG_SQL}, {SCORED_CONF}, r AS (SELECT config_id, query_id, target_id, r FROM (SELECT *, row_number() OVER (PARTITION BY config_id, query_id, target_id ORDER BY score DESC, cand_id) AS r FROM sc) WHERE cand_id = target_id), x AS ({RECALL_CONF}) SELECT * FROM x WHERE config_id IN ('flat', 'first', 'gated')")
 def benchmark_configs(spark, d):
     return six(E.rescore(matrix_with_targets(spark, d), configurations(spark).filter("config_id <> 'vocabulary'"), GROUPS))
