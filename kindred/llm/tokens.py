@@ -101,7 +101,7 @@ def pretoken_starts(classes: np.ndarray, chunk: int = 256) -> np.ndarray:
 class Counter(dict):
     """The byte transducer: ``self[state << 8 | byte]`` is (next state << 8, change in the number of tokens)."""
 
-    MOST = 700_000
+    MOST = 400_000
 
     def __init__(self, vocabulary: dict[bytes, int], merges: dict[tuple[bytes, bytes], int]):
         super().__init__()
@@ -228,7 +228,7 @@ class CharacterClasses:
         return WHITE
 
 
-def counts_of(texts: pa.Array, vocabulary: dict, words: dict[bytes, int], counter: Counter, classes: CharacterClasses, most_words: int = 600_000) -> np.ndarray:
+def counts_of(texts: pa.Array, vocabulary: dict, words: dict[bytes, int], counter: Counter, classes: CharacterClasses, most_words: int = 400_000) -> np.ndarray:
     """Number of tokens of each text."""
     raw, at = flat_text(texts)
     whole = raw.tobytes()
@@ -293,7 +293,7 @@ def counts_of(texts: pa.Array, vocabulary: dict, words: dict[bytes, int], counte
     return extra + row_sums(numbers[coded.indices.to_numpy()], np.searchsorted(first, at))
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", piece_bytes: int = 16 << 20) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", piece_bytes: int = 4 << 20) -> DataFrame:
     """One row per row of ``docs``: ``id_col, n_bytes, n_tokens``; a null text counts as empty (0 tokens).
 
     ``tokenizer`` is the path of a byte-level BPE file; its tables (a bounded size, read on the driver) travel to the
