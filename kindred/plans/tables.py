@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import curate, normalize
 from ..sources import tables as T
+from ..sources.shared import shared_folder
 from .bindings import SIZE_BINS, known_pairs, t
 from .registry import query
 
@@ -104,6 +107,14 @@ def dataset_stats(spark, d):
     return p.agg(F.count("*").alias("total")).join(F.broadcast(embedded)).join(F.broadcast(known_pairs(spark, d).agg(F.count("*").alias("pairs"))))
 
 
+@query("SELECT p_type, count(*) AS n, max(p_size) AS largest FROM part GROUP BY 1")
+def write_report(spark, d):
+    """A report written as JSON lines to the shared folder and read back."""
+    path = f"{shared_folder(spark)}/kindred-{uuid.uuid4().hex}/report"
+    T.write_report(t(spark, d, "part").groupBy("p_type").agg(F.count("*").alias("n"), F.max("p_size").alias("largest")), path)
+    return spark.read.schema("p_type string, n long, largest int").json(path)
+
+
 # --- nested access and scalar expressions
 
 
