@@ -20,12 +20,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, components, mix, ordinals, pieces_of, written
+from .common import Words, components, mix, ordinals, pieces_of, removed, written
 
-REGION = 0.25
+REGION = 0.22
 
 
 def row_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,15 +68,19 @@ def signatures(gram: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame, id_col: str, text: str, n: int, percent: int, piece_bytes: int) -> DataFrame:
-    """``id, n, sid, low``: size, signature of the whole set (sets are known by it; an empty set is its own) and its
-    first elements by hash (those in the region, and as many as the longest prefix needs)."""
+    """``id, row, n, sid, regional, low``: a number for the row, size, signature of the whole set (sets are known by it;
+    an empty set is its own), the number of elements in the region, and the first elements by hash (those in the
+    region, and as many as the longest prefix needs)."""
     top = np.uint64(int(REGION * 2.0**64))
 
     def made(batches):
+        next_row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for piece in pieces_of(batch, "t", piece_bytes):
                 gram, at = row_sets(piece.column("t"), n)
                 size = np.diff(at)
+                rows = np.arange(next_row, next_row + len(size))
+                next_row += len(size)
                 # an empty set is known by its document, so that empty texts are not one hot key
                 sid = np.where(size > 0, signatures(gram, at), mix(pc.fill_null(piece.column("i"), 0).to_numpy().astype(np.uint64)).view(np.int64))
                 rank = np.arange(len(gram)) - np.repeat(at[:-1], size)
@@ -84,28 +89,29 @@ def set_rows(docs: DataFrame, id_col: str, text: str, n: int, percent: int, piec
                 count = np.zeros(len(size) + 1, np.int64)
                 np.cumsum(np.bincount(np.repeat(np.arange(len(size)), size)[take], minlength=len(size)), out=count[1:])
                 low = pa.ListArray.from_arrays(pa.array(count, pa.int32()), pa.array(gram[take].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([piece.column("i"), pa.array(size, pa.int64()), pa.array(sid), low], ["id", "n", "sid", "low"])
+                regional = np.bincount(np.repeat(np.arange(len(size)), size)[gram < top], minlength=len(size))
+                columns = [piece.column("i"), *[pa.array(x, pa.int64()) for x in (rows, size, sid, regional)], low]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "row", "n", "sid", "regional", "low"])
 
-    return docs.select(docs[id_col].cast("long").alias("i"), docs[text].alias("t")).mapInArrow(made, "id long, n long, sid long, low array<long>")
+    return docs.select(docs[id_col].cast("long").alias("i"), docs[text].alias("t")).mapInArrow(made, "id long, row long, n long, sid long, regional long, low array<long>")
 
 
-def prefix_elements(sets: DataFrame, percent: int) -> DataFrame:
-    """``id, n, prefix``: the elements that others have too within the (k = 2) prefix of each set, rarest first, with
+def prefix_elements(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """``id, n, prefix`` for ``sets(id, low)`` of ``sizes(id, n, regional)``: the elements that others have too within the (k = 2) prefix of each set, rarest first, with
     their place in the prefix and the number of sets that have them."""
     # unsigned comparison of signed hashes: flip the sign bit
     edge = int(REGION * 2**64) - 2**63
     element = F.col("element")
     inside = element.bitwiseXOR(F.lit(-(2**63))) < F.lit(edge)
-    spread = sets.select("id", "n", F.posexplode("low").alias("place", "element"))
+    spread = sets.select("id", F.posexplode("low").alias("place", "element"))
     counted = spread.withColumn("df", F.count("*").over(Window.partitionBy("element"))).filter("df > 1")
     back = counted.select("id", inside.alias("inside"), F.struct("df", "element", "place").alias("e"))
     mine = back.groupBy("id").agg(
         F.sort_array(F.collect_list(F.when(F.col("inside"), F.col("e")))).alias("rare"), F.sort_array(F.collect_list(F.when(~F.col("inside"), F.struct(F.col("e.place").alias("place"), F.col("e.element").alias("element"), F.col("e.df").alias("df"))))).alias("beyond")
     )
     # elements that no other set has come first and fill their places
-    regional = F.size(F.filter("low", lambda x: x.bitwiseXOR(F.lit(-(2**63))) < F.lit(edge)))
     longest = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 2).cast("int")
-    sized = sets.select("id", "n", regional.alias("regional"), longest.alias("longest")).join(mine, "id")
+    sized = sizes.select("id", "n", "regional", longest.alias("longest")).join(mine, "id")
     alone = F.col("regional") - F.size("rare")
     first = F.transform("rare", lambda e, k: F.struct((k + alone).cast("int").alias("place"), e["element"].alias("element"), e["df"].alias("df")))
     rest = F.transform("beyond", lambda e: F.struct(e["place"].cast("int").alias("place"), e["element"].alias("element"), e["df"].alias("df")))
@@ -208,23 +214,31 @@ def jaccard_components(
     n: int = 5,
     percent: int = 80,
     block: int = 1500,
-    piece_bytes: int = 8 << 20,
+    piece_bytes: int = 4 << 20,
     broadcast_ids: int = 2_000_000,
 ) -> DataFrame:
     """One row per document: ``id_col, n_shingles, component_id``.
 
     Documents link when ``100 |A & B| >= percent |A | B|`` for their sets of word n-grams; ``component_id`` is the
     smallest id reachable by links.  Null texts and texts without words have empty sets and link with nothing.
-    Repeated rows are rows of their own, and rows that share an id but not a text have each its own set.  Equal sets
+    A row without an id links with
+    equal sets only.  Repeated rows are rows of their own, and rows that share an id but not a text have each its own set.  Equal sets
     are collapsed first.  Elements are 64-bit hashes: two different n-grams agree with a chance of about 2**-64 a pair.
     Very long texts are whole; an empty table gives no rows; other columns are ignored.
     """
     sets = written(set_rows(docs, id_col, text, n, percent, piece_bytes), "sets")
-    small = sets.select("id", "n", "sid")
+    small = written(sets.drop("low"), "small")
     # of equal sets one goes on: the one of the smallest id
-    first = written(small.filter("n > 0").groupBy("sid").agg(F.min("id").alias("first")), "first")
-    heads = sets.join(first, ["sid"]).filter("id = first").select(F.col("sid").alias("id"), "n", "low").dropDuplicates(["id"])
-    prefixes = written(prefix_elements(heads, percent), "prefixes")
+    first = small.filter("n > 0").groupBy("sid").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "row")).alias("f"), F.max("n").alias("n"), F.max("regional").alias("regional"))
+    first = written(first.select("sid", F.col("f.id").alias("first"), F.col("f.row").alias("row"), "n", "regional"), "first")
+    if small.count() - first.count() <= broadcast_ids:  # what goes is few: no set moves
+        gone = small.join(first.select("sid", F.col("row").alias("_stays")), "sid", "left").filter("_stays is null or row <> _stays").select("row")
+        heads = sets.join(F.broadcast(gone), "row", "left_anti")
+    else:
+        heads = sets.join(first.select("row"), "row", "left_semi")
+    sizes = first.select(F.col("sid").alias("id"), "n", "regional")
+    prefixes = written(prefix_elements(heads.select(F.col("sid").alias("id"), "low"), sizes, percent), "prefixes")
+    removed(sets)
     keys = written(keys_of(prefixes, percent, light_bound(prefixes)), "keys")
     star = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("key", "least")
     edges = keys.join(star, "key").filter("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
@@ -232,7 +246,7 @@ def jaccard_components(
     rows = families.count()
     # at most rows / block families are larger than a block
     large = F.broadcast(written(families.groupBy("component").agg(F.count("*").alias("_size")).filter(F.col("_size") > block), "large"))
-    sized = families.join(first.withColumnRenamed("sid", "id"), "id")
+    sized = families.join(first.select(F.col("sid").alias("id"), "first"), "id")
     numbered = ordinals(sized.join(large, "component", "left_semi"), ["component"], ["first"], "_k", rows)
     parts = numbered.select("id", "first", "component", F.floor(F.col("_k") / block).cast("int").alias("part"), F.xxhash64("component", F.floor(F.col("_k") / block)).alias("task"))
     # smaller families share a task with others
@@ -256,11 +270,11 @@ def jaccard_components(
         known_sets = elements.select("id", "elements").join(state, "id")
         across = block_links(sides.join(known_sets, ["component", "part"]).select("task", "part", "id", "known", "elements"), percent)
         links = links.union(written(across, "across"))
-    found = components(links).join(first.withColumnRenamed("sid", "id"), "id")
+    found = components(links).join(first.select(F.col("sid").alias("id"), "first"), "id")
     least = written(found.groupBy("component").agg(F.min("first").alias("smallest")), "smallest")
     roots = found.join(least, "component").select(F.col("id").alias("sid"), "smallest")
     named = first.join(roots, "sid", "left").select("sid", F.coalesce("smallest", "first").alias("_component"))
-    out = small.join(named, "sid", "left")
+    out = small.select("id", "n", "sid").join(named, "sid", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("_component", "id").alias("component_id"))
 
 
