@@ -214,6 +214,7 @@ def jaccard_components(
     n: int = 5,
     percent: int = 80,
     block: int = 1500,
+    block_elements: int = 1_500_000,
     piece_bytes: int = 4 << 20,
     broadcast_ids: int = 2_000_000,
 ) -> DataFrame:
@@ -244,30 +245,37 @@ def jaccard_components(
     edges = keys.join(star, "key").filter("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
     families = written(components(edges), "families")
     rows = families.count()
-    # at most rows / block families are larger than a block
-    large = F.broadcast(written(families.groupBy("component").agg(F.count("*").alias("_size")).filter(F.col("_size") > block), "large"))
-    sized = families.join(first.select(F.col("sid").alias("id"), "first"), "id")
-    numbered = ordinals(sized.join(large, "component", "left_semi"), ["component"], ["first"], "_k", rows)
-    parts = numbered.select("id", "first", "component", F.floor(F.col("_k") / block).cast("int").alias("part"), F.xxhash64("component", F.floor(F.col("_k") / block)).alias("task"))
+    sized = written(families.join(first.select(F.col("sid").alias("id"), "first", "n"), "id"), "sized")
+    sums = sized.groupBy("component").agg(F.count("*").alias("_sets"), F.sum("n").alias("_all"))
+    # at most rows / block + elements / block_elements families are larger than a block
+    large = F.broadcast(written(sums.filter((F.col("_sets") > block) | (F.col("_all") > block_elements)), "large"))
+    # members by size, so that a block holds alike sizes: as many sets as its elements allow
+    numbered = ordinals(sized.join(large, "component", "left_semi"), ["component"], ["n", "first"], "_k", rows)
+    scale = F.floor(F.log2("n")).cast("int")
+    fit = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(block_elements) / F.pow(F.lit(2.0), scale + 1)))).cast("long")
+    numbered = numbered.withColumn("part", F.shiftleft(scale.cast("long"), 40) + F.floor(F.col("_k") / fit))
+    parts = numbered.select("id", "first", "n", "component", "part", F.xxhash64("component", "part").alias("task"))
     # smaller families share a task with others
-    tasks = max(1, rows // (block // 2))
-    alone = sized.join(large, "component", "left_anti").select("id", "first", "component", F.lit(0).alias("part"), F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("task"))
+    elements_all = sized.agg(F.sum("n")).first()[0] or 0
+    tasks = max(1, rows // (block // 2), elements_all // (block_elements // 2))
+    alone = sized.join(large, "component", "left_anti").select("id", "first", "n", "component", F.lit(0).cast("long").alias("part"), F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("task"))
     parts = written(parts.union(alone), "parts")
     wanted = parts.select(F.col("first").alias("_wanted"), F.col("id").alias("sid"), "component", "part", "task")
     if rows <= broadcast_ids:
         wanted = F.broadcast(wanted)
     mine = docs.join(wanted, docs[id_col].cast("long") == F.col("_wanted"))
     elements = written(whole_sets(mine, text, n, piece_bytes, ["sid", "component", "part", "task"]).withColumnRenamed("sid", "id"), "elements")
-    links = written(block_links(elements.select("task", F.lit(0).alias("part"), "id", F.col("id").alias("known"), "elements"), percent), "links")
+    links = written(block_links(elements.select("task", F.lit(0).cast("long").alias("part"), "id", F.col("id").alias("known"), "elements"), percent), "links")
     if large.limit(1).count():
         known = components(links).withColumnRenamed("component", "known")
-        state = written(parts.join(large, "component", "left_semi").join(known, "id", "left").select("id", "component", "part", F.coalesce("known", "id").alias("known")), "state")
-        # two blocks are compared unless one component holds both
-        span = state.groupBy("component", "part").agg(F.min("known").alias("lo"), F.max("known").alias("hi"))
+        state = written(parts.join(large, "component", "left_semi").join(known, "id", "left").select("id", "component", "part", "n", F.coalesce("known", "id").alias("known")), "state")
+        # two blocks are compared unless one component holds both or their sizes are too far apart to link
+        span = state.groupBy("component", "part").agg(F.min("known").alias("lo"), F.max("known").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
         x, y = span.alias("x"), span.alias("y")
         pairs = x.join(y, (F.col("x.component") == F.col("y.component")) & (F.col("x.part") < F.col("y.part"))).filter("least(x.lo, y.lo) < greatest(x.hi, y.hi)")
+        pairs = pairs.filter(f"100 * x.most >= {percent} * y.least and 100 * y.most >= {percent} * x.least")
         sides = pairs.select(F.col("x.component").alias("component"), F.xxhash64("x.component", "x.part", "y.part").alias("task"), F.explode(F.array("x.part", "y.part")).alias("part"))
-        known_sets = elements.select("id", "elements").join(state, "id")
+        known_sets = elements.select("id", "elements").join(state.drop("n"), "id")
         across = block_links(sides.join(known_sets, ["component", "part"]).select("task", "part", "id", "known", "elements"), percent)
         links = links.union(written(across, "across"))
     found = components(links).join(first.select(F.col("sid").alias("id"), "first"), "id")

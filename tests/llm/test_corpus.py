@@ -104,7 +104,7 @@ def test_ngram_join_equals_brute_force(spark, seed, n, percent, block):
 def test_light_and_heavy_sets_find_the_same(spark, light, monkeypatch):
     monkeypatch.setattr(ngram_join, "light_bound", lambda prefixes: light)
     texts = near_copies(9, groups=8)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(table(spark, texts), n=3, percent=80, block=5).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(table(spark, texts), n=3, percent=80, block=5, block_elements=400).collect()}
     assert [got[k] for k in range(len(texts))] == brute_components(texts, 3, 80)
 
 
