@@ -26,7 +26,7 @@ from .common import Words, ordinals, pieces_of, worker_cache, written
 class WordTokens:
     """Token ids of words by the tokenizers library, kept for words seen before (as little-endian 32-bit bytes)."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -246,7 +246,7 @@ def pack(
     last: int = 1,
     grain: int = 8,
     block: int = 256,
-    piece_bytes: int = 6 << 20,
+    piece_bytes: int = 4 << 20,
 ) -> DataFrame:
     """One row per piece: ``id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
