@@ -141,7 +141,7 @@ def repetition(
     least: int = 10,
     most_covered: float = 0.5,
     most_longest: int = 50,
-    piece_bytes: int = 8 << 20,
+    piece_bytes: int = 3 << 20,
 ) -> DataFrame:
     """One row per row of ``docs`` with counts, repeats and a verdict.
 
