@@ -148,8 +148,9 @@ def linked_within(members: list[np.ndarray], names: np.ndarray, group: np.ndarra
     """
     size = np.array([len(m) for m in members])
     flat = np.concatenate(members)
-    owner = np.repeat(np.arange(len(members)), size)
-    _, element = np.unique(flat, return_inverse=True)
+    owner = np.repeat(np.arange(len(members), dtype=np.int32), size)
+    element = np.unique(flat, return_inverse=True)[1].astype(np.int32)
+    del flat
     by = np.argsort(element, kind="stable")
     holder, begin = owner[by], np.concatenate([[0], np.cumsum(np.bincount(element))])
     at = np.concatenate([[0], np.cumsum(size)])
@@ -213,8 +214,8 @@ def jaccard_components(
     text: str = "text",
     n: int = 5,
     percent: int = 80,
-    block: int = 1500,
-    block_elements: int = 1_500_000,
+    block: int = 4000,
+    block_elements: int = 2_500_000,
     piece_bytes: int = 4 << 20,
     broadcast_ids: int = 2_000_000,
 ) -> DataFrame:
@@ -269,12 +270,18 @@ def jaccard_components(
     if large.limit(1).count():
         known = components(links).withColumnRenamed("component", "known")
         state = written(parts.join(large, "component", "left_semi").join(known, "id", "left").select("id", "component", "part", "n", F.coalesce("known", "id").alias("known")), "state")
-        # two blocks are compared unless one component holds both or their sizes are too far apart to link
+        # two blocks are compared unless one component holds both, or their sizes are too far apart to link
         span = state.groupBy("component", "part").agg(F.min("known").alias("lo"), F.max("known").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
         x, y = span.alias("x"), span.alias("y")
         pairs = x.join(y, (F.col("x.component") == F.col("y.component")) & (F.col("x.part") < F.col("y.part"))).filter("least(x.lo, y.lo) < greatest(x.hi, y.hi)")
         pairs = pairs.filter(f"100 * x.most >= {percent} * y.least and 100 * y.most >= {percent} * x.least")
-        sides = pairs.select(F.col("x.component").alias("component"), F.xxhash64("x.component", "x.part", "y.part").alias("task"), F.explode(F.array("x.part", "y.part")).alias("part"))
+        pairs = pairs.select(F.col("x.component").alias("component"), F.col("x.part").alias("p"), F.col("y.part").alias("q"))
+        # sets that link share a key, so only blocks with a common key meet
+        held = keys.join(state.select("id", "component", "part"), "id").select("key", "component", "part").distinct()
+        other = held.select("key", F.col("part").alias("q"))
+        met = held.withColumnRenamed("part", "p").join(other, "key").filter("p < q").select("component", "p", "q").distinct()
+        pairs = pairs.join(met, ["component", "p", "q"], "left_semi")
+        sides = pairs.select("component", F.xxhash64("component", "p", "q").alias("task"), F.explode(F.array("p", "q")).alias("part"))
         known_sets = elements.select("id", "elements").join(state.drop("n"), "id")
         across = block_links(sides.join(known_sets, ["component", "part"]).select("task", "part", "id", "known", "elements"), percent)
         links = links.union(written(across, "across"))
