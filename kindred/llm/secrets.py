@@ -1,6 +1,6 @@
 """Secret scans whose false positives a random forest removes (DataFrame and MLlib operations only).
 
-Candidates are long runs of key characters with a digit.  A forest over their length, character transitions,
+Candidates are all long runs of key characters with a digit.  A forest over their length, character transitions,
 dictionary coverage, path marks and neighbouring words, trained on labelled findings, tells secrets from numbers,
 addresses, paths and identifiers.
 """
@@ -20,23 +20,38 @@ OTHER_WORDS = ("example", "sample", "test", "dummy", "commit", "checksum", "sha1
 DICTIONARY = ("the", "and", "for", "that", "with", "this", "from", "have", "name", "mail", "example", "test", "user", "data", "file", "page", "image", "version", "number", "index", "http", "www", "com", "org", "net", "html")
 SPACES = r"[\x20\x09-\x0D]+"
 KEY = r"[A-Za-z0-9+/_\-]"
+#: A name with = or : behind it at the end of what stands before a run in its word, with quotes around either.
+NAME = r"([A-Za-z][A-Za-z0-9_.\-]*)[\"'`]?(?:=|:)+>?[\"'`]?$"
+#: How much of a word around a run is kept; words can be whole files.
+LEAD, TAIL = 200, 50
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 16) -> DataFrame:
-    """One row per candidate: ``id_col, word_index, candidate, word, before_1, before_2, after_1``.
+    """One row per candidate: ``id_col, word_index, place, candidate, lead, tail, before_1, before_2, after_1``.
 
-    A candidate is the first run of at least ``least`` key characters in a word, with a digit in the run.  Null and
-    empty texts have none; whole texts are read.
+    Candidates are all runs of at least ``least`` key characters with a digit; ``place`` numbers the runs of a word
+    from 0 (runs without a digit count).  ``lead`` and ``tail`` stand before and after the run in its word, bounded.
+    A name before = or : in the word is the neighbour ``before_1``.  Null and empty texts have none; whole texts are
+    read.
     """
     words = F.split(F.coalesce(docs[text], F.lit("")), SPACES)
-    pattern = f"({KEY}{{{least},}})"
+    run = f"{KEY}{{{least},}}"
     split = docs.select(docs[id_col].alias("_id"), words.alias("_words")).filter(F.exists("_words", lambda w: F.length(w) >= least))
-    wanted = lambda w: (F.length(w) >= least) & w.rlike("[0-9]") & w.rlike(pattern)
+    wanted = lambda w: (F.length(w) >= least) & w.rlike("[0-9]") & w.rlike(run)
     at = F.filter(F.transform("_words", lambda w, i: F.when(wanted(w), i)), lambda i: i.isNotNull())
     found = split.withColumn("_at", at).filter(F.size("_at") > 0).select("_id", "_words", F.explode("_at").alias("word_index"))
     near = lambda k: F.coalesce(F.get("_words", F.col("word_index") + k), F.lit(""))
-    rows = found.select(F.col("_id").alias(id_col), "word_index", near(0).alias("word"), near(-1).alias("before_1"), near(-2).alias("before_2"), near(1).alias("after_1"))
-    return rows.withColumn("candidate", F.regexp_extract("word", pattern, 1)).filter(F.col("candidate").rlike("[0-9]"))
+    rows = found.select(F.col("_id").alias(id_col), "word_index", near(0).alias("_word"), near(-1).alias("_1"), near(-2).alias("_2"), near(1).alias("after_1"))
+    cut = rows.select(id_col, "word_index", "_1", "_2", "after_1", F.regexp_extract_all("_word", F.lit(f"({run})"), F.lit(1)).alias("_runs"), F.split("_word", run).alias("_parts"))
+    before = lambda i: F.concat(F.coalesce(F.get("_runs", i - 1), F.lit("")), F.get("_parts", i))
+    each = F.transform("_runs", lambda r, i: F.struct(i.alias("place"), r.alias("candidate"), F.right(before(i), F.lit(LEAD)).alias("lead"), F.left(F.get("_parts", i + 1), F.lit(TAIL)).alias("tail")))
+    runs = cut.select(id_col, "word_index", "_1", "_2", "after_1", F.explode(F.filter(each, lambda e: e["candidate"].rlike("[0-9]"))).alias("_e")).select(id_col, "word_index", "_1", "_2", "after_1", "_e.*")
+    # the slashes of an address follow no name
+    name = F.when(F.col("candidate").startswith("//"), "").otherwise(F.regexp_extract("lead", NAME, 1))
+    named = runs.withColumn("_name", name)
+    own = F.col("_name") != ""
+    before_1, before_2 = F.when(own, F.concat("_name", F.lit("="))).otherwise(F.col("_1")), F.when(own, F.col("_1")).otherwise(F.col("_2"))
+    return named.select(id_col, "word_index", "place", "candidate", "lead", "tail", before_1.alias("before_1"), before_2.alias("before_2"), "after_1")
 
 
 def plain(c: Column) -> Column:
@@ -44,6 +59,12 @@ def plain(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", ""))
 
 
+def announces(c: Column) -> Column:
+    """Whether a name is or holds a key word between marks or changes of case (AWS_SECRET_ACCESS_KEY, accessToken)."""
+    parts = F.lower(F.regexp_replace(c, "(?<=[a-z0-9])(?=[A-Z])", "_"))
+    return plain(c).isin(*KEY_WORDS) | parts.rlike("(?:^|[^a-z0-9])(?:" + "|".join(KEY_WORDS) + ")(?:$|[^a-z0-9])")
+
+
 def features(found: DataFrame) -> DataFrame:
     """Numbers that the forest sees, one column each."""
     c, n = F.col("candidate"), F.length("candidate")
@@ -55,7 +76,14 @@ def features(found: DataFrame) -> DataFrame:
     covered = F.aggregate(F.regexp_extract_all(F.lower(c), F.lit("(" + "|".join(DICTIONARY) + ")"), F.lit(1)), F.lit(0), lambda s, w: s + F.length(w)) / n
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     before = [plain(F.col("before_1")), plain(F.col("before_2"))]
-    own = plain(F.regexp_extract("word", r"^([A-Za-z_]+)\s*[:=]", 1))
+    # in quotes, brackets or alone behind an assignment, or assigned within the word
+    assigned = F.col("before_1").rlike("[:=]$") | F.col("lead").rlike("^[\"'`]?[:=]")
+    key_word = announces(F.col("before_1")) | announces(F.col("before_2"))
+    key = announces(F.col("before_1")) & assigned
+    segment = F.concat("lead", "candidate", "tail")
+    # a value assigned to a key word is judged by itself: base64 holds slashes between letters, and its address is not it
+    value = F.concat("candidate", F.regexp_extract("tail", "^[^&,;\"'`]*", 0))
+    path = F.when(key, value.rlike(r"(://|@|\.[a-z]{2,4}\b|^/)")).otherwise(segment.rlike(r"(://|@|\.[a-z]{2,4}\b|^/|[A-Za-z]/[A-Za-z])"))
     out = {
         "f_length": n.cast("double"),
         "f_digits": share("[0-9]"),
@@ -66,11 +94,11 @@ def features(found: DataFrame) -> DataFrame:
         "f_pairs": share("(?i)th|he|in|er|an|re|on|en|ou|es|de|ch"),
         "f_entropy": entropy,
         "f_dictionary": covered,
-        "f_path": flag(F.col("word").rlike(r"(://|@|\.[a-z]{2,4}\b|^/|[A-Za-z]/[A-Za-z])")),
-        "f_key_word": flag(before[0].isin(*KEY_WORDS) | before[1].isin(*KEY_WORDS) | own.isin(*KEY_WORDS)),
+        "f_path": flag(path),
+        "f_key_word": flag(key_word),
         "f_other_word": flag(before[0].isin(*OTHER_WORDS) | before[1].isin(*OTHER_WORDS) | plain(F.col("after_1")).isin(*OTHER_WORDS)),
-        "f_assigned": flag(F.col("before_1").rlike("[:=]$") | F.col("word").rlike(r"^[A-Za-z_]+[:=]")),
-        "f_quoted": flag(F.col("word").rlike("^[^A-Za-z0-9]?[\"'`]")),
+        "f_assigned": flag(assigned),
+        "f_quoted": flag(F.col("lead").rlike("[\"'`][^\"'`=:,;&]*$")),
     }
     return found.withColumns(out)
 
@@ -81,17 +109,20 @@ FEATURES = ["f_length", "f_digits", "f_upper", "f_hex", "f_turns", "f_case_turns
 def distant_labels(found: DataFrame) -> DataFrame:
     """``found`` (with features) and ``label`` where a strict rule decides, null elsewhere.
 
-    1: a mixed run in quotes assigned to a key word.  0: digits alone, part of an address or path, or mostly common
-    letter pairs.  The forest learns from the decided findings and judges all.
+    1: a mixed run assigned to a key word, in quotes or named within its word without looking like a path or words.
+    0: digits alone, mostly common letter pairs, or part of an address or path without being assigned to a key word.
+    The forest learns from the decided findings and judges all.
     """
     mixed = F.col("candidate").rlike("[A-Za-z]") & (F.col("f_entropy") >= 3)
-    yes = (F.col("f_key_word") == 1) & (F.col("f_assigned") == 1) & (F.col("f_quoted") == 1) & mixed
-    no = ~F.col("candidate").rlike("[A-Za-z]") | (F.col("f_path") == 1) | (F.col("f_pairs") > 0.3)
+    key = (F.col("f_key_word") == 1) & (F.col("f_assigned") == 1)
+    named = F.col("lead").rlike(NAME) & (F.col("f_path") == 0) & (F.col("f_pairs") <= 0.3)
+    yes = key & mixed & ((F.col("f_quoted") == 1) | named)
+    no = ~F.col("candidate").rlike("[A-Za-z]") | ((F.col("f_path") == 1) & ~key) | (F.col("f_pairs") > 0.3)
     return found.withColumn("label", F.when(yes, 1.0).when(no, 0.0))
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text: str = "text", least: int = 16, most_training: int = 20_000, trees: int = 30, depth: int = 6, seed: int = 7) -> DataFrame:
-    """One row per candidate: ``id_col, word_index, candidate, probability, is_secret``.
+    """One row per candidate: ``id_col, word_index, place, candidate, probability, is_secret``.
 
     ``labelled`` has columns of :func:`candidates` and ``label`` (0 or 1); without it the strict rules of
     :func:`distant_labels` label the corpus's own findings.  The forest is fitted on at most ``most_training``
@@ -111,4 +142,4 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_
         model = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(training)
         judged = model.transform(found).withColumn("probability", vector_to_array("probability")[1])
     training.unpersist()
-    return judged.select(id_col, F.col("word_index").cast("long").alias("word_index"), "candidate", "probability", (F.col("probability") >= 0.5).alias("is_secret"))
+    return judged.select(id_col, F.col("word_index").cast("long").alias("word_index"), "place", "candidate", "probability", (F.col("probability") >= 0.5).alias("is_secret"))

@@ -227,6 +227,28 @@ def test_secret_scan_finds_planted_secrets(spark):
     assert secrets.scan(table(spark, texts).filter("doc_id < 0")).count() == 0
 
 
+def test_secrets_behind_names_and_addresses(spark):
+    """Runs that follow a long name or path in their word, several in a word, and base64 with slashes."""
+    random.seed(12)
+    base64 = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzz93kLmQpX"
+    fresh = lambda: "".join(random.choice("0123456789abcdef") for _ in range(40))
+    h = [fresh() for _ in range(8)]
+    texts = [f"AWS_SECRET_ACCESS_KEY={base64}", f'"aws_secret_access_key":"{h[0]}"', f"see https://host.example.com/some/very/long/path/of/words?token={h[1]} here"]
+    texts += [f'{{"client_secret_value":"{h[2]}","refreshAuthToken":"{h[3]}"}}', f"password={h[4]};api_key={h[5]}"]
+    wanted = [{base64}, {h[0]}, {h[1]}, {h[2], h[3]}, {h[4], h[5]}]
+    plainly = [f'some words token = "{fresh()}" and more' for _ in range(40)] + [f"see http://site{k}.example.com/path/{k}{k}{k}{k}{k}{k}{k}/page" for k in range(10, 50)]
+    docs = table(spark, texts + plainly + EDGES)
+    rows = secrets.scan(docs).collect()
+    found = defaultdict(set)
+    for r in rows:
+        found[r.doc_id].add((r.candidate, r.is_secret))
+    assert [found[k] for k in range(len(texts))] == [{(c, True) for c in w} for w in wanted]
+    assert not any(yes for k in range(45, 85) for _, yes in found[k])
+    assert [r.place for r in rows if r.candidate == base64] == [1] and len({(r.doc_id, r.word_index, r.place) for r in rows}) == len(rows)
+    labels = secrets.distant_labels(secrets.features(secrets.candidates(docs.filter(f"doc_id < {len(texts)}"))))
+    assert labels.filter("label = 0").count() == 0
+
+
 def test_kneser_ney_sums_to_one_and_rejects_noise(spark):
     random.seed(6)
     words = ["the", "and", "reading", "water", "stone", "river", "under", "light"]
