@@ -446,12 +446,13 @@ def status_by_window(spark, d):
 
 @query(STATUS_SQL + " HAVING date_trunc('day', ts) < (SELECT date_trunc('day', max(ts) - INTERVAL 1 HOUR) FROM events)")
 def stream_status(spark, d):
-    """The streaming form of ``status_by_window``; windows that the watermark has not closed are left out."""
+    """The streaming form of ``status_by_window``; windows that ended less than an hour before the last row are left out."""
     path = f"{shared_folder(spark)}/kindred-{uuid.uuid4().hex}"
     stream = streams.event_stream(spark, f"{d}/events*.parquet", read_table(spark, d, "events").schema)
-    done = streams.stream_to_table(streams.status_by_window(stream.withColumn("ts", F.col("ts").cast("timestamp")), late="1 hour"), f"{path}/out", f"{path}/progress")
+    done = streams.stream_counts(stream.select("ts", "event_type"), f"{path}/versions", f"{path}/progress")
     done.awaitTermination()
-    return spark.read.schema("window_start timestamp, stage string, n long").parquet(f"{path}/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    closed = streams.closed_windows(streams.newest_version(spark, f"{path}/versions", done), "1 hour")
+    return closed.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 def _hits_sql():

@@ -1,4 +1,4 @@
-"""Incremental and streaming forms; each equals its batch twin over the rows within the watermark."""
+"""Incremental and streaming forms; each equals its batch twin, in whatever order files come."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.tables import upsert
-
 UNDO = "error"
 
 
@@ -38,26 +36,54 @@ def stream_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "
     return stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_upsert(stream: DataFrame, keys: list[str], order: list, path: str, checkpoint: str, step: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Upsert each micro-batch into a table of versions at ``path`` (the newest version is the table).
+def stream_versions(stream: DataFrame, merge: Callable[[DataFrame, DataFrame | None], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+    """Merge each micro-batch into a table of versions at ``path`` (the newest version is the table).
 
-    A batch that is run again writes its own version again, so a restart changes nothing.
+    ``merge`` takes the batch and the table so far (none at first).  A batch that is run again writes its own version
+    again, so a restart changes nothing.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        old = batch.sparkSession.read.parquet(f"{path}/v{number - 1}") if number else None
+        merge(batch, old).write.mode("overwrite").parquet(f"{path}/v{number}")
+
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_upsert(stream: DataFrame, keys: list[str], order: list, path: str, checkpoint: str, step: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """The first row of each key by ``order`` over all micro-batches, whichever batch it came in."""
+
+    def merge(batch: DataFrame, old: DataFrame | None) -> DataFrame:
         new = step(batch) if step else batch
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        new = new.withColumn("_k", place).filter("_k = 1").drop("_k")
-        old = spark.read.parquet(f"{path}/v{number - 1}") if number else None
-        (upsert(new, old, keys, order) if old is not None else new).write.mode("overwrite").parquet(f"{path}/v{number}")
+        both = old.unionByName(new) if old is not None else new
+        return both.withColumn("_k", place).filter("_k = 1").drop("_k")
 
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream_versions(stream, merge, path, checkpoint)
+
+
+def stream_counts(stream: DataFrame, path: str, checkpoint: str, ts: str = "ts", stage: str = "event_type", size: str = "1 day") -> StreamingQuery:
+    """:func:`status_by_window` as counts that each micro-batch adds to, so rows count in whatever order files come:
+    ``window_start, window_end, stage, n, last_ts``."""
+
+    def merge(batch: DataFrame, old: DataFrame | None) -> DataFrame:
+        each = batch.groupBy(F.window(ts, size), F.col(stage).alias("stage")).agg(F.count("*").alias("n"), F.max(ts).alias("last_ts"))
+        new = each.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "stage", "n", "last_ts")
+        both = old.unionByName(new) if old is not None else new
+        return both.groupBy("window_start", "window_end", "stage").agg(F.sum("n").alias("n"), F.max("last_ts").alias("last_ts"))
+
+    return stream_versions(stream, merge, path, checkpoint)
+
+
+def closed_windows(counts: DataFrame, late: str) -> DataFrame:
+    """``window_start, stage, n`` of the windows that ended ``late`` or more before the last row seen."""
+    last = counts.agg((F.max("last_ts") - F.expr(f"INTERVAL {late}")).alias("_closed"))
+    return counts.join(F.broadcast(last), F.col("window_end") <= F.col("_closed")).select("window_start", "stage", "n")
 
 
 def newest_version(spark: SparkSession, path: str, query: StreamingQuery) -> DataFrame:
-    """The table that a finished :func:`stream_upsert` left behind."""
-    return spark.read.parquet(f"{path}/v{query.lastProgress['batchId']}")
+    """The table that a finished :func:`stream_versions` left behind."""
+    return spark.read.parquet(f"{path}/v{max(p['batchId'] for p in query.recentProgress if p['numInputRows'])}")
 
 
 def incremental_topk(hits: DataFrame, queries: DataFrame, changed: DataFrame, k: int, search: Callable[[DataFrame, DataFrame, int], DataFrame]) -> DataFrame:

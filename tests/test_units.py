@@ -5,12 +5,15 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from kindred import plans
 from kindred.functions import scalars as S
 from kindred.functions import similarity as X
 from kindred.operators import curate, dedup, evaluate, fusion, heads, normalize, pages, pairs, ranker
 from kindred.operators import vectors as V
 from kindred.sources import tables as T
 
+from . import oracle
+
 
 def value(spark, c):
     return spark.range(1).select(c.alias("x")).first()["x"]
@@ -232,3 +235,11 @@ def test_soft_jaccard_of_nothing_is_zero(spark):
     spec = pairs.PairSpec(scalars={"x": {}})
     row = spark.createDataFrame([(None, "v"), ("v", "v")], "a_x string, b_x string")
     assert [r.s for r in row.select(pairs.soft_jaccard(spec).alias("s")).collect()] == [0.0, 1.0]
+
+
+@pytest.mark.parametrize("name", ["stream_latest", "stream_status"])
+def test_streams_do_not_depend_on_files(spark, sf_dir, tmp_path, name):
+    """Events dealt at random into several files, one a micro-batch, give what the SQL says of the whole table."""
+    events = T.read_table(spark, sf_dir, "events")
+    events.repartition(5, F.rand(3)).write.parquet(str(tmp_path / "events.parquet"))
+    assert oracle.differences(plans.QUERIES[name](spark, str(tmp_path)), oracle.connect(sf_dir), plans.ORACLE_SQL[name]) is None
