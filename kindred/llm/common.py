@@ -105,6 +105,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
 
 
+def first_of_keys(docs: DataFrame, key: Column, dropped: DataFrame, repeated: DataFrame, broadcast_ids: int) -> DataFrame:
+    """``docs`` without rows whose key is in ``dropped(_dropped)``, and one row for each key in ``repeated(_repeated)``."""
+    small = lambda x: F.broadcast(x) if x.count() <= broadcast_ids else x
+    left = docs.withColumn("_key", key).join(small(dropped), F.col("_key") == F.col("_dropped"), "left_anti")
+    if not repeated.limit(1).count():
+        return left.drop("_key")
+    again = small(repeated)
+    # the least row by a hash of all columns: an aggregate, so that a hot row is reduced before the shuffle
+    once = left.join(again, F.col("_key") == F.col("_repeated"), "left_semi").groupBy("_key").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_r")).select("_r.*")
+    return left.join(again, F.col("_key") == F.col("_repeated"), "left_anti").drop("_key").unionByName(once)
+
+
 def text_of(df: DataFrame, text: str = "text") -> Column:
     """The text column, null as empty."""
     return F.coalesce(df[text], F.lit(""))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import first_of_keys, partitions, written
 
 
 def exact_duplicates(
@@ -69,9 +69,10 @@ def exact_duplicates(
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", broadcast_ids: int = 4_000_000, **options) -> DataFrame:
-    """The rows of ``docs`` that stay.  Rows that share id and text stay together, as they carry one verdict."""
-    gone = written(exact_duplicates(docs, id_col, text, **options).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_sha")), "gone")
-    if gone.count() <= broadcast_ids:
-        gone = F.broadcast(gone)
-    same = (docs[id_col].cast("long") == F.col("_gone")) & (F.sha2(F.coalesce(docs[text], F.lit("")), 256) == F.col("_sha"))
-    return docs.join(gone, same, "left_anti")
+    """One row of each text, that with the smallest (or largest) id; rows without an id stay only where no other has the text."""
+    several = exact_duplicates(docs, id_col, text, **options).filter("group_size > 1")
+    key = lambda i, sha: F.xxhash64(i.isNull(), i, sha)
+    rows = several.select(key(F.col(id_col), F.col("text_sha256")).alias("_key"), F.coalesce("kept", F.col("keep_id").isNull()).alias("_stays"))
+    judged = written(rows.groupBy("_key", "_stays").agg(F.count("*").alias("_rows")), "judged")
+    dropped, repeated = judged.filter("not _stays").select(F.col("_key").alias("_dropped")), judged.filter("_stays and _rows > 1").select(F.col("_key").alias("_repeated"))
+    return first_of_keys(docs, key(docs[id_col].cast("long"), F.sha2(F.coalesce(docs[text], F.lit("")), 256)), dropped, repeated, broadcast_ids)

@@ -21,10 +21,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, components, mix, ordinals, pieces_of, removed, written
+from .common import Words, components, first_of_keys, mix, ordinals, pieces_of, removed, written
 
 REGION = 0.22
 
@@ -67,8 +67,13 @@ def signatures(gram: np.ndarray, at: np.ndarray) -> np.ndarray:
         return (total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64)
 
 
+def row_key(docs: DataFrame, id_col: str, text: str) -> Column:
+    """A 64-bit key of a row's id and text, null ids among them."""
+    return F.xxhash64(docs[id_col].isNull(), docs[id_col].cast("long"), F.coalesce(docs[text], F.lit("")))
+
+
 def set_rows(docs: DataFrame, id_col: str, text: str, n: int, percent: int, piece_bytes: int) -> DataFrame:
-    """``id, row, n, sid, regional, low``: a number for the row, size, signature of the whole set (sets are known by it;
+    """``id, key, row, n, sid, regional, low``: the row's key, a number for it, size, signature of the whole set (sets are known by it;
     an empty set is its own), the number of elements in the region, and the first elements by hash (those in the
     region, and as many as the longest prefix needs)."""
     top = np.uint64(int(REGION * 2.0**64))
@@ -90,10 +95,10 @@ def set_rows(docs: DataFrame, id_col: str, text: str, n: int, percent: int, piec
                 np.cumsum(np.bincount(np.repeat(np.arange(len(size)), size)[take], minlength=len(size)), out=count[1:])
                 low = pa.ListArray.from_arrays(pa.array(count, pa.int32()), pa.array(gram[take].view(np.int64)))
                 regional = np.bincount(np.repeat(np.arange(len(size)), size)[gram < top], minlength=len(size))
-                columns = [piece.column("i"), *[pa.array(x, pa.int64()) for x in (rows, size, sid, regional)], low]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "row", "n", "sid", "regional", "low"])
+                columns = [piece.column("i"), piece.column("key"), *[pa.array(x, pa.int64()) for x in (rows, size, sid, regional)], low]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "key", "row", "n", "sid", "regional", "low"])
 
-    return docs.select(docs[id_col].cast("long").alias("i"), docs[text].alias("t")).mapInArrow(made, "id long, row long, n long, sid long, regional long, low array<long>")
+    return docs.select(docs[id_col].cast("long").alias("i"), row_key(docs, id_col, text).alias("key"), docs[text].alias("t")).mapInArrow(made, "id long, key long, row long, n long, sid long, regional long, low array<long>")
 
 
 def prefix_elements(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -223,16 +228,32 @@ def jaccard_components(
 
     Documents link when ``100 |A & B| >= percent |A | B|`` for their sets of word n-grams; ``component_id`` is the
     smallest id reachable by links.  Null texts and texts without words have empty sets and link with nothing.
-    A row without an id links with
-    equal sets only.  Repeated rows are rows of their own, and rows that share an id but not a text have each its own set.  Equal sets
+    Rows without an id link like any other and get the least id among the rest, null if there is none.  Repeated rows are rows of their own, and rows that share an id but not a text have each its own set.  Equal sets
     are collapsed first.  Elements are 64-bit hashes: two different n-grams agree with a chance of about 2**-64 a pair.
     Very long texts are whole; an empty table gives no rows; other columns are ignored.
     """
+    return set_components(docs, id_col, text, n, percent, block, block_elements, piece_bytes, broadcast_ids).select(F.col("id").alias(id_col), "n_shingles", "component_id")
+
+
+def set_components(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text: str = "text",
+    n: int = 5,
+    percent: int = 80,
+    block: int = 4000,
+    block_elements: int = 2_500_000,
+    piece_bytes: int = 4 << 20,
+    broadcast_ids: int = 2_000_000,
+) -> DataFrame:
+    """:func:`jaccard_components` with what tells rows of one id apart: ``id, key, sid, root, n_shingles, component_id``,
+    where ``key`` is of :func:`row_key`, ``sid`` knows the set, and rows of one component have one ``root`` (an empty
+    set's row is its own)."""
     sets = written(set_rows(docs, id_col, text, n, percent, piece_bytes), "sets")
     small = written(sets.drop("low"), "small")
     # of equal sets one goes on: the one of the smallest id
-    first = small.filter("n > 0").groupBy("sid").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "row")).alias("f"), F.max("n").alias("n"), F.max("regional").alias("regional"))
-    first = written(first.select("sid", F.col("f.id").alias("first"), F.col("f.row").alias("row"), "n", "regional"), "first")
+    first = small.filter("n > 0").groupBy("sid").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "row", "key")).alias("f"), F.max("n").alias("n"), F.max("regional").alias("regional"))
+    first = written(first.select("sid", F.col("f.id").alias("first"), F.col("f.row").alias("row"), F.col("f.key").alias("key"), "n", "regional"), "first")
     if small.count() - first.count() <= broadcast_ids:  # what goes is few: no set moves
         gone = small.join(first.select("sid", F.col("row").alias("_stays")), "sid", "left").filter("_stays is null or row <> _stays").select("row")
         heads = sets.join(F.broadcast(gone), "row", "left_anti")
@@ -246,25 +267,25 @@ def jaccard_components(
     edges = keys.join(star, "key").filter("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
     families = written(components(edges), "families")
     rows = families.count()
-    sized = written(families.join(first.select(F.col("sid").alias("id"), "first", "n"), "id"), "sized")
+    sized = written(families.join(first.select(F.col("sid").alias("id"), "first", "key", "n"), "id"), "sized")
     sums = sized.groupBy("component").agg(F.count("*").alias("_sets"), F.sum("n").alias("_all"))
     # at most rows / block + elements / block_elements families are larger than a block
     large = F.broadcast(written(sums.filter((F.col("_sets") > block) | (F.col("_all") > block_elements)), "large"))
     # members by size, so that a block holds alike sizes: as many sets as its elements allow
-    numbered = ordinals(sized.join(large, "component", "left_semi"), ["component"], ["n", "first"], "_k", rows)
+    numbered = ordinals(sized.join(large, "component", "left_semi"), ["component"], ["n", "key"], "_k", rows)
     scale = F.floor(F.log2("n")).cast("int")
     fit = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(block_elements) / F.pow(F.lit(2.0), scale + 1)))).cast("long")
     numbered = numbered.withColumn("part", F.shiftleft(scale.cast("long"), 40) + F.floor(F.col("_k") / fit))
-    parts = numbered.select("id", "first", "n", "component", "part", F.xxhash64("component", "part").alias("task"))
+    parts = numbered.select("id", "key", "n", "component", "part", F.xxhash64("component", "part").alias("task"))
     # smaller families share a task with others
     elements_all = sized.agg(F.sum("n")).first()[0] or 0
     tasks = max(1, rows // (block // 2), elements_all // (block_elements // 2))
-    alone = sized.join(large, "component", "left_anti").select("id", "first", "n", "component", F.lit(0).cast("long").alias("part"), F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("task"))
+    alone = sized.join(large, "component", "left_anti").select("id", "key", "n", "component", F.lit(0).cast("long").alias("part"), F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("task"))
     parts = written(parts.union(alone), "parts")
-    wanted = parts.select(F.col("first").alias("_wanted"), F.col("id").alias("sid"), "component", "part", "task")
+    wanted = parts.select(F.col("key").alias("_wanted"), F.col("id").alias("sid"), "component", "part", "task")
     if rows <= broadcast_ids:
         wanted = F.broadcast(wanted)
-    mine = docs.join(wanted, docs[id_col].cast("long") == F.col("_wanted"))
+    mine = docs.select(docs[text], row_key(docs, id_col, text).alias("_key")).join(wanted, F.col("_key") == F.col("_wanted"))
     elements = written(whole_sets(mine, text, n, piece_bytes, ["sid", "component", "part", "task"]).withColumnRenamed("sid", "id"), "elements")
     links = written(block_links(elements.select("task", F.lit(0).cast("long").alias("part"), "id", F.col("id").alias("known"), "elements"), percent), "links")
     if large.limit(1).count():
@@ -287,16 +308,20 @@ def jaccard_components(
         links = links.union(written(across, "across"))
     found = components(links).join(first.select(F.col("sid").alias("id"), "first"), "id")
     least = written(found.groupBy("component").agg(F.min("first").alias("smallest")), "smallest")
-    roots = found.join(least, "component").select(F.col("id").alias("sid"), "smallest")
-    named = first.join(roots, "sid", "left").select("sid", F.coalesce("smallest", "first").alias("_component"))
-    out = small.select("id", "n", "sid").join(named, "sid", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("_component", "id").alias("component_id"))
+    roots = found.join(least, "component").select(F.col("id").alias("sid"), F.col("component").alias("_root"), "smallest")
+    named = first.join(roots, "sid", "left").select("sid", F.coalesce("_root", "sid").alias("root"), F.coalesce("smallest", "first").alias("_component"))
+    out = small.select("id", "key", "n", "sid").join(named, "sid", "left")
+    return out.select("id", "key", "sid", F.coalesce("root", "key").alias("root"), F.col("n").alias("n_shingles"), F.coalesce("_component", "id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", broadcast_ids: int = 4_000_000, **options) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of each component."""
-    joined = jaccard_components(docs, id_col, text, **options)
-    dropped = written(joined.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_dropped")).distinct(), "dropped")
-    if dropped.count() <= broadcast_ids:
-        dropped = F.broadcast(dropped)
-    return docs.join(dropped, docs[id_col] == F.col("_dropped"), "left_anti")
+    """One row of each component: that with the smallest (id, set, row), null ids last.  Of repeated rows of id and text one stays."""
+    joined = set_components(docs, id_col, text, **options).select("root", F.struct(F.col("id").isNull().alias("z"), "id", "sid", "key").alias("r"), F.col("n_shingles").alias("n"))
+    counted = written(joined.groupBy("root", "n", "r").agg(F.count("*").alias("rows")), "rows")
+    best = counted.groupBy("root").agg(F.min("r").alias("_best"), F.sum("rows").alias("_all")).filter("_all > 1")
+    # only components of several rows lose any; a row without words has a component of its own
+    several = counted.join(best, "root")
+    dropped = written(several.filter("r <> _best").select(F.col("r.key").alias("_dropped")).distinct(), "dropped")
+    repeated = written(several.filter("r = _best and rows > 1").select(F.col("r.key").alias("_repeated")).distinct(), "repeated")
+    removed(counted)
+    return first_of_keys(docs, row_key(docs, id_col, text), dropped, repeated, broadcast_ids)

@@ -115,6 +115,24 @@ def test_ngram_join_repeated_ids_and_empty_table(spark):
     assert ngram_join.one_of_each(table(spark, ["a b c d e f", "a b c d e f", None])).count() == 2
 
 
+def test_one_row_of_each_group_with_repeated_and_null_ids(spark):
+    """One id with two texts of which one is a near copy, repeated rows, and rows without an id."""
+    words = [f"w{k}" for k in range(60)]
+    base, near, clean, other = " ".join(words), " ".join([*words, "x"]), "quite another text with seven words", "a text that no id has at all"
+    rows = [(1, base), (2, near), (2, clean), (3, "alone here in this small row"), (3, "alone here in this small row"), (None, near + " y"), (None, base), (None, other), (None, other), (4, None), (4, None), (None, None), (0, None)]
+    docs = table(spark, [t for _, t in rows], ids=[i for i, _ in rows])
+    docs = docs.withColumn("doc_id", docs.doc_id).repartition(4)
+    want = sorted([(1, base), (2, clean), (3, "alone here in this small row"), (None, other), (0, None), (4, None), (None, None)], key=repr)
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted([(r.doc_id, r.text) for r in kept.collect()], key=repr) == want
+    labels = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.jaccard_components(docs).collect()}
+    assert labels[None, 58] == 1 and labels[2, 57] == 1 and labels[2, 2] == 2
+    for keep, empty in (("smallest", 0), ("largest", 4)):
+        want = sorted([(1, base), (2, near), (2, clean), (3, "alone here in this small row"), (None, near + " y"), (None, other), (empty, None)], key=repr)
+        once = exact_dedup.without_duplicates(docs, keep=keep)
+        assert once.columns == docs.columns and sorted([(r.doc_id, r.text) for r in once.collect()], key=repr) == want
+
+
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
 def test_exact_dedup(spark, keep):
     texts = EDGES + ["hot"] * 700 + ["cold"] * 3
