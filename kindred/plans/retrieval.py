@@ -560,10 +560,16 @@ RANKER_FEATURES = ["vocab_form", "vocab_words", "num_size_class", "num_price", "
 
 @query(f"""WITH {KNOWN}, p AS (SELECT a AS query_id, b AS cand_id FROM known UNION SELECT b, a FROM known) SELECT query_id, cand_id, 1.0::DOUBLE AS label FROM p""")
 def training_set(spark, d):
-    """Pairs and negatives; the SQL states the pairs, as negatives follow the ring of draws."""
+    """The pairs of ``training_set_whole``, which SQL can state; negatives follow the ring of draws."""
+    return training_set_whole(spark, d).filter("label = 1")
+
+
+@query()
+def training_set_whole(spark, d):
+    """Pairs in both directions and five sampled negatives a pair, each row once."""
     p = known_pairs(spark, d)
     negatives = ranker.sample_negatives(p, t(spark, d, "embeddings").select(F.col("vec_id").alias("id")), NEG)
-    return ranker.training_set(p, negatives).filter("label = 1")
+    return ranker.training_set(p, negatives)
 
 
 @query(f"WITH {ENT}, {PART_PAIRS}, x AS (SELECT CASE WHEN a.form = b.form AND abs(a.size - b.size) <= 10 THEN 1 ELSE 0 END AS label, {FEATURES_SQL} {BOTH}) " + " UNION ALL ".join(f"SELECT '{f}' AS feature, round(avg({f}) FILTER (label = 1) - avg({f}) FILTER (label = 0), 4) AS gap FROM x" for f in RANKER_FEATURES))

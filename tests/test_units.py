@@ -1,5 +1,6 @@
 """Hand values, null rules, properties and plan shapes."""
 
+import hashlib
 import math
 
 import pytest
@@ -10,6 +11,7 @@ from kindred.functions import scalars as S
 from kindred.functions import similarity as X
 from kindred.operators import curate, dedup, evaluate, fusion, heads, normalize, pages, pairs, ranker
 from kindred.operators import vectors as V
+from kindred.plans import bindings
 from kindred.sources import tables as T
 
 from . import oracle
@@ -243,3 +245,20 @@ def test_streams_do_not_depend_on_files(spark, sf_dir, tmp_path, name):
     events = T.read_table(spark, sf_dir, "events")
     events.repartition(5, F.rand(3)).write.parquet(str(tmp_path / "events.parquet"))
     assert oracle.differences(plans.QUERIES[name](spark, str(tmp_path)), oracle.connect(sf_dir), plans.ORACLE_SQL[name]) is None
+
+
+def test_training_set_equals_brute_force(spark, sf_dir):
+    """Pairs both ways, and for each pair the first five on the hash ring that are neither it nor known."""
+    ids = [r.vec_id for r in T.read_table(spark, sf_dir, "embeddings").select("vec_id").collect()]
+    known = {(r.a, r.b) for r in bindings.known_pairs(spark, sf_dir).collect()}
+    both = known | {(b, a) for a, b in known}
+    draw = lambda *keys: hashlib.md5("|".join(["42", *map(str, keys)]).encode()).hexdigest()
+    ring = sorted(ids, key=lambda i: (draw(i), i))
+    want = {(a, b): 1.0 for a, b in both}
+    for a, b in known:
+        start = int(draw(a, b)[:8], 16) % len(ring)
+        free = [c for c in ring[start:] + ring[:start] if c not in (a, b) and (a, c) not in both]
+        assert len(set(free[:5])) == 5
+        want |= {(a, c): 0.0 for c in free[:5]}
+    rows = plans.QUERIES["training_set_whole"](spark, sf_dir).collect()
+    assert len(rows) == len(want) and {(r.query_id, r.cand_id): r.label for r in rows} == want
