@@ -22,9 +22,15 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a new local one only where the session names none."""
+    """The folder that driver and executors share.
+
+    A local session (tests) that names none gets a new one; on a cluster that would be a folder of one machine, which
+    nobody else reads, so it raises there.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -66,20 +72,34 @@ def ordinals(df: DataFrame, keys: list[str], order: list[str], out: str, rows: i
     return place.join(starts, [*keys, "_bucket"]).select(*df.columns, (F.col("_start") + F.col("_place") - 1).cast("long").alias(out))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def joined_hot(left: DataFrame, right: DataFrame, on: list[str], rows: str, limit: int, how: str = "inner") -> DataFrame:
+    """``left`` with the columns of ``right`` (a row for each ``on``), where keys of many rows do not gather in a task.
+
+    ``right`` counts in ``rows`` how many rows of ``left`` a key has.  Keys with more than ``limit`` are few (at most
+    the rows of ``left`` over ``limit``, a proven bound) and are broadcast; all others are shuffled.
+    """
+    new = [c for c in right.columns if c not in (*on, rows)]
+    hot = F.broadcast(right.filter(F.col(rows) > limit).select(*on, F.struct(F.lit(True).alias("_is"), *new).alias("_hot")))
+    marked = left.join(hot, on, "left")
+    found = marked.filter("_hot is not null").select(*left.columns, *[F.col("_hot")[c].alias(c) for c in new])
+    rest = marked.filter("_hot is null").select(*left.columns).join(right.filter(F.col(rows) <= limit).select(*on, *new), on, how)
+    return found.unionByName(rest.select(*left.columns, *new))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id for each id in ``edges(a, b)``; returns ``(id, component)``.
 
     Alternates the large-star and small-star steps: every round links nodes to the smallest neighbour known, which
     needs logarithmically many rounds and never gathers the graph anywhere.  Each round is written to the shared
-    folder, so a lost executor costs one round at most.
+    folder, so a lost executor costs one round at most.  Nodes with many edges are joined by broadcast (at most 400).
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, n: int) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(
             F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
         )
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        linked = both.join(least, "a")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("rows")).select("a", F.least("a", "m").alias("m"), "rows")
+        linked = joined_hot(both, least, ["a"], "rows", max(1000, n // 200))
         if large:
             return linked.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         to_least = linked.select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -90,31 +110,34 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     current = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     seen = sketch(current)
-    for _ in range(max_rounds):
-        step = written(star(star(current, True), False), "edges")
+    while True:  # the labels fall with each round, so it ends
+        wide = written(star(current, True, seen[0]), "edges")
+        step = written(star(wide, False, seen[0]), "edges")
         now = sketch(step)
         removed(current)
+        removed(wide)
         current = step
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     return current.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
         current.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )
 
 
 def first_of_keys(docs: DataFrame, key: Column, dropped: DataFrame, repeated: DataFrame, broadcast_ids: int) -> DataFrame:
-    """``docs`` without rows whose key is in ``dropped(_dropped)``, and one row for each key in ``repeated(_repeated)``."""
+    """``docs`` without rows whose key is in ``dropped(_dropped)``, and one row for each key in ``repeated(_repeated)``.
+
+    A row of the caller travels as one struct, so that no name of its columns can clash.
+    """
     small = lambda x: F.broadcast(x) if x.count() <= broadcast_ids else x
-    left = docs.withColumn("_key", key).join(small(dropped), F.col("_key") == F.col("_dropped"), "left_anti")
+    left = docs.select(F.struct("*").alias("_row"), key.alias("_key")).join(small(dropped), F.col("_key") == F.col("_dropped"), "left_anti")
     if not repeated.limit(1).count():
-        return left.drop("_key")
+        return left.select("_row.*")
     again = small(repeated)
     # the least row by a hash of all columns: an aggregate, so that a hot row is reduced before the shuffle
-    once = left.join(again, F.col("_key") == F.col("_repeated"), "left_semi").groupBy("_key").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_r")).select("_r.*")
-    return left.join(again, F.col("_key") == F.col("_repeated"), "left_anti").drop("_key").unionByName(once)
+    once = left.join(again, F.col("_key") == F.col("_repeated"), "left_semi").groupBy("_key").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return left.join(again, F.col("_key") == F.col("_repeated"), "left_anti").select("_row.*").unionByName(once.select("_row.*"))
 
 
 def text_of(df: DataFrame, text: str = "text") -> Column:

@@ -92,7 +92,7 @@ def near_copies(seed, groups=12, most=25):
     return texts
 
 
-@pytest.mark.parametrize("seed,n,percent,block", [(1, 4, 85, 1500), (2, 5, 80, 4), (3, 2, 80, 6), (4, 1, 85, 1500)])
+@pytest.mark.parametrize("seed,n,percent,block", [(1, 4, 85, 1500), (2, 5, 80, 4), (3, 2, 80, 6), (4, 1, 85, 1500), (5, 1, 50, 5), (6, 2, 30, 1500)])
 def test_ngram_join_equals_brute_force(spark, seed, n, percent, block):
     texts = near_copies(seed)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(table(spark, texts), n=n, percent=percent, block=block).collect()}
