@@ -7,35 +7,55 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kindred.llm import exact_dedup, kneser_ney, mixing, ngram_join, packing
-from kindred.llm.common import written
+from kindred.llm.common import free_name, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity is within their language's limit."""
+    """Documents whose perplexity is within their language's limit.
+
+    Null and empty texts go; repeated rows are judged alike; an empty table gives no rows; all columns pass through,
+    whatever their names.
+    """
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1")
-    judged = kneser_ney.quality_classifier(docs, trusted, names=("_perplexity", "_threshold", "_kept"))
-    return judged.filter("_kept").select(*docs.columns)
+    names = tuple(free_name(docs, c) for c in ("perplexity", "threshold", "kept"))
+    return kneser_ney.quality_classifier(docs, trusted, names=names).filter(F.col(names[2])).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text, that with the smallest id (null ids last, repeated rows once).
+
+    Null and empty texts are one text; an empty table gives no rows; all columns pass through, whatever their names.
+    """
     return exact_dedup.without_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8)."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8), that with the smallest id.
+
+    Null and empty texts link with nothing and stay, null ids come last, repeated rows stay once; an empty table gives
+    no rows; all columns pass through, whatever their names.
+    """
     return ngram_join.one_of_each(docs, n=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them.
+
+    A null source is a source; texts without words follow their source's rate; rows that share id and source are drawn
+    alike; an empty table gives no rows; all columns pass through, whatever their names.
+    """
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of the documents' tokens in sequences."""
+    """Places of the documents' tokens in sequences.
+
+    Null and empty texts have the closing id alone; repeated rows and copies are packed each for itself; an empty table
+    gives no rows; columns other than id and text are left behind.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -1,105 +1,113 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-Grams are runs of four symbols.  Characters map to 64 symbols (letters, marks, and classes for the rest), so an order
-has at most 64 ** order grams: counts of any corpus fit a table of known size, yet each count covers all trusted
-text.  Tasks count their own grams before the shuffle, counts are joined by context, order by order, in Spark, and
-what travels to the scoring tasks is bounded by the alphabet, not by the corpus.
+Grams are runs of ``ORDER`` characters over all code points, kept as strings.  Tasks count their own grams before the
+shuffle.  The model is a set of sharded tables (an order each: a gram's discounted share, a context's weight for the
+order below).  The different grams of all documents to judge are joined with these tables, order by order, which gives
+a sharded table of probabilities; it grows with the corpus and no part of it passes through the driver.
+
+A document's perplexity needs the probabilities of its own grams.  While the table is small (``broadcast_grams``) it is
+broadcast to the tasks that read the texts; beyond that, texts and the part of the table that a block of documents
+needs meet by a shuffle.  Both ways give the same numbers.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flat_text, pieces_of, row_sums, written
-
-ORDER, BITS = 4, 6
-SIZE = 1 << BITS
-#: Symbols: 0 stands for what lies before a text; a-z; single marks in this order; then the classes.
-MARKS = " \n.,;:!?'\"-()/|#$%&*<>@_="
-EDGE, UPPER, DIGIT, BLANK, CONTROL, SIGN = 0, 52, 53, 54, 55, 56
-LATIN, WIDE = 57, 60  # letters beyond ASCII: three classes of Latin letters by their low bits, four by plane
-
-
-def symbols() -> np.ndarray:
-    """Symbol of each of the first 0x2000 code points; those beyond fall into classes by their place."""
-    table = np.full(0x2000, WIDE, np.uint8)
-    for p in range(0x2000):
-        c = chr(p)
-        if "a" <= c <= "z":
-            table[p] = 1 + p - 97
-        elif c in MARKS:
-            table[p] = 27 + MARKS.index(c)
-        elif "A" <= c <= "Z" or (p < 0x250 and c.isupper()):
-            table[p] = UPPER
-        elif c.isdigit():
-            table[p] = DIGIT
-        elif c.isspace():
-            table[p] = BLANK
-        elif p < 32 or 127 <= p < 160:
-            table[p] = CONTROL
-        elif p < 0x250 and c.isalpha():
-            table[p] = LATIN + p % 3
-        elif p < 0xC0:
-            table[p] = SIGN
-    return table
-
-
-def grams(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The gram that ends at each character of each text (padded with EDGE before it), and where texts begin."""
+from .common import flat_text, pieces_of, removed, row_sums, worker_cache, written
+
+ORDER = 5
+#: Stands for what lies before a text (a code point that no text should hold).
+EDGE = 0x10FFFF
+#: An odd multiplier for hashes of grams.
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Slots of a task's filter of grams that it has met already.
+MET = 1 << 21
+
+
+def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, each with ``ORDER - 1`` edges before it, and where texts begin among them."""
     raw, at = flat_text(texts)
     points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    at = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[at]
-    beyond = points >= len(table)
-    symbol = np.where(beyond, WIDE + ((points >> 13) & 3), table[np.where(beyond, 0, points)]).astype(np.int32)
-    code, place = symbol.copy(), np.arange(len(symbol), dtype=np.int32) - np.repeat(at[:-1].astype(np.int32), np.diff(at))
+    begin = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[at]
+    padded = np.insert(points, np.repeat(begin[:-1], ORDER - 1), np.uint32(EDGE))
+    return padded, begin + (ORDER - 1) * np.arange(len(begin))
+
+
+def hashes(points: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the gram that begins at each place."""
+    n = max(len(points) - ORDER + 1, 0)
+    code = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(ORDER):
+            code = code * SPREAD + points[k : k + n]
+        code ^= code >> np.uint64(29)
+        code *= np.uint64(0xBF58476D1CE4E5B9)
+    return code ^ (code >> np.uint64(32))
+
+
+def own_places(at: np.ndarray) -> np.ndarray:
+    """Which places among all grams begin a gram that lies within one text."""
+    n = max(int(at[-1]) - ORDER + 1, 0)
+    inside = np.ones(n, bool)
     for back in range(1, ORDER):
-        earlier = np.zeros(len(symbol), np.int32)
-        earlier[back:] = symbol[:-back] if back < len(symbol) else symbol[:0]
-        code |= np.where(place >= back, earlier, EDGE) << (BITS * back)
-    return code, at
+        cut = at[1:-1] - back
+        inside[cut[(cut >= 0) & (cut < n)]] = False
+    return inside
+
+
+def spelled(points: np.ndarray, places: np.ndarray) -> pa.Array:
+    """The grams at these places as strings."""
+    window = points[places[:, None] + np.arange(ORDER)]
+    flat = window.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
+    width = np.ones(window.shape, np.int64) + (window >= 0x80) + (window >= 0x800) + (window >= 0x10000)
+    offsets = np.zeros(len(places) + 1, np.int32)
+    np.cumsum(width.sum(axis=1), out=offsets[1:])
+    return pa.Array.from_buffers(pa.string(), len(places), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
 
 
 def gram_counts(docs: DataFrame, text: str, piece_bytes: int) -> DataFrame:
     """``gram, n``: how often each gram occurs in the texts."""
 
     def counted(batches):
-        table = symbols()
         for batch in batches:
             for piece in pieces_of(batch, "t", piece_bytes):
-                seen, n = np.unique(grams(piece.column("t"), table)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(n, pa.int64())], ["gram", "n"])
+                points, at = characters(piece.column("t"))
+                places = np.flatnonzero(own_places(at))
+                _, first, n = np.unique(hashes(points)[places], return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([spelled(points, places[first]), pa.array(n, pa.int64())], ["gram", "n"])
 
-    return docs.select(docs[text].alias("t")).mapInArrow(counted, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select(docs[text].alias("t")).mapInArrow(counted, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-class Model:
-    """Log probabilities of all grams, made from what was seen (arrays bounded by the alphabet)."""
-
-    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
-        #: For each order from 1: grams, their discounted share, contexts, the context's weight for the lower order.
-        self.orders = orders
-
-    def table(self) -> np.ndarray:
-        """Single precision, made a first symbol at a time, so that a task holds little besides the table itself."""
-        lower = np.full(SIZE, 1.0 / SIZE)
-        for k, (gram, share, context, weight) in enumerate(self.orders):
-            left_over = np.ones(SIZE**k)
-            left_over[context] = weight
-            by = np.argsort(gram)
-            gram, share = gram[by], share[by]
-            last, width = k + 1 == len(self.orders), SIZE ** max(k, 1)
-            now = np.empty(SIZE ** (k + 1), np.float32 if last else np.float64)
-            for first in range(SIZE if k else 1):
-                # the lower order forgets the context's first symbol
-                part = (left_over[first * SIZE ** (k - 1) : (first + 1) * SIZE ** (k - 1), None] * lower.reshape(-1, SIZE)).ravel() if k else left_over[0] * lower
-                x, y = np.searchsorted(gram, (first * width, (first + 1) * width))
-                part[gram[x:y] - first * width] += share[x:y]
-                now[first * width : (first + 1) * width] = np.log(part) if last else part
-            lower = now
-        return lower
+def new_grams(texts: pa.Array, met: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points, and the places of grams that this task has not met (``met`` is its filter and learns them)."""
+    points, at = characters(texts)
+    code = hashes(points)
+    slot = code >> np.uint64(64 - 21)
+    places = np.flatnonzero((met[slot] != code) & own_places(at))
+    _, first = np.unique(code[places], return_index=True)
+    places = places[first]
+    met[slot[places]] = code[places]
+    return points, places
+
+
+def different_grams(docs: DataFrame, text: str, piece_bytes: int) -> DataFrame:
+    """``gram``: the different grams of the texts; tasks send what they have not met before."""
+
+    def listed(batches):
+        met = np.zeros(MET, np.uint64)
+        for batch in batches:
+            for piece in pieces_of(batch, "t", piece_bytes):
+                yield pa.RecordBatch.from_arrays([spelled(*new_grams(piece.column("t"), met))], ["gram"])
+
+    return docs.select(docs[text].alias("t")).mapInArrow(listed, "gram string").distinct()
 
 
 def discounts(counts_of_counts: dict[int, int]) -> tuple[float, float, float]:
@@ -110,48 +118,164 @@ def discounts(counts_of_counts: dict[int, int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05 * k), 0.95 * k) for k, d in zip((1, 2, 3), found))
 
 
+class Model:
+    """Sharded tables of each order from 1: ``shares(gram, share)`` and ``weights(context, weight)``; ``base`` is the
+    probability of any character below order 1 (one more than the trusted texts have, for all that are unknown)."""
+
+    def __init__(self, orders: list[tuple[DataFrame, DataFrame]], base: float):
+        self.orders, self.base = orders, base
+
+    def remove(self) -> None:
+        for shares, weights in self.orders:
+            removed(shares)
+            removed(weights)
+
+
 def train(docs: DataFrame, text: str = "text", piece_bytes: int = 2 << 20) -> Model:
-    """The model of all texts of ``docs``.  The grams of an order are joined with their contexts' totals in Spark."""
-    seen = written(gram_counts(docs, text, piece_bytes), "grams")
-    orders = []
-    counts = seen
+    """The model of all texts of ``docs``; only the numbers of grams seen one to four times reach the driver."""
+    counts = written(gram_counts(docs, text, piece_bytes), "grams")
+    orders, base = [], 1.0
     for k in range(ORDER, 0, -1):
-        if k < ORDER:  # lower orders count the different symbols seen before a gram
-            counts = counts.select((F.col("gram") % (1 << (BITS * k))).cast("int").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+        if k < ORDER:  # lower orders count the different characters seen before a gram
+            lower = written(counts.select(F.substring("gram", 2, k).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")), "grams")
+            removed(counts)
+            counts = lower
         few = {r[0]: r[1] for r in counts.filter("n <= 4").groupBy("n").count().collect()}
         d = discounts(few)
         off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        marked = counts.withColumn("context", F.shiftright("gram", BITS)).withColumn("off", off)
-        totals = marked.groupBy("context").agg(F.sum("n").alias("total"), F.sum("off").alias("gone"))
+        # a context has at most a gram for each character of the alphabet
+        marked = counts.select("gram", "n", F.substring("gram", 1, k - 1).alias("context"), off.alias("off"))
+        totals = written(marked.groupBy("context").agg(F.sum("n").alias("total"), F.sum("off").alias("gone")), "totals")
         shares = marked.join(totals, "context").select("gram", ((F.col("n") - F.col("off")) / F.col("total")).alias("share"))
-        # at most SIZE ** k rows by the alphabet
-        g, c = shares.toPandas(), totals.select("context", (F.col("gone") / F.col("total")).alias("weight")).toPandas()
-        orders.insert(0, (g["gram"].to_numpy(np.int64), g["share"].to_numpy(float), c["context"].to_numpy(np.int64), c["weight"].to_numpy(float)))
-    return Model(orders)
+        orders.insert(0, (written(shares, "shares"), totals.select("context", (F.col("gone") / F.col("total")).alias("weight"))))
+        base = 1.0 / (counts.count() + 1)
+    removed(counts)
+    return Model(orders, base)
 
 
-def perplexity(docs: DataFrame, model: Model, text: str = "text", out: str = "perplexity", piece_bytes: int = 2 << 20) -> DataFrame:
+def gram_probabilities(grams: DataFrame, model: Model) -> DataFrame:
+    """``gram, logp`` for ``grams(gram)``, different ones: each order's table joined with the order below by the gram
+    without its first character.  An unseen context leaves everything to the order below."""
+    wanted = [grams.select("gram")]
+    for k in range(ORDER - 1, 0, -1):
+        wanted.insert(0, wanted[0].select(F.substring("gram", 2, k).alias("gram")).distinct())
+    lower = None
+    for k, (need, (shares, weights)) in enumerate(zip(wanted, model.orders), 1):
+        rows = need.select("gram", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("rest"))
+        rows = rows.join(shares, "gram", "left").join(weights, "context", "left")
+        below = F.lit(model.base)
+        if lower is not None:
+            rows, below = rows.join(lower, "rest"), F.col("below")
+        p = F.coalesce("share", F.lit(0.0)) + F.coalesce("weight", F.lit(1.0)) * below
+        lower = written(rows.select(F.col("gram").alias("rest"), p.alias("below")), "probabilities")
+    return lower.select(F.col("rest").alias("gram"), F.log("below").alias("logp"))
+
+
+class Table:
+    """Log probabilities by hash, found by probing slots."""
+
+    def __init__(self, grams: pa.Array, logp: np.ndarray):
+        raw, at = flat_text(grams)
+        points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        code = hashes(points)[::ORDER]
+        self.bits = max(4, int(2 * len(code)).bit_length())
+        self.code = np.zeros(1 << self.bits, np.uint64)
+        self.logp = np.zeros(1 << self.bits, np.float64)
+        left, step = np.arange(len(code)), 0
+        while len(left):
+            slot = self.slots(code[left], step)
+            free = self.code[slot] == 0
+            _, first = np.unique(slot[free], return_index=True)
+            mine = np.flatnonzero(free)[first]
+            self.code[slot[mine]], self.logp[slot[mine]] = code[left[mine]], logp[left[mine]]
+            left, step = np.delete(left, mine), step + 1
+
+    def slots(self, code: np.ndarray, step: int) -> np.ndarray:
+        return ((code >> np.uint64(64 - self.bits)) + np.uint64(step)) & np.uint64((1 << self.bits) - 1)
+
+    def of(self, code: np.ndarray) -> np.ndarray:
+        slot = self.slots(code, 0)
+        found = self.logp[slot]
+        left, step = np.flatnonzero(self.code[slot] != code), 1
+        while len(left):
+            slot = self.slots(code[left], step)
+            hit = self.code[slot] == code[left]
+            found[left[hit]] = self.logp[slot[hit]]
+            left, step = left[~hit], step + 1
+        return found
+
+
+def text_perplexity(texts: pa.Array, table: Table) -> pa.Array:
+    """Perplexity per character of each text; null for those without any."""
+    points, at = characters(texts)
+    inside = own_places(at)
+    value = np.zeros(len(points), np.float64)
+    value[: len(inside)][inside] = table.of(hashes(points)[inside])
+    n = np.diff(at) - (ORDER - 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return pa.array(np.exp(-row_sums(value, at) / n), mask=n == 0)
+
+
+def perplexity(
+    docs: DataFrame, probabilities: DataFrame, text: str = "text", out: str = "perplexity", piece_bytes: int = 2 << 20, broadcast_grams: int = 4_000_000, block_bytes: int = 32 << 20
+) -> DataFrame:
     """``docs`` with the perplexity per character as ``out``; null for null and empty texts.  A column of that name is
-    replaced, all others pass through."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    replaced, all others pass through.  ``probabilities(gram, logp)`` has all grams of these texts."""
     docs = docs.drop(out)
-    extra = [c for c in docs.columns if c != text]
-    taken = docs.select(*[docs[c].alias(f"c{k}") for k, c in enumerate(extra)], docs[text].alias("t"))
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    taken = docs.select(*[docs[c].alias(v) for c, v in names.items()])
+    t = names[text]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in taken.schema.fields)
+    named = [*[F.col(v).alias(c) for c, v in names.items()], F.col("p").alias(out)]
+
+    def with_values(piece: pa.RecordBatch, table: Table) -> pa.RecordBatch:
+        columns = [piece.column(c) for c in names.values()]
+        return pa.RecordBatch.from_arrays([*columns, text_perplexity(piece.column(t), table)], [*names.values(), "p"])
 
-    def scored(batches):
-        table, log_p = symbols(), shared.value.table()
+    if probabilities.count() <= broadcast_grams:  # 16 bytes a slot of the tasks' tables
+        rows = probabilities.toArrow()
+        shared = docs.sparkSession.sparkContext.broadcast((rows.column("gram").combine_chunks(), rows.column("logp").to_numpy().astype(np.float64)))
+        key = uuid.uuid4().hex
+
+        def scored(batches):
+            own = worker_cache("kneser_ney")
+            if key not in own:
+                own.clear()
+                own[key] = Table(*shared.value)
+            for batch in batches:
+                for piece in pieces_of(batch, t, piece_bytes):
+                    yield with_values(piece, own[key])
+
+        return taken.mapInArrow(scored, f"{kinds}, p double").select(*named)
+
+    def blocked(batches):
+        block, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for piece in pieces_of(batch, "t", piece_bytes):
-                code, at = grams(piece.column("t"), table)
-                n = np.diff(at)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    value = np.exp(-row_sums(log_p[code].astype(np.float64), at) / n)
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(value, mask=n == 0)], [*piece.schema.names, "p"])
+            for piece in pieces_of(batch, t, piece_bytes):
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(np.full(piece.num_rows, block))], [*piece.schema.names, "block"])
+                held += piece.column(t).nbytes
+                if held > block_bytes:
+                    block, held = block + 1, 0
+
+    def needed(batches):
+        last, met = -1, None
+        for batch in batches:
+            marks = batch.column("block").to_numpy()
+            for block in np.unique(marks).tolist():
+                if block != last:
+                    last, met = block, np.zeros(MET, np.uint64)
+                grams = spelled(*new_grams(batch.filter(pa.array(marks == block)).column("t"), met))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), block)), grams], ["block", "gram"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in taken.schema.fields) + ", p double"
-    made = taken.mapInArrow(scored, schema)
-    named = {c: F.col(f"c{k}") for k, c in enumerate(extra)} | {text: F.col("t")}
-    return made.select(*[named[c].alias(c) for c in docs.columns], F.col("p").alias(out))
+    def met_table(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.combine_chunks()
+        table = Table(right.column("gram").combine_chunks(), right.column("logp").to_numpy().astype(np.float64))
+        return pa.Table.from_batches([with_values(b, table) for b in left.combine_chunks().to_batches()])
+
+    blocks = written(taken.mapInArrow(blocked, f"{kinds}, block long"), "blocks")
+    need = blocks.select("block", F.col(t).alias("t")).mapInArrow(needed, "block long, gram string").distinct()
+    answers = need.join(probabilities, "gram").select("block", "gram", "logp")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(met_table, f"{kinds}, p double").select(*named)
 
 
 def thresholds(scores: DataFrame, lang: str, quantile: float) -> DataFrame:
@@ -166,38 +290,53 @@ def thresholds(scores: DataFrame, lang: str, quantile: float) -> DataFrame:
     return reached.groupBy("any", "lang").agg(F.exp(F.min("step") / 1000).alias("threshold"))
 
 
+def held_back(id_column):
+    """A fifth of the trusted documents, which set the limits and which the model does not learn from."""
+    return F.crc32(F.encode(id_column.cast("string"), "UTF-8")) % 5 == 0
+
+
 def quality_classifier(
     docs: DataFrame,
     trusted: DataFrame,
     id_col: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
-    quantile: float = 0.99,
-    margin: float = 1.25,
+    quantile: float = 0.995,
     names: tuple[str, str, str] = ("perplexity", "threshold", "kept"),
-    broadcast_ids: int = 4_000_000,
+    broadcast_ids: int = 1_000_000,
+    broadcast_grams: int = 4_000_000,
 ) -> DataFrame:
     """``docs`` with ``perplexity, threshold, kept`` (or other ``names``; columns of these names are replaced).
 
-    ``trusted`` has the ids (in ``id_col``) of texts to train on and to set the limits by: a document is kept when its
-    perplexity is at most ``margin`` times its language's quantile over trusted texts (a language without trusted
-    texts, or null, takes the quantile over all).  Null and empty texts have no perplexity and are not kept.  Without
-    any trusted text nothing is rejected but those.  Repeated rows score alike; other columns pass through.
+    ``trusted`` has the ids (in ``id_col``) of texts to learn from: the model is trained on four fifths of them, and a
+    document is kept when its perplexity is at most its language's quantile over the other fifth (by a hash of the id).
+    A language without any of these, or null, takes the quantile over all; where no text is held back, nothing is
+    rejected but texts without characters.  Null and empty texts have no perplexity and are not kept.  Repeated rows
+    score alike, texts of any length are read whole, an empty table gives no rows, and other columns pass through
+    whatever their names.
     """
-    ids = trusted.select(trusted[id_col].alias("_trusted")).filter("_trusted is not null").distinct()
+    value, threshold, verdict = names
+    docs = docs.drop(*names)
+    columns = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    plain = docs.select(*[docs[c].alias(v) for c, v in columns.items()])
+    ids = trusted.select(trusted[id_col].alias("own")).filter("own is not null").distinct()
     if trusted.count() <= broadcast_ids:
         ids = F.broadcast(ids)
-    own = docs.join(ids, docs[id_col] == F.col("_trusted"), "left_semi").filter(F.length(text) > 0)
-    model = train(own, text)
-    limits = thresholds(perplexity(own.select(lang, text), model, text), lang, quantile)
-    limits = written(limits, "limits")
-    by_lang = limits.filter("not any").select(F.col("lang").alias("_lang"), F.col("threshold").alias("_own"))
+    own = plain.join(ids, F.col(columns[id_col]) == F.col("own"), "left_semi").filter(F.length(columns[text]) > 0)
+    back = held_back(F.col(columns[id_col]))
+    model = train(own.filter(~back), columns[text])
+    grams = written(different_grams(plain, columns[text], 2 << 20), "wanted")
+    table = gram_probabilities(grams, model)
+    limits = perplexity(own.filter(back).select(F.col(columns[lang]).alias("lang"), F.col(columns[text]).alias("t")), table, "t", broadcast_grams=broadcast_grams)
+    limits = written(thresholds(limits, "lang", quantile), "limits")
+    model.remove()
+    removed(grams)
+    by_lang = limits.filter("not any").select(F.col("lang").alias("l"), F.col("threshold").alias("own_limit"))
     if limits.count() <= 100_000:
         by_lang = F.broadcast(by_lang)
-    rest = limits.filter("any").select(F.col("threshold").alias("_all"))  # at most one row
-    value, threshold, verdict = names
-    scored = perplexity(docs.drop(threshold, verdict), model, text, value).join(by_lang, F.col(lang).eqNullSafe(F.col("_lang")), "left")
-    scored = scored.join(F.broadcast(rest), F.lit(True), "left")
-    limit = F.coalesce("_own", "_all") * margin
-    kept = F.col(value).isNotNull() & F.coalesce(F.col(value) <= limit, F.lit(True))
-    return scored.withColumn(threshold, limit).withColumn(verdict, kept).drop("_lang", "_own", "_all")
+    rest = limits.filter("any").select(F.col("threshold").alias("all_limit"))  # at most one row
+    scored = perplexity(plain, table, columns[text], "p", broadcast_grams=broadcast_grams)
+    scored = scored.join(by_lang, F.col(columns[lang]).eqNullSafe(F.col("l")), "left").join(F.broadcast(rest), F.lit(True), "left")
+    limit = F.coalesce("own_limit", "all_limit")
+    kept = F.col("p").isNotNull() & F.coalesce(F.col("p") <= limit, F.lit(True))
+    return scored.select(*[F.col(v).alias(c) for c, v in columns.items()], F.col("p").alias(value), limit.alias(threshold), kept.alias(verdict))

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -16,13 +17,11 @@ from .test_corpus import WORD, brute_components, check_packing
 
 def brute_perplexity(texts, trusted):
     """Interpolated modified Kneser-Ney by dictionaries, straight from the definition."""
-    table = kneser_ney.symbols()
-    symbol = lambda c: int(table[ord(c)]) if ord(c) < len(table) else kneser_ney.WIDE + ((ord(c) >> 13) & 3)
     order = kneser_ney.ORDER
 
     def grams(t):
-        s = [kneser_ney.EDGE] * (order - 1) + [symbol(c) for c in t]
-        return [tuple(s[k : k + order]) for k in range(len(t))]
+        s = chr(kneser_ney.EDGE) * (order - 1) + t
+        return [s[k : k + order] for k in range(len(t))]
 
     counts = {order: Counter(g for t in trusted for g in grams(t))}
     for k in range(order - 1, 0, -1):
@@ -37,7 +36,7 @@ def brute_perplexity(texts, trusted):
 
     def p(g):
         if not g:
-            return 1 / kneser_ney.SIZE
+            return 1 / (len(counts[1]) + 1)
         k, context = len(g), g[:-1]
         if not total[k][context]:
             return p(g[1:])
@@ -46,19 +45,20 @@ def brute_perplexity(texts, trusted):
         return share + gone[k][context] / total[k][context] * p(g[1:])
 
     known = {}
-    return [math.exp(-sum(math.log(known.setdefault(g, None) or known.__setitem__(g, p(g)) or known[g]) for g in grams(t)) / len(t)) if t else None for t in texts]
+    return [math.exp(-sum(math.log(known.get(g) or known.setdefault(g, p(g))) for g in grams(t)) / len(t)) if t else None for t in texts]
 
 
 def brute_quality(rows, labels):
     trusted_ids = {r.doc_id for r in labels if r.quality == 1}
-    trusted = [r.text for r in rows if r.doc_id in trusted_ids and r.text]
+    back = lambda r: zlib.crc32(str(r.doc_id).encode()) % 5 == 0
+    trusted = [r.text for r in rows if r.doc_id in trusted_ids and r.text and not back(r)]
     scores = brute_perplexity([r.text or "" for r in rows], trusted)
     limit = {}
-    for lang in {r.lang for r in rows}:
-        steps = sorted(math.ceil(math.log(s) * 1000) for r, s in zip(rows, scores) if r.doc_id in trusted_ids and r.lang == lang and s)
+    for lang in {None} | {r.lang for r in rows}:
+        steps = sorted(math.ceil(math.log(s) * 1000) for r, s in zip(rows, scores) if r.doc_id in trusted_ids and back(r) and lang in (None, r.lang) and s)
         if steps:
-            limit[lang] = 1.25 * math.exp(next(x for k, x in enumerate(steps) if sum(y <= x for y in steps) >= 0.99 * len(steps)) / 1000)
-    return [r for r, s in zip(rows, scores) if s is not None and s <= limit[r.lang]]
+            limit[lang] = math.exp(next(x for k, x in enumerate(steps) if sum(y <= x for y in steps) >= 0.995 * len(steps)) / 1000)
+    return [r for r, s in zip(rows, scores) if s is not None and s <= limit.get(r.lang, limit.get(None, math.inf))]
 
 
 def brute_mix(rows):
