@@ -6,7 +6,7 @@ splitter key is a bounded prefix plus a hash of the text, so that what is sample
 the length of the texts; equal texts have equal keys and the full text is the next sort column.
 
 Hot groups: a text whose copies exceed ``1 / hot_share`` of all rows (at most ``hot_share`` texts can) is salted
-over several ranges, and its per-salt results, a row for each salt, are merged afterwards.
+over as many ranges as its size asks for, and its per-salt results, a row for each salt, are merged afterwards.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ def exact_duplicates(
     text: str | Column = "text",
     keep: str = "smallest",
     hot_share: int = 2_000,
-    salts: int = 64,
     prefix: int = 24,
 ) -> DataFrame:
     """One row per row of ``docs``: ``id_col, keep_id, group_size, kept, text_sha256``.
@@ -39,9 +38,10 @@ def exact_duplicates(
     total = docs.count()
     limit = max(256, total // hot_share)
     # at most hot_share hashes can have more rows than total / hot_share: a proven bound for the broadcast
-    hot = rows.groupBy("_hash").agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select("_hash", F.lit(True).alias("_hot"))
+    hot = rows.groupBy("_hash").agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select("_hash", F.ceil(F.col("_n") / limit).alias("_salts"))
     rows = rows.join(F.broadcast(hot), "_hash", "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int")).otherwise(F.lit(-1))
+        # copies of one row share their id: the task that reads them tells them apart
+        "_salt", F.when(F.col("_salts") > 0, F.pmod(F.xxhash64("_id", F.spark_partition_id()), F.col("_salts")).cast("int")).otherwise(F.lit(-1))
     )
     ranged = rows.withColumn("_prefix", F.substring("_text", 1, prefix)).repartitionByRange(
         max(partitions(spark), 1), "_prefix", "_hash", "_salt"
@@ -63,7 +63,7 @@ def exact_duplicates(
         F.col("_id").alias(id_col),
         keep_id.alias("keep_id"),
         F.coalesce("_all_size", "_size").cast("long").alias("group_size"),
-        (F.col("_id") == keep_id).alias("kept"),
+        F.col("_id").eqNullSafe(keep_id).alias("kept"),
         "text_sha256",
     )
 
@@ -72,7 +72,7 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     """One row of each text, that with the smallest (or largest) id; rows without an id stay only where no other has the text."""
     several = exact_duplicates(docs, id_col, text, **options).filter("group_size > 1")
     key = lambda i, sha: F.xxhash64(i.isNull(), i, sha)
-    rows = several.select(key(F.col(id_col), F.col("text_sha256")).alias("_key"), F.coalesce("kept", F.col("keep_id").isNull()).alias("_stays"))
+    rows = several.select(key(F.col(id_col), F.col("text_sha256")).alias("_key"), F.col("kept").alias("_stays"))
     judged = written(rows.groupBy("_key", "_stays").agg(F.count("*").alias("_rows")), "judged")
     dropped, repeated = judged.filter("not _stays").select(F.col("_key").alias("_dropped")), judged.filter("_stays and _rows > 1").select(F.col("_key").alias("_repeated"))
     return first_of_keys(docs, key(docs[id_col].cast("long"), F.sha2(F.coalesce(docs[text], F.lit("")), 256)), dropped, repeated, broadcast_ids)

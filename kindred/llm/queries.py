@@ -87,7 +87,7 @@ QUERIES = {
 
 EXACT_DEDUP_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-       doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
@@ -109,12 +109,20 @@ targets AS (
          CASE WHEN ratio < level THEN cap::DOUBLE
               ELSE weight * (SELECT l.level FROM leveled l WHERE NOT l.ratio < l.level ORDER BY l.ratio, l.source ASC NULLS LAST LIMIT 1) END AS target
   FROM leveled),
-drawn AS (
-  SELECT doc_id, size, source_size, target,
+rated AS (
+  SELECT doc_id, size, sized.source, source_size, target,
          CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-         ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
-  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
-SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS taken FROM drawn
+         size - size % (1::BIGINT << greatest(0, len(bin(size)) - 3)) AS class,
+         ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw,
+         ('0x' || substr(md5('mix|' || coalesce('s' || sized.source, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS start
+  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source, class ORDER BY draw) AS place,
+         count(*) OVER (PARTITION BY source ORDER BY class) AS upto, count(*) OVER (PARTITION BY source, class) AS docs FROM rated),
+quotas AS (
+  SELECT *, floor(start + (rate - floor(rate)) * upto) - floor(start + (rate - floor(rate)) * (upto - docs)) AS more FROM placed),
+limited AS (SELECT *, max(CASE WHEN place = more THEN draw END) OVER (PARTITION BY source, class) AS last FROM quotas)
+SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + CASE WHEN draw <= last THEN 1 ELSE 0 END) AS taken FROM limited
 """
 
 ORACLE_SQL = {"op3_exact_dedup": EXACT_DEDUP_SQL, "op9_mixing": MIXING_SQL}

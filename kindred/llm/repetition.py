@@ -33,7 +33,8 @@ def repeat_lengths(codes: np.ndarray, row: np.ndarray, end: np.ndarray, least: i
     fresh[1:] = key[order][1:] != key[order][:-1]
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    levels, span = [rank], 1
+    span, enough, level = 1, int(np.log2(max(1, least))), 0
+    early = rank.copy()  # ranks by as many words as the largest doubled length within ``least``
     shared = ~fresh
     shared[:-1] |= ~fresh[1:]
     active = order[shared]
@@ -49,31 +50,45 @@ def repeat_lengths(codes: np.ndarray, row: np.ndarray, end: np.ndarray, least: i
         group[1:] = first[1:] != first[:-1]
         fresh = np.ones(len(active), bool)
         fresh[1:] = key[1:] != key[:-1]
-        rank = rank.copy()
         rank[active] = first + np.maximum.accumulate(np.where(fresh, m, 0)) - np.maximum.accumulate(np.where(group, m, 0))
-        span *= 2
-        levels.append(rank)
+        span, level = span * 2, level + 1
+        if level == enough:
+            early = rank.copy()
         shared = ~fresh
         shared[:-1] |= ~fresh[1:]
         active = active[shared]
-    # neighbours in suffix order that agree on as many words as the largest doubled length within ``least``
-    enough = min(len(levels) - 1, int(np.log2(max(1, least))))
+    if level < enough:
+        early, enough = rank, level
+    # neighbours in suffix order that agree on that many words
     suffixes = np.argsort(rank, kind="stable")
-    a, b = suffixes[:-1], suffixes[1:]
-    near = levels[enough][a] == levels[enough][b]
-    a, b = a[near], b[near]
-    common = np.zeros(len(a), np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        x, y = a + common, b + common
-        inside = (x < end[a]) & (y < end[b])
-        same = inside & (levels[k][np.minimum(x, n - 1)] == levels[k][np.minimum(y, n - 1)])
-        common[same] += 1 << k
+    near = early[suffixes[:-1]] == early[suffixes[1:]]
+    a, b = suffixes[:-1][near], suffixes[1:][near]
+    by = np.argsort(b)
+    a, b = a[by], b[by]
+    common = common_prefixes(memoryview(np.ascontiguousarray(codes, np.int64)), a.tolist(), b.tolist(), np.minimum(end[a] - a, end[b] - b).tolist(), 1 << enough)
     common[common < least] = 0
     np.maximum.at(longest, a, common)
     np.maximum.at(longest, b, common)
     return longest
 
 
+def common_prefixes(codes: memoryview, a: list[int], b: list[int], most: list[int], known: int) -> np.ndarray:
+    """Number of words that the suffixes at ``a`` and ``b`` (neighbours in suffix order, ``b`` rising, both at least
+    ``known`` words alike unless they end before) have in common, at most ``most``.
+
+    In text order a suffix shares at least all but one word of what the suffix before it shares, so comparisons add up
+    to the words in repeats.
+    """
+    out, last, h = np.zeros(len(a), np.int64), -2, 0
+    for k, (x, y, room) in enumerate(zip(a, b, most)):
+        h = h - 1 if y == last + 1 and h > known else known
+        h = min(h, room)
+        while h < room and codes[x + h] == codes[y + h]:
+            h += 1
+        out[k], last = h, y
+    return out
+
+
 def covered_by(start: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
     """Which of ``n`` places lie in the union of the spans."""
     edge = np.zeros(n + 1, np.int64)

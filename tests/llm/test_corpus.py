@@ -183,6 +183,20 @@ def test_repetition_equals_brute_force(spark):
         assert r.base_failed == failed and (not r.kept or not failed)
 
 
+def test_long_periodic_text_in_bounded_memory():
+    """A text of two million words that repeats one word: memory and time stay in proportion."""
+    import tracemalloc
+
+    for text, longest in (("a " * 2_000_000, 1_999_999), ("a b c " * 200_000, 599_997)):
+        column = pa.array([text, "x y z"])
+        tracemalloc.start()
+        got = repetition.measures(column, 10)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got["longest_repeat"].tolist() == [longest, 0] and got["n_covered_words"][0] == got["n_words"][0]
+        assert peak < 300 * got["n_words"][0]
+
+
 def check_packing(rows, texts, window=2048):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
@@ -362,6 +376,9 @@ def test_mixing_targets_and_draws(spark):
         held.update({s: 3 * by_source[s][0] for s in over})
     for s in order:
         assert by_source[s][1] == pytest.approx(held.get(s, weight[s] * level))
+    for s in order:  # within a twentieth of the target, or within the largest document
+        own = [r for r in got if sources[r.doc_id] == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(0.05 * own[0].target, max(r.size for r in own))
     copies = mixing.mixed_documents(docs)
     assert copies.columns == docs.columns and copies.count() == sum(r.copies for r in got)
     assert mixing.mix_sources(docs.filter("doc_id < 0")).count() == 0

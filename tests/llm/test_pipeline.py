@@ -75,11 +75,21 @@ def brute_mix(rows):
         if not over:
             break
         held.update(over)
+    draw = lambda key: int(hashlib.md5(f"mix|{key}".encode()).hexdigest()[:13], 16) / 2**52
     out = []
-    for r in rows:
-        rate = held.get(r.source, weight[r.source] * level) / sums[r.source] if sums[r.source] else 0
-        draw = int(hashlib.md5(f"mix|{r.doc_id}".encode()).hexdigest()[:13], 16) / 2**52
-        out += [r.doc_id] * (math.floor(rate) + (draw < rate - math.floor(rate)))
+    for source in order:
+        rate = held.get(source, weight[source] * level) / sums[source] if sums[source] else 0
+        groups = defaultdict(list)
+        for k, r in enumerate(rows):
+            if r.source == source:
+                groups[size[k] - size[k] % (1 << max(0, size[k].bit_length() - 3))].append(r)
+        upto, start = 0, draw("" if source is None else "s" + source)
+        for name in sorted(groups):
+            before, upto = upto, upto + len(groups[name])
+            more = math.floor(start + (rate - math.floor(rate)) * upto) - math.floor(start + (rate - math.floor(rate)) * before)
+            least = sorted(draw(r.doc_id) for r in groups[name])[:more]
+            for r in groups[name]:
+                out += [r.doc_id] * (math.floor(rate) + (draw(r.doc_id) in least))
     return out
 
 
