@@ -40,16 +40,34 @@ def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return padded, begin + (ORDER - 1) * np.arange(len(begin))
 
 
+def mixed(code: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        code ^= code >> np.uint64(29)
+        code *= np.uint64(0xBF58476D1CE4E5B9)
+    code ^= code >> np.uint64(32)
+    return code
+
+
 def hashes(points: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the gram that begins at each place."""
     n = max(len(points) - ORDER + 1, 0)
     code = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(ORDER):
-            code = code * SPREAD + points[k : k + n]
-        code ^= code >> np.uint64(29)
-        code *= np.uint64(0xBF58476D1CE4E5B9)
-    return code ^ (code >> np.uint64(32))
+            code *= SPREAD
+            code += points[k : k + n]
+    return mixed(code)
+
+
+def coded(grams: pa.Array) -> np.ndarray:
+    """The hashes of grams given as strings (see :func:`hashes`)."""
+    raw, _ = flat_text(grams)
+    points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
+    code = np.zeros(len(points), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(ORDER):
+            code = code * SPREAD + points[:, k]
+    return mixed(code)
 
 
 def own_places(at: np.ndarray) -> np.ndarray:
@@ -131,7 +149,7 @@ class Model:
             removed(weights)
 
 
-def train(docs: DataFrame, text: str = "text", piece_bytes: int = 2 << 20) -> Model:
+def train(docs: DataFrame, text: str = "text", piece_bytes: int = 1 << 20) -> Model:
     """The model of all texts of ``docs``; only the numbers of grams seen one to four times reach the driver."""
     counts = written(gram_counts(docs, text, piece_bytes), "grams")
     orders, base = [], 1.0
@@ -174,10 +192,7 @@ def gram_probabilities(grams: DataFrame, model: Model) -> DataFrame:
 class Table:
     """Log probabilities by hash, found by probing slots."""
 
-    def __init__(self, grams: pa.Array, logp: np.ndarray):
-        raw, at = flat_text(grams)
-        points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-        code = hashes(points)[::ORDER]
+    def __init__(self, code: np.ndarray, logp: np.ndarray):
         self.bits = max(4, int(2 * len(code)).bit_length())
         self.code = np.zeros(1 << self.bits, np.uint64)
         self.logp = np.zeros(1 << self.bits, np.float64)
@@ -217,7 +232,7 @@ def text_perplexity(texts: pa.Array, table: Table) -> pa.Array:
 
 
 def perplexity(
-    docs: DataFrame, probabilities: DataFrame, text: str = "text", out: str = "perplexity", piece_bytes: int = 2 << 20, broadcast_grams: int = 4_000_000, block_bytes: int = 32 << 20
+    docs: DataFrame, probabilities: DataFrame, text: str = "text", out: str = "perplexity", piece_bytes: int = 1 << 20, broadcast_grams: int = 4_000_000, block_bytes: int = 31 << 20
 ) -> DataFrame:
     """``docs`` with the perplexity per character as ``out``; null for null and empty texts.  A column of that name is
     replaced, all others pass through.  ``probabilities(gram, logp)`` has all grams of these texts."""
@@ -234,7 +249,8 @@ def perplexity(
 
     if probabilities.count() <= broadcast_grams:  # 16 bytes a slot of the tasks' tables
         rows = probabilities.toArrow()
-        shared = docs.sparkSession.sparkContext.broadcast((rows.column("gram").combine_chunks(), rows.column("logp").to_numpy().astype(np.float64)))
+        shared = docs.sparkSession.sparkContext.broadcast((np.concatenate([coded(c) for c in rows.column("gram").chunks] or [np.zeros(0, np.uint64)]), rows.column("logp").to_numpy()))
+        del rows
         key = uuid.uuid4().hex
 
         def scored(batches):
@@ -268,8 +284,7 @@ def perplexity(
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), block)), grams], ["block", "gram"])
 
     def met_table(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.combine_chunks()
-        table = Table(right.column("gram").combine_chunks(), right.column("logp").to_numpy().astype(np.float64))
+        table = Table(np.concatenate([coded(c) for c in right.column("gram").chunks] or [np.zeros(0, np.uint64)]), right.column("logp").to_numpy())
         return pa.Table.from_batches([with_values(b, table) for b in left.combine_chunks().to_batches()])
 
     blocks = written(taken.mapInArrow(blocked, f"{kinds}, block long"), "blocks")
@@ -325,7 +340,7 @@ def quality_classifier(
     own = plain.join(ids, F.col(columns[id_col]) == F.col("own"), "left_semi").filter(F.length(columns[text]) > 0)
     back = held_back(F.col(columns[id_col]))
     model = train(own.filter(~back), columns[text])
-    grams = written(different_grams(plain, columns[text], 2 << 20), "wanted")
+    grams = written(different_grams(plain, columns[text], 1 << 20), "wanted")
     table = gram_probabilities(grams, model)
     limits = perplexity(own.filter(back).select(F.col(columns[lang]).alias("lang"), F.col(columns[text]).alias("t")), table, "t", broadcast_grams=broadcast_grams)
     limits = written(thresholds(limits, "lang", quantile), "limits")
