@@ -232,7 +232,7 @@ def text_perplexity(texts: pa.Array, table: Table) -> pa.Array:
 
 
 def perplexity(
-    docs: DataFrame, probabilities: DataFrame, text: str = "text", out: str = "perplexity", piece_bytes: int = 1 << 20, broadcast_grams: int = 4_000_000, block_bytes: int = 31 << 20
+    docs: DataFrame, probabilities: DataFrame, text: str = "text", out: str = "perplexity", piece_bytes: int = 1 << 20, broadcast_grams: int = 4_000_000, block_bytes: int = 32 << 20
 ) -> DataFrame:
     """``docs`` with the perplexity per character as ``out``; null for null and empty texts.  A column of that name is
     replaced, all others pass through.  ``probabilities(gram, logp)`` has all grams of these texts."""

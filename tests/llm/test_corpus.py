@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kindred.llm.common import written
@@ -278,8 +279,55 @@ def test_secrets_behind_names_and_addresses(spark):
     assert [found[k] for k in range(len(texts))] == [{(c, True) for c in w} for w in wanted]
     assert not any(yes for k in range(45, 85) for _, yes in found[k])
     assert [r.place for r in rows if r.candidate == base64] == [1] and len({(r.doc_id, r.word_index, r.place) for r in rows}) == len(rows)
-    labels = secrets.distant_labels(secrets.features(secrets.candidates(docs.filter(f"doc_id < {len(texts)}"))))
-    assert labels.filter("label = 0").count() == 0
+
+
+def brute_candidates(text, least=8):
+    """Runs with a digit, or assigned to a name that announces a secret, straight from the definition."""
+    words, out = re.split(r"[ \t-\r]+", text or ""), []
+    announces = lambda w: bool(re.search("(?:^|[^a-z0-9])(?:" + "|".join(secrets.KEY_WORDS) + ")(?:$|[^a-z0-9])", re.sub("(?<=[a-z0-9])(?=[A-Z])", "_", w).lower()))
+    for k, w in enumerate(words):
+        end = 0
+        for place, m in enumerate(re.finditer(r"[A-Za-z0-9+/_\-]{%d,}" % least, w)):
+            # what stands between the run before and this one belongs to the lead, and so does that run
+            start = [0, *[x.start() for x in re.finditer(r"[A-Za-z0-9+/_\-]{%d,}" % least, w)]][place]
+            lead, tail = w[start : m.start()][-200:], w[m.end() :]
+            name = "" if m[0].startswith("//") else (re.search(secrets.NAME, lead) or [None, ""])[1]
+            before = [name + "=", words[k - 1] if k else ""] if name else [words[k - 1] if k else "", words[k - 2] if k > 1 else ""]
+            given = re.search(secrets.ASSIGNED, before[0]) and re.search("(?:^|[:=>\"'`(\\[{])$", lead) and any(map(announces, before))
+            nxt = re.split(r"[A-Za-z0-9+/_\-]{%d,}" % least, tail)[0]
+            if re.search("[0-9]", m[0]) or (given and not re.search(secrets.NAMED, nxt)):
+                out.append((k, place, m[0]))
+            end = m.end()
+    return out
+
+
+def test_secret_candidates_equal_brute_force(spark):
+    random.seed(21)
+    bits = ["token", "password", "Key", " ", " ", "=", ": ", ":", '"', "'", "abcdefgh", "A1b2C3d4", "12345678", "/x/", "-", "_", "//", ".", "secretary ", "{", "é"]
+    texts = EDGES + ["".join(random.choices(bits, k=random.randint(1, 25))) for _ in range(400)]
+    got = defaultdict(list)
+    for r in secrets.candidates(table(spark, texts)).collect():
+        got[r.doc_id].append((r.word_index, r.place, r.candidate))
+    for k, t in enumerate(texts):
+        assert sorted(got[k]) == brute_candidates(t), t
+
+
+def test_planted_findings_of_documents_not_learnt_from(spark):
+    """Precision and recall by kind on documents that the forest has not seen."""
+    docs = queries.documents(spark, "/root/testdata/sf0.001")
+    found = written(secrets.labelled_findings(docs), "found").repartition(4)
+    learn, judge = found.filter("number % 2 = 0"), found.filter("number % 2 = 1")
+    words = secrets.corpus_words(docs)
+    ways = written(secrets.dictionary(words), "d"), written(secrets.transitions(words), "t")
+    texts = spark.createDataFrame([(r.key, r.text) for r in written(secrets.planted(docs), "p").selectExpr("concat_ws('|', number, kind) AS key", "text", "number").filter("number % 2 = 1").collect()], "doc_id string, text string")
+    got = secrets.scan(texts, learn).groupBy("doc_id", "candidate").agg(F.max("is_secret").alias("yes"))
+    judged = judge.join(got.withColumnRenamed("doc_id", "key"), ["key", "candidate"])
+    by_kind = {(r.kind, r.label): (r.n, r.yes) for r in judged.groupBy("kind", "label").agg(F.count("*").alias("n"), F.count_if("yes").alias("yes")).collect()}
+    caught, real = sum(y for (_, x), (n, y) in by_kind.items() if x == 1), sum(n for (_, x), (n, y) in by_kind.items() if x == 1)
+    alarms = sum(y for (_, x), (n, y) in by_kind.items() if x == 0)
+    assert ways[0].count() > 50 and ways[1].count() > 50
+    assert len({k for k, x in by_kind if x == 1}) >= 10 and real > 500
+    assert caught >= 0.95 * real and caught >= 0.95 * (caught + alarms), by_kind
 
 
 def brute_scores(spark, docs, probabilities, **ways):
