@@ -172,8 +172,12 @@ def coverage_select(df: DataFrame, label: str, entity: str, id_col: str, target:
         covered = b.join(chosen, entity, "left_semi").select("_class").distinct()
         chosen = chosen.union(best(b.join(covered, "_class", "left_anti"), 1)).distinct()
     sizes = df.groupBy(entity).agg(F.count("*").alias("n")).join(chosen.withColumn("_chosen", F.lit(1)), entity, "left")
-    order = Window.orderBy(F.coalesce("_chosen", F.lit(0)).desc(), hash_order(entity, seed), entity)
-    running = sizes.withColumn("_sum", F.sum("n").over(order))
+    # buckets in the order of the hash, the chosen before them: their sums give each bucket's start
+    dealt = sizes.withColumn("_d", hash_order(entity, seed)).withColumn("_b", F.when(F.col("_chosen").isNotNull(), -1).otherwise(F.conv(F.substring("_d", 1, 3), 16, 10).cast("int")))
+    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most 4,097 rows
+    starts = dealt.groupBy("_b").agg(F.sum("n").alias("_all")).select("_b", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_start"))
+    within = F.sum("n").over(Window.partitionBy("_b").orderBy("_d", entity))
+    running = dealt.withColumn("_own", within).join(F.broadcast(starts), "_b").withColumn("_sum", F.col("_start") + F.col("_own"))
     return running.filter(F.col("_chosen").isNotNull() | (F.col("_sum") <= 1.15 * target)).select(entity, F.col("_chosen").isNotNull().alias("for_coverage"))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: References are broadcast up to so many.
+MOST_REFS = 50_000
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
@@ -43,7 +45,8 @@ def nearest_canonical(vectors: DataFrame, refs: DataFrame, least: float = 0.82)
     """
     from ..functions.similarity import cosine
 
-    met = vectors.join(F.broadcast(refs.select("ref", F.col("vec").alias("_r"))))
+    table = refs.select("ref", F.col("vec").alias("_r"))
+    met = vectors.join(F.broadcast(table) if table.count() <= MOST_REFS else table)
     sims = met.select("id", "ref", F.round(cosine(F.col("vec"), F.col("_r")), 6).alias("sim"))
     best = sims.groupBy("id").agg(F.min_by("ref", F.struct(-F.col("sim"), F.col("ref"))).alias("ref"), F.max("sim").alias("sim"))
     return best.withColumn("ref", F.when(F.col("sim") >= least, F.col("ref")))
@@ -56,9 +59,14 @@ def merge_ranges(observations: DataFrame, entity: str, ranges: dict[str, tuple[s
 
 
 def merge_lists(observations: DataFrame, entity: str, source: str, listed: str) -> DataFrame:
-    """Union of lists per entity in first-seen order, sources in order."""
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct(F.col(source), F.col(listed)))), lambda s: s[listed])
-    return observations.groupBy(entity).agg(F.array_distinct(F.flatten(in_order)).alias(listed))
+    """Union of lists per entity in first-seen order: by source, then place in the list (ties by value).
+
+    Repeats collapse before anything is gathered, so a row's list holds distinct values only.
+    """
+    values = observations.select(entity, F.col(source).alias("_s"), F.posexplode_outer(listed).alias("_k", "_v"))
+    first = values.groupBy(entity, "_v").agg(F.min(F.struct("_s", "_k")).alias("_f"))
+    in_order = F.array_sort(F.collect_list(F.when(F.col("_v").isNotNull(), F.struct("_f", "_v"))))
+    return first.groupBy(entity).agg(F.transform(in_order, lambda s: s["_v"]).alias(listed))
 
 
 def merge_values(observations: DataFrame, entity: str, source: str, value: str) -> DataFrame:

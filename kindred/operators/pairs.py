@@ -23,9 +23,23 @@ class PairSpec:
     gates: tuple[str, ...] = ()
 
 
-def field_scores(spec: PairSpec, a: str = "a_", b: str = "b_") -> dict[str, Column]:
-    """Similarity of each vocabulary field; null where it can't be computed."""
+def with_list_scores(met: DataFrame, spec: PairSpec, a: str = "a_", b: str = "b_") -> DataFrame:
+    """``met`` with ``sim_<field>`` for each list field: different pairs of lists are scored once and joined back, since
+    a vocabulary has far fewer of them than there are pairs of entities."""
+    for f, m in spec.lists.items():
+        known = met.filter(F.col(a + f).isNotNull() & F.col(b + f).isNotNull())
+        each = known.select(F.col(a + f).alias("_x"), F.col(b + f).alias("_y")).distinct()
+        each = each.withColumn(f"sim_{f}", S.list_similarity(F.col("_x"), F.col("_y"), m))
+        met = met.join(each, (F.col(a + f) == F.col("_x")) & (F.col(b + f) == F.col("_y")), "left").drop("_x", "_y")
+    return met
+
+
+def field_scores(spec: PairSpec, a: str = "a_", b: str = "b_", listed: bool = False) -> dict[str, Column]:
+    """Similarity of each vocabulary field; null where it can't be computed.  ``listed``: list fields are scored already
+    (:func:`with_list_scores`)."""
     side = lambda p, f: F.col(p + f)
+    if listed:
+        return field_scores(PairSpec(spec.scalars, {}, spec.flags), a, b) | {f: F.col(f"sim_{f}") for f in spec.lists}
     out = {f: S.vocab_similarity(side(a, f), side(b, f), m) for f, m in spec.scalars.items()}
     for f, m in spec.lists.items():
         out[f] = F.when(side(a, f).isNotNull() & side(b, f).isNotNull(), S.list_similarity(side(a, f), side(b, f), m))
@@ -41,14 +55,14 @@ def numeric_scores(spec: PairSpec, a: str = "a_", b: str = "b_") -> dict[str, Co
     return out | {f: S.set_overlap(side(a, f), side(b, f)) for f in spec.sets}
 
 
-def soft_jaccard(spec: PairSpec, weights: dict[str, float] | None = None, a: str = "a_", b: str = "b_") -> Column:
+def soft_jaccard(spec: PairSpec, weights: dict[str, float] | None = None, a: str = "a_", b: str = "b_", listed: bool = False) -> Column:
     """Weighted mean over the fields that both sides have; 0 when nothing compares."""
-    return S.weighted_known(field_scores(spec, a, b), weights)
+    return S.weighted_known(field_scores(spec, a, b, listed), weights)
 
 
-def soft_jaccard_breakdown(spec: PairSpec, a: str = "a_", b: str = "b_") -> Column:
+def soft_jaccard_breakdown(spec: PairSpec, a: str = "a_", b: str = "b_", listed: bool = False) -> Column:
     """Map of field to score for the fields that compare."""
-    entries = [F.struct(F.lit(f).alias("key"), s.alias("value")) for f, s in field_scores(spec, a, b).items()]
+    entries = [F.struct(F.lit(f).alias("key"), s.alias("value")) for f, s in field_scores(spec, a, b, listed).items()]
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
 
 
@@ -56,10 +70,10 @@ def numeric_similarity(spec: PairSpec, a: str = "a_", b: str = "b_") -> Column:
     return S.mean_of_known(*numeric_scores(spec, a, b).values())
 
 
-def pair_features(spec: PairSpec, a: str = "a_", b: str = "b_") -> dict[str, Column]:
+def pair_features(spec: PairSpec, a: str = "a_", b: str = "b_", listed: bool = False) -> dict[str, Column]:
     """All scores of a pair under stable names, null where not computable."""
     gates = {f"gate_{f}": F.when(F.col(a + f).isNotNull() & F.col(b + f).isNotNull(), (F.lower(F.col(a + f)) == F.lower(F.col(b + f))).cast("double")) for f in spec.gates}
-    return {f"vocab_{k}": v for k, v in field_scores(spec, a, b).items()} | {f"num_{k}": v for k, v in numeric_scores(spec, a, b).items()} | gates
+    return {f"vocab_{k}": v for k, v in field_scores(spec, a, b, listed).items()} | {f"num_{k}": v for k, v in numeric_scores(spec, a, b).items()} | gates
 
 
 def sides(pairs: DataFrame, entities: DataFrame, id_col: str, a: str = "query_id", b: str = "cand_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +11,8 @@ from ..functions.similarity import context_boost, gate_equal, gate_opposite, wor
 from . import vectors as V
 from .fusion import STRATEGIES, blend, weights_of
 from .gates import signature_prefilter
-from .pairs import PairSpec, numeric_similarity, sides, soft_jaccard
+from .pairs import PairSpec, numeric_similarity, pair_features, sides, soft_jaccard, with_list_scores
+from .ranker import fuse_learned
 
 
 @dataclass
@@ -67,7 +68,7 @@ def scored(hits: DataFrame, entities: DataFrame | None, s: Search, spec: PairSpe
         if s.signature:
             wide = signature_prefilter(wide, f"a_{s.signature}", f"b_{s.signature}")
         if spec:
-            wide = wide.withColumn("numeric", numeric_similarity(spec)).withColumn("jaccard", soft_jaccard(spec))
+            wide = with_list_scores(wide, spec).withColumn("numeric", numeric_similarity(spec)).withColumn("jaccard", soft_jaccard(spec, listed=True))
     given = {
         "sims": {g: F.col(g) for g in s.groups},
         "ranks": {g: F.col(f"rank_{g}") for g in s.groups},
@@ -94,6 +95,15 @@ def lookalikes(queries: DataFrame, entity_vectors: DataFrame, s: Search, entitie
     return top(scored(candidates(queries, entity_vectors, s), entities, s, spec), s.top_k)
 
 
+def lookalikes_learned(queries: DataFrame, entity_vectors: DataFrame, s: Search, entities: DataFrame, spec: PairSpec, model, features: list[str]) -> DataFrame:
+    """All queries by a learned ranker: a pool twice as large, gates as set, and the ranker's probability in place of the
+    fused score and its boosts."""
+    wide = scored(candidates(queries, entity_vectors, replace(s, top_k=2 * s.top_k)), entities, replace(s, context=None), spec)
+    rows = wide.drop("score").withColumns({k: v for k, v in pair_features(spec, listed=True).items()})
+    ranked = fuse_learned(rows, model, features).select("query_id", "cand_id", F.round("score", 6).alias("score"))
+    return top(ranked, s.top_k)
+
+
 def compare_features(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     """A row per pair and field that either side has: both texts and whether they share a word.
 
@@ -114,8 +124,17 @@ def lookup_entity(names: DataFrame, entities: DataFrame, name: str, key: str) ->
     return found.withColumn("error", F.when(F.col("entity_id").isNull(), F.concat(F.lit("unknown: "), "name")))
 
 
-def enrich(candidates_: DataFrame, images: DataFrame, key: str) -> DataFrame:
-    """Attach each candidate's image references, sorted, as a list of (url, source); a plain text has no source."""
+def with_links(candidates_: DataFrame, sources: DataFrame, key: str) -> DataFrame:
+    """Attach each candidate's source links, sorted, as ``sources``: a list of (name, url), empty for none."""
+    links = sources.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("name", "url"))).alias("sources"))
+    return candidates_.join(links, key, "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<struct<name:string,url:string>>")))
+
+
+def enrich(candidates_: DataFrame, images: DataFrame, key: str, sources: DataFrame | None = None) -> DataFrame:
+    """Attach each candidate's image references, sorted, as a list of (url, source); a plain text has no source.  With
+    ``sources(key, name, url)`` its source links too (:func:`with_links`)."""
+    if sources is not None:
+        candidates_ = with_links(candidates_, sources, key)
     refs = images.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("url", F.coalesce("source", F.lit("")).alias("source")))).alias("images"))
     return candidates_.join(refs, key, "left").withColumn("images", F.coalesce("images", F.array().cast("array<struct<url:string,source:string>>")))
 

@@ -194,18 +194,34 @@ def class_weights(spark, d):
     return six(curate.class_weights(t(spark, d, "labels").withColumn("c", 2 * F.col("quality") + F.col("toxic")), "c"))
 
 
-@query()
+def _coverage_sql(votes: str, per_class: int, second: str = "") -> str:
+    """A class per source, chosen sources by hash within a class, then the running sum in the order of the hash."""
+    return f"""WITH x AS (SELECT *, floor(log10(n_chars)) AS size FROM documents),
+    {votes}, best AS (SELECT source FROM c1 QUALIFY row_number() OVER (PARTITION BY k ORDER BY md5('42|' || source), source) <= {per_class}){second},
+    s AS (SELECT x.source, count(*) AS n, x.source IN (FROM chosen) AS for_coverage FROM x WHERE x.source IS NOT NULL GROUP BY 1),
+    r AS (SELECT *, sum(n) OVER (ORDER BY for_coverage DESC, md5('42|' || source), source) AS upto FROM s)
+    SELECT source, for_coverage FROM r WHERE for_coverage OR upto <= 460"""
+
+
+def _votes_sql(name: str, label: str) -> str:
+    return f"{name} AS (SELECT source, {label} AS k FROM x GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, {label}) = 1)"
+
+
+@query(_coverage_sql(_votes_sql("c1", "lang"), 3, ", chosen AS (FROM best)"))
 def coverage_select(spark, d):
-    x = t(spark, d, "documents").withColumn("user", F.md5("text"))
-    return curate.coverage_select(x, "lang", "source", "doc_id", 400)
+    return curate.coverage_select(t(spark, d, "documents"), "lang", "source", "doc_id", 400)
 
 
-@query()
+@query(_coverage_sql(_votes_sql("c1", "lang") + ", " + _votes_sql("c2", "size"), 2, """, more AS (SELECT source FROM c2 WHERE k NOT IN (SELECT k FROM c2 WHERE source IN (FROM best))
+    QUALIFY row_number() OVER (PARTITION BY k ORDER BY md5('42|' || source), source) <= 1), chosen AS (FROM best UNION FROM more)"""))
 def coverage_select_dual(spark, d):
     return curate.coverage_select(t(spark, d, "documents").withColumn("size", F.floor(F.log10("n_chars"))), "lang", "source", "doc_id", 400, per_class=2, second="size")
 
 
-@query()
+@query("""WITH x AS (SELECT doc_id, lang, source, n_chars, CASE WHEN source IN ('src1', 'src2') THEN 'listed' WHEN lang = 'es' THEN 'rare' WHEN n_chars > 5000 THEN 'heavy' ELSE 'random' END AS stratum FROM documents),
+k AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('42|' || doc_id), doc_id) AS k FROM x),
+f AS (SELECT *, k <= CASE stratum WHEN 'listed' THEN 60 WHEN 'rare' THEN 60 ELSE 40 END AS own FROM k)
+SELECT doc_id, lang, source, n_chars, stratum FROM f ORDER BY own DESC, md5('42|' || doc_id), doc_id LIMIT 200""")
 def stratified_sample(spark, d):
     strata = [("listed", F.col("source").isin("src1", "src2"), 0.3), ("rare", F.col("lang") == "es", 0.3), ("heavy", F.col("n_chars") > 5000, 0.2), ("random", F.lit(True), 0.2)]
     return curate.stratified_sample(t(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"), strata, 200, "doc_id")
@@ -463,8 +479,11 @@ def _hits_sql():
 
 @query(_hits_sql())
 def incremental_topk(spark, d):
-    """Hits of the first part of the vectors, brought up to date by the rest, equal hits over all."""
+    """Hits of an earlier state of the vectors (a third not there yet, a part of the others different), brought up to
+    date, equal hits over all."""
     v = entity_vectors(spark, d)
-    q = v.filter("entity_id % 20 = 0")
-    stored = V.topk_by_group(q, v.filter("entity_id % 3 <> 0"), 20)
-    return streams.incremental_topk(stored, q, v.filter("entity_id % 3 = 0"), 20, V.topk_by_group)
+    other = F.col("entity_id") % 15 == 1
+    earlier = v.filter("entity_id % 3 <> 0").withColumn("vec", F.when(other, F.reverse("vec")).otherwise(F.col("vec")))
+    stored = V.topk_by_group(earlier.filter("entity_id % 20 = 0"), earlier, 20)
+    changed = v.filter((F.col("entity_id") % 3 == 0) | other)
+    return streams.incremental_topk(stored, v.filter("entity_id % 20 = 0"), v, changed, 20, V.topk_by_group)

@@ -184,8 +184,16 @@ def list_similarity(spark, d):
 
 @query(f"WITH {ENT}, {PART_PAIRS} SELECT query_id, cand_id, round({JACCARD}, 6) AS score, round((0.25 * ({TYPE_SIM.format(a='a.form', b='b.form')})::DOUBLE + {WORDS_SIM}) / 1.25, 6) AS tuned {BOTH}")
 def soft_jaccard(spark, d):
-    x = part_pairs(spark, d)
-    return x.select("query_id", "cand_id", F.round(pairs.soft_jaccard(SPEC), 6).alias("score"), F.round(pairs.soft_jaccard(SPEC, {"form": 0.25}), 6).alias("tuned"))
+    x = pairs.with_list_scores(part_pairs(spark, d), SPEC)
+    both = pairs.soft_jaccard(SPEC, listed=True), pairs.soft_jaccard(SPEC, {"form": 0.25}, listed=True)
+    return x.select("query_id", "cand_id", F.round(both[0], 6).alias("score"), F.round(both[1], 6).alias("tuned"))
+
+
+@query(f"WITH {ENT}, {PART_PAIRS} SELECT query_id, cand_id, 'form' AS field, ({TYPE_SIM.format(a='a.form', b='b.form')})::DOUBLE AS score {BOTH} UNION ALL SELECT query_id, cand_id, 'words' AS field, round(({WORDS_SIM})::DOUBLE, 6) AS score {BOTH}")
+def soft_jaccard_breakdown(spark, d):
+    """The score of each field that compares, a row each."""
+    x = pairs.with_list_scores(part_pairs(spark, d), SPEC)
+    return x.select("query_id", "cand_id", F.explode(pairs.soft_jaccard_breakdown(SPEC, listed=True)).alias("field", "score")).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {ENT}, {PART_PAIRS} SELECT query_id, cand_id, ({SIZE_SIM})::DOUBLE AS score {BOTH}")
@@ -219,7 +227,8 @@ round({WIDTH_SIM}, 6) AS num_size, (a.form = b.form)::INT::DOUBLE AS gate_form,
 
 @query(f"WITH {ENT}, {PART_PAIRS} SELECT query_id, cand_id, {FEATURES_SQL} {BOTH}")
 def pair_features(spark, d):
-    return part_pairs(spark, d).select("query_id", "cand_id", *[F.round(c, 6).alias(k) for k, c in pairs.pair_features(SPEC).items()])
+    x = pairs.with_list_scores(part_pairs(spark, d), SPEC)
+    return x.select("query_id", "cand_id", *[F.round(c, 6).alias(k) for k, c in pairs.pair_features(SPEC, listed=True).items()])
 
 
 @query(f"WITH {ENT} SELECT a.id AS query_id, count(*) AS n, sum(b.id)::BIGINT AS ids FROM ent a JOIN ent b ON a.category = b.category AND a.id <> b.id GROUP BY 1")
@@ -343,6 +352,15 @@ def enrich(spark, d):
     return out.select("c_custkey", F.transform("images", lambda i: F.concat(i["url"], F.lit(":"), i["source"])).alias("images"))
 
 
+@query("""SELECT s_suppkey, coalesce(list(x ORDER BY x) FILTER (x IS NOT NULL), []) AS sources FROM supplier LEFT JOIN
+(SELECT DISTINCT l_suppkey, l_linestatus || '>' || l_returnflag AS x FROM lineitem) ON l_suppkey = s_suppkey GROUP BY 1""")
+def enrich_sources(spark, d):
+    """The source links of each entity."""
+    links = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_linestatus").alias("name"), F.col("l_returnflag").alias("url"))
+    out = retrieve.with_links(t(spark, d, "supplier").select("s_suppkey"), links, "s_suppkey")
+    return out.select("s_suppkey", F.transform("sources", lambda x: F.concat(x["name"], F.lit(">"), x["url"])).alias("sources"))
+
+
 @query("SELECT p_name, p_type AS status, count(*) AS n FROM part GROUP BY 1, 2")
 def entity_summary(spark, d):
     return t(spark, d, "part").groupBy("p_name", F.col("p_type").alias("status")).agg(F.count("*").alias("n")).orderBy("p_name", "status")
@@ -419,19 +437,19 @@ def pass_rate(spark, d):
     return six(E.pass_rate(ranks(spark, d)))
 
 
-STRATEGY_SQL = {"weighted": f"SELECT query_id, cand_id, {four(WEIGHTED)} AS score FROM ({ZERO})", "rrf": f"SELECT query_id, cand_id, {four(RRF)} AS score FROM ({ZERO})"}
+STRATEGY_SQL = {"weighted": f"SELECT query_id, cand_id, {four(WEIGHTED)} AS score FROM ({ZERO})", "rrf": f"SELECT query_id, cand_id, {four(RRF)} AS score FROM ({ZERO})", "contrastive": CONTRAST}
 
 
 @query(
     f"WITH {WIDE}, {DIRECTED}, sc AS ("
     + " UNION ALL ".join(f"SELECT '{n}' AS strategy, * FROM ({s})" for n, s in STRATEGY_SQL.items())
     + """), top AS (SELECT *, row_number() OVER (PARTITION BY strategy, query_id ORDER BY score DESC, cand_id) AS rank FROM sc QUALIFY rank <= 10)
-SELECT s.strategy, count(*) AS total, count(t.rank) FILTER (t.rank <= 5) AS hits_5, count(t.rank) AS hits_10 FROM dir d CROSS JOIN (SELECT unnest(['weighted', 'rrf']) AS strategy) s
+SELECT s.strategy, count(*) AS total, count(t.rank) FILTER (t.rank <= 5) AS hits_5, count(t.rank) AS hits_10 FROM dir d CROSS JOIN (SELECT unnest(['weighted', 'rrf', 'contrastive']) AS strategy) s
 LEFT JOIN top t ON t.strategy = s.strategy AND t.query_id = d.query_id AND t.cand_id = d.target_id GROUP BY 1"""
 )
 def compare_strategies(spark, d):
     out = None
-    for name in ("weighted", "rrf"):
+    for name in ("weighted", "rrf", "contrastive"):
         r = E.target_rank(bidirectional(spark, d), retrieve.top(fused(spark, d, name).select("query_id", "cand_id", "score"), 10))
         row = r.agg(F.count("*").alias("total"), F.count_if(F.col("rank") <= 5).alias("hits_5"), F.count("rank").alias("hits_10")).withColumn("strategy", F.lit(name))
         out = row if out is None else out.unionByName(row)
@@ -517,7 +535,7 @@ def alpha_grid(spark, d):
 def sample_weights(spark, d):
     """The ten best of 160 sampled configurations over the candidate matrix."""
     m = matrix_with_targets(spark, d)
-    return E.best(E.rescore_many(m, E.sample_weights(m, 4, GROUPS), GROUPS))
+    return E.best(E.rescore_bulk(m, E.sample_weights(m, 4, GROUPS), GROUPS))
 
 
 @query()
@@ -537,7 +555,15 @@ def optimize_field_weights(spark, d):
 NEG = 5
 
 
-@query()
+#: The ring of draws: an anchor takes the entities that follow its own draw, less itself, its partner and known ones.
+RING_SQL = f"""{KNOWN}, pair_of AS (SELECT a, b AS neg FROM known UNION SELECT b, a FROM known),
+ring AS (SELECT vec_id AS neg, row_number() OVER (ORDER BY md5('42|' || vec_id), vec_id) - 1 AS place, count(*) OVER () AS n FROM embeddings),
+drawn AS (SELECT a, b, ('0x' || substr(md5('42|' || a || '|' || b), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings) AS start FROM known),
+ng AS (SELECT a, b, neg, row_number() OVER (PARTITION BY a, b ORDER BY (place - start + n) % n) AS k FROM drawn, ring
+WHERE neg <> a AND neg <> b AND (a, neg) NOT IN (SELECT (a, neg) FROM pair_of) QUALIFY k <= {NEG})"""
+
+
+@query(f"WITH {RING_SQL} SELECT a, b, neg FROM ng")
 def sample_negatives(spark, d):
     return ranker.sample_negatives(known_pairs(spark, d), t(spark, d, "embeddings").select(F.col("vec_id").alias("id")), NEG)
 
@@ -550,9 +576,9 @@ def hard_negatives(spark, d):
 def planted_pairs(spark, d):
     """Pairs of parts labelled by a planted rule (same form and close in size), with features: the vectors' labels
     carry no signal."""
-    x = part_pairs(spark, d)
+    x = pairs.with_list_scores(part_pairs(spark, d), SPEC)
     label = ((F.col("a_form") == F.col("b_form")) & (F.abs(F.col("a_size") - F.col("b_size")) <= 10)).cast("double")
-    return x.select("query_id", "cand_id", label.alias("label"), *[c.alias(k) for k, c in pairs.pair_features(SPEC).items()])
+    return x.select("query_id", "cand_id", label.alias("label"), *[c.alias(k) for k, c in pairs.pair_features(SPEC, listed=True).items()])
 
 
 RANKER_FEATURES = ["vocab_form", "vocab_words", "num_size_class", "num_price", "num_size", "gate_form", "gate_size_class"]
@@ -585,6 +611,14 @@ def train_ranker(spark, d):
     return ranker.fuse_learned(rows, model, RANKER_FEATURES).select("query_id", "cand_id", "label", F.round("score", 6).alias("score"))
 
 
+@query()
+def lookalikes_learned(spark, d):
+    """The ten best of each query by a ranker trained on planted pairs."""
+    model, _ = ranker.train_ranker(planted_pairs(spark, d), RANKER_FEATURES, "query_id", folds=2, maxIter=5, maxDepth=3)
+    v = entity_vectors(spark, d)
+    return retrieve.lookalikes_learned(v.filter("entity_id % 20 = 0"), v, retrieve.Search(groups=GROUPS), entities(spark, d), SPEC, model, RANKER_FEATURES)
+
+
 @query()
 def inversion_check(spark, d):
     return ranker.inversion_check(train_ranker(spark, d))

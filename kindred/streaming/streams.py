@@ -86,12 +86,25 @@ def newest_version(spark: SparkSession, path: str, query: StreamingQuery) -> Dat
     return spark.read.parquet(f"{path}/v{max(p['batchId'] for p in query.recentProgress if p['numInputRows'])}")
 
 
-def incremental_topk(hits: DataFrame, queries: DataFrame, changed: DataFrame, k: int, search: Callable[[DataFrame, DataFrame, int], DataFrame]) -> DataFrame:
-    """Stored hits brought up to date after ``changed(entity_id, grp, vec)`` vectors were added.
+def incremental_topk(hits: DataFrame, queries: DataFrame, vectors: DataFrame, changed: DataFrame, k: int, search: Callable[[DataFrame, DataFrame, int], DataFrame]) -> DataFrame:
+    """Stored hits brought up to date after the vectors ``changed(entity_id, grp)`` were added, altered or removed.
 
-    Old queries meet only the new vectors, and the best k of old and new hits stay.
+    ``vectors`` are all there are now, ``queries`` the ones to answer.  A query whose own vector changed, or that lost a
+    stored hit to a change, or that has no stored hits is asked anew over all vectors; any other meets the changed
+    vectors only.
     """
     from ..operators.vectors import ranked
-
-    fresh = search(queries, changed, k)
-    return ranked(hits.drop("rank").unionByName(fresh.drop("rank")).dropDuplicates(["query_id", "grp", "cand_id"]), k)
+    from ..sources.shared import written
+
+    moved = changed.select("entity_id", "grp").distinct()
+    asked = F.col("query_id").alias("entity_id"), "grp"
+    gone = moved.withColumnRenamed("entity_id", "cand_id")
+    stale = hits.join(gone, ["cand_id", "grp"], "left_semi").select(*asked)
+    unknown = queries.select("entity_id", "grp").join(hits.select(*asked).distinct(), ["entity_id", "grp"], "left_anti")
+    anew = written(stale.union(moved).union(unknown).distinct(), "anew")
+    own = lambda df, like: df.select(*[F.col(c).alias(c) for c in like.columns])  # noqa: E731  columns told apart from those of ``vectors``
+    whole = search(own(queries.join(anew, ["entity_id", "grp"], "left_semi"), queries), vectors, k)
+    rest = own(queries.join(anew, ["entity_id", "grp"], "left_anti"), queries)
+    fresh = search(rest, own(vectors.join(moved, ["entity_id", "grp"], "left_semi"), vectors), k)
+    kept = hits.join(rest.select(F.col("entity_id").alias("query_id"), "grp"), ["query_id", "grp"], "left_semi").select(*hits.columns)
+    return ranked(kept.drop("rank").unionByName(fresh.drop("rank")).unionByName(whole.drop("rank")), k)
