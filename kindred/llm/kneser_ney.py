@@ -10,9 +10,8 @@ broadcast to the tasks that read the texts; beyond that, texts and the part of t
 needs meet by a shuffle.  Both ways give the same numbers.
 """
 
-from __future__ import annotations
-
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -193,7 +192,7 @@ class Table:
     """Log probabilities by hash, found by probing slots."""
 
     def __init__(self, code: np.ndarray, logp: np.ndarray):
-        self.bits = max(4, int(2 * len(code)).bit_length())
+        self.bits = max(4, int(1.3 * len(code)).bit_length())
         self.code = np.zeros(1 << self.bits, np.uint64)
         self.logp = np.zeros(1 << self.bits, np.float64)
         left, step = np.arange(len(code)), 0
@@ -231,11 +230,21 @@ def text_perplexity(texts: pa.Array, table: Table) -> pa.Array:
         return pa.array(np.exp(-row_sums(value, at) / n), mask=n == 0)
 
 
+def spread_table(probabilities: DataFrame, most: int):
+    """The table of probabilities as a broadcast and its name, None beyond ``most`` grams (16 bytes each)."""
+    if probabilities.count() > most:
+        return None
+    rows = probabilities.toArrow()
+    code = np.concatenate([coded(c) for c in rows.column("gram").chunks] or [np.zeros(0, np.uint64)])
+    return probabilities.sparkSession.sparkContext.broadcast((code, rows.column("logp").to_numpy())), uuid.uuid4().hex
+
+
 def perplexity(
-    docs: DataFrame, probabilities: DataFrame, text: str = "text", out: str = "perplexity", piece_bytes: int = 1 << 20, broadcast_grams: int = 4_000_000, block_bytes: int = 32 << 20
+    docs: DataFrame, probabilities: DataFrame, text: str = "text", out: str = "perplexity", piece_bytes: int = 1 << 20, broadcast_grams: int = 4_000_000, block_bytes: int = 32 << 20, ready=None
 ) -> DataFrame:
     """``docs`` with the perplexity per character as ``out``; null for null and empty texts.  A column of that name is
-    replaced, all others pass through.  ``probabilities(gram, logp)`` has all grams of these texts."""
+    replaced, all others pass through.  ``probabilities(gram, logp)`` has all grams of these texts; ``ready`` is what
+    :func:`spread_table` gave for them."""
     docs = docs.drop(out)
     names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
     taken = docs.select(*[docs[c].alias(v) for c, v in names.items()])
@@ -247,22 +256,21 @@ def perplexity(
         columns = [piece.column(c) for c in names.values()]
         return pa.RecordBatch.from_arrays([*columns, text_perplexity(piece.column(t), table)], [*names.values(), "p"])
 
-    if probabilities.count() <= broadcast_grams:  # 16 bytes a slot of the tasks' tables
-        rows = probabilities.toArrow()
-        shared = docs.sparkSession.sparkContext.broadcast((np.concatenate([coded(c) for c in rows.column("gram").chunks] or [np.zeros(0, np.uint64)]), rows.column("logp").to_numpy()))
-        del rows
-        key = uuid.uuid4().hex
+    ready = ready or spread_table(probabilities, broadcast_grams)
+    if ready:
+        shared, key = ready
 
-        def scored(batches):
+        def scored(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
             own = worker_cache("kneser_ney")
             if key not in own:
                 own.clear()
                 own[key] = Table(*shared.value)
-            for batch in batches:
-                for piece in pieces_of(batch, t, piece_bytes):
-                    yield with_values(piece, own[key])
+            for column in columns:
+                batch = pa.RecordBatch.from_arrays([column], ["t"])
+                yield pa.concat_arrays([text_perplexity(piece.column("t"), own[key]) for piece in pieces_of(batch, "t", piece_bytes)] or [pa.array([], pa.float64())])
 
-        return taken.mapInArrow(scored, f"{kinds}, p double").select(*named)
+        # only values come back from the tasks' Python: the rows wait for them in Spark
+        return taken.withColumn("p", F.arrow_udf(scored, "double")(F.col(t))).select(*named)
 
     def blocked(batches):
         block, held = TaskContext.get().partitionId() << 32, 0
@@ -342,7 +350,8 @@ def quality_classifier(
     model = train(own.filter(~back), columns[text])
     grams = written(different_grams(plain, columns[text], 1 << 20), "wanted")
     table = gram_probabilities(grams, model)
-    limits = perplexity(own.filter(back).select(F.col(columns[lang]).alias("lang"), F.col(columns[text]).alias("t")), table, "t", broadcast_grams=broadcast_grams)
+    ready = spread_table(table, broadcast_grams)
+    limits = perplexity(own.filter(back).select(F.col(columns[lang]).alias("lang"), F.col(columns[text]).alias("t")), table, "t", broadcast_grams=broadcast_grams, ready=ready)
     limits = written(thresholds(limits, "lang", quantile), "limits")
     model.remove()
     removed(grams)
@@ -350,7 +359,7 @@ def quality_classifier(
     if limits.count() <= 100_000:
         by_lang = F.broadcast(by_lang)
     rest = limits.filter("any").select(F.col("threshold").alias("all_limit"))  # at most one row
-    scored = perplexity(plain, table, columns[text], "p", broadcast_grams=broadcast_grams)
+    scored = perplexity(plain, table, columns[text], "p", broadcast_grams=broadcast_grams, ready=ready)
     scored = scored.join(by_lang, F.col(columns[lang]).eqNullSafe(F.col("l")), "left").join(F.broadcast(rest), F.lit(True), "left")
     limit = F.coalesce("own_limit", "all_limit")
     kept = F.col("p").isNotNull() & F.coalesce(F.col("p") <= limit, F.lit(True))
