@@ -56,7 +56,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have the closing id alone; repeated rows and copies are packed each for itself; an empty table
     gives no rows; columns other than id and text are left behind.
     """
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), piece_bytes=1 << 20)
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("mixing sources", mix), ("packing", pack)]

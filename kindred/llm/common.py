@@ -64,6 +64,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
+    """Bound the Arrow batches that go to Python by bytes, unless the session sets a bound of its own: Spark's batches
+    of 10,000 rows, of up to 64 MB, are held by the executor and by each Python worker besides their work."""
+    if "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.conf.getAll:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
+
+
 def ordinals(df: DataFrame, keys: list[str], order: list[str], out: str, rows: int, rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Number rows 0, 1, ... within ``keys`` without putting one key into one task.
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flat_text, pieces_of, removed, row_sums, worker_cache, written
+from .common import bounded_batches, flat_text, pieces_of, removed, row_sums, worker_cache, written
 
 ORDER = 5
 #: Stands for what lies before a text (a code point that no text should hold).
@@ -338,6 +338,7 @@ def quality_classifier(
     score alike, texts of any length are read whole, an empty table gives no rows, and other columns pass through
     whatever their names.
     """
+    bounded_batches(docs.sparkSession)
     value, threshold, verdict = names
     docs = docs.drop(*names)
     columns = {c: f"c{k}" for k, c in enumerate(docs.columns)}

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, components, first_of_keys, joined_hot, mix, ordinals, pieces_of, removed, written
+from .common import Words, bounded_batches, components, first_of_keys, joined_hot, mix, ordinals, pieces_of, removed, written
 
 #: Hubs of each family and size.
 HUBS = 4
@@ -303,6 +303,7 @@ def set_components(
     """:func:`jaccard_components` with what tells rows of one id apart: ``id, key, sid, root, n_shingles, component_id``,
     where ``key`` is of :func:`row_key`, ``sid`` knows the set, and rows of one component have one ``root`` (of a row
     without words: null)."""
+    bounded_batches(docs.sparkSession)
     sets = written(set_rows(docs, id_col, text, n, percent, piece_bytes), "sets")
     small = written(sets.drop("low"), "small")
     total = small.count()

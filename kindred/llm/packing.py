@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, ordinals, pieces_of, worker_cache, written
+from .common import Words, bounded_batches, ordinals, pieces_of, worker_cache, written
 
 # --- tokens -------------------------------------------------------------------------------------------------
 
@@ -255,6 +255,7 @@ def pack(
     packed each for itself; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     if window % block or window % grain:
         raise ValueError("grain and block must divide the window")
     pieces = written(tokenised(docs, tokenizer, id_col, text, last, window, block, piece_bytes), "pieces")
