@@ -6,6 +6,8 @@ session names in ``spark.checkpoint.dir`` and read again, which also cuts the li
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import sys
 import tempfile
 import uuid
@@ -165,6 +167,26 @@ def worker_cache(name: str) -> dict:
     return sys.__dict__.setdefault("_kindred_cache", {}).setdefault(name, {})
 
 
+def given_back() -> None:
+    """Hand memory that this Python worker no longer uses to the system: workers wait for other tasks after this one,
+    and Spark keeps several of them for an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def tidy(task):
+    """A task's function over batches that hands its memory back at the end."""
+
+    @functools.wraps(task)
+    def whole(batches):
+        yield from task(batches)
+        given_back()
+
+    return whole
+
+
 # --- Arrow text, inside tasks -------------------------------------------------------------------------------
 
 

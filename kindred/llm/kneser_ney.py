@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, flat_text, pieces_of, removed, row_sums, worker_cache, written
+from .common import bounded_batches, flat_text, given_back, pieces_of, removed, row_sums, tidy, worker_cache, written
 
 ORDER = 5
 #: Stands for what lies before a text (a code point that no text should hold).
@@ -92,6 +92,7 @@ def spelled(points: np.ndarray, places: np.ndarray) -> pa.Array:
 def gram_counts(docs: DataFrame, text: str, piece_bytes: int) -> DataFrame:
     """``gram, n``: how often each gram occurs in the texts."""
 
+    @tidy
     def counted(batches):
         for batch in batches:
             for piece in pieces_of(batch, "t", piece_bytes):
@@ -118,6 +119,7 @@ def new_grams(texts: pa.Array, met: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def different_grams(docs: DataFrame, text: str, piece_bytes: int) -> DataFrame:
     """``gram``: the different grams of the texts; tasks send what they have not met before."""
 
+    @tidy
     def listed(batches):
         met = np.zeros(MET, np.uint64)
         for batch in batches:
@@ -268,10 +270,12 @@ def perplexity(
             for column in columns:
                 batch = pa.RecordBatch.from_arrays([column], ["t"])
                 yield pa.concat_arrays([text_perplexity(piece.column("t"), own[key]) for piece in pieces_of(batch, "t", piece_bytes)] or [pa.array([], pa.float64())])
+            given_back()
 
         # only values come back from the tasks' Python: the rows wait for them in Spark
         return taken.withColumn("p", F.arrow_udf(scored, "double")(F.col(t))).select(*named)
 
+    @tidy
     def blocked(batches):
         block, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
@@ -281,6 +285,7 @@ def perplexity(
                 if held > block_bytes:
                     block, held = block + 1, 0
 
+    @tidy
     def needed(batches):
         last, met = -1, None
         for batch in batches:

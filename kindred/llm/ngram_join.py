@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, components, first_of_keys, joined_hot, mix, ordinals, pieces_of, removed, written
+from .common import Words, bounded_batches, components, first_of_keys, given_back, joined_hot, mix, ordinals, pieces_of, removed, tidy, written
 
 #: Hubs of each family and size.
 HUBS = 4
@@ -94,6 +94,7 @@ def set_rows(docs: DataFrame, id_col: str, text: str, n: int, percent: int, piec
     share = region(percent)
     top = np.uint64(min(int(share * 2.0**64), 2**64 - 1))
 
+    @tidy
     def made(batches):
         next_row = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -124,6 +125,7 @@ def common_elements(sets: DataFrame, rows: int) -> DataFrame:
     average set).  An element with that share of all has it in some batch; which elements come out only moves their
     place in the order."""
 
+    @tidy
     def counted(batches):
         for batch in batches:
             seen, n = np.unique(batch.column("low").flatten().to_numpy(zero_copy_only=False), return_counts=True)
@@ -236,6 +238,7 @@ def block_links(placed: DataFrame, percent: int) -> DataFrame:
             at = sets.offsets.to_numpy()
             flat = sets.values.to_numpy(zero_copy_only=False)
             links = linked_within([flat[x:y] for x, y in zip(at[:-1], at[1:])], names, known, part, percent)
+        given_back()
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return placed.groupBy("task").applyInArrow(compare, "a long, b long")
@@ -248,6 +251,7 @@ def placed_sets(docs: DataFrame, id_col: str, text: str, n: int, piece_bytes: in
     mine = docs.select(docs[text].alias("t"), row_key(docs, id_col, text).alias("key"))
     mine = mine.join(F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted, "key").select("row", "known", "sid", "sid2", "places", "t")
 
+    @tidy
     def made(batches):
         seen = set()  # repeated rows: one of them for each task
         for batch in batches:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, ordinals, pieces_of, worker_cache, written
+from .common import Words, bounded_batches, ordinals, pieces_of, tidy, worker_cache, written
 
 # --- tokens -------------------------------------------------------------------------------------------------
 
@@ -212,6 +212,7 @@ def tokenised(docs: DataFrame, tokenizer: str, id_col: str, text: str, last: int
     """Whole windows and the tail of each document: ``i, start, length, crc, doc_tokens, blocks`` (checksums of the
     tail's blocks)."""
 
+    @tidy
     def cut(batches):
         own = worker_cache(f"packing:{tokenizer}")
         tokens = own.get("tokens") or own.setdefault("tokens", WordTokens(tokenizer))
