@@ -11,15 +11,15 @@ needs meet by a shuffle.  Both ways give the same numbers.
 """
 
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bounded_batches, flat_text, given_back, pieces_of, removed, row_sums, tidy, worker_cache, written
+from .common import bounded_batches, flat_text, pieces_of, removed, row_sums, tidy, worker_cache, written
 
 ORDER = 5
 #: Stands for what lies before a text (a code point that no text should hold).
@@ -262,18 +262,19 @@ def perplexity(
     if ready:
         shared, key = ready
 
-        def scored(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        @tidy
+        def scored(batches):
             own = worker_cache("kneser_ney")
             if key not in own:
                 own.clear()
                 own[key] = Table(*shared.value)
-            for column in columns:
-                batch = pa.RecordBatch.from_arrays([column], ["t"])
-                yield pa.concat_arrays([text_perplexity(piece.column("t"), own[key]) for piece in pieces_of(batch, "t", piece_bytes)] or [pa.array([], pa.float64())])
-            given_back()
+            for batch in batches:
+                for piece in pieces_of(batch, t, piece_bytes):
+                    yield with_values(piece, own[key])
 
-        # only values come back from the tasks' Python: the rows wait for them in Spark
-        return taken.withColumn("p", F.arrow_udf(scored, "double")(F.col(t))).select(*named)
+        # whole rows go through, in batches of bounded bytes: a function of the text alone would need Python workers
+        # of another kind, and those of the counts would wait beside them
+        return taken.mapInArrow(scored, StructType([*taken.schema.fields, StructField("p", DoubleType())])).select(*named)
 
     @tidy
     def blocked(batches):
