@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
@@ -12,6 +14,7 @@ from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 DIGITS = 6
 
@@ -81,22 +84,46 @@ def coarse_lists(vectors: DataFrame, lists: int, seed: int = 42) -> tuple[DataFr
     return model.transform(unit).drop("_v", "_u"), [c.tolist() for c in model.clusterCenters()]
 
 
-def topk_ivf(queries: DataFrame, vectors: DataFrame, k: int, lists: int = 10, probes: int = 3, seed: int = 42) -> DataFrame:
-    """Approximate :func:`topk_by_group` for one group: each query meets only the ``probes`` lists nearest to it.
+def topk_ivf(queries: DataFrame, vectors: DataFrame, k: int, lists: int | None = None, probes: int | None = None, seed: int = 42) -> DataFrame:
+    """Approximate :func:`topk_by_group`: each query meets only the ``probes`` lists of its group nearest to it.
 
-    Every vector is in one list, so ``probes=lists`` gives the exact result.
+    Every group has lists of its own.  Their number grows with a group's vectors (a quarter of the root, at least 10)
+    unless ``lists`` sets it; ``probes`` is 0.6 of the lists if not given.  Every vector is in one list, so
+    ``probes=lists`` gives the exact result.  Centres (lists times width) travel with the tasks; groups are as many as
+    the caller's groups of fields.
     """
-    listed, centres = coarse_lists(vectors, lists, seed)
-    unit = F.transform(F.col("vec").cast("array<double>"), lambda x: x / F.greatest(F.sqrt(F.aggregate(F.col("vec").cast("array<double>"), F.lit(0.0), lambda s, y: s + y * y)), F.lit(1e-12)))
-    near = F.array_sort(F.array(*[F.struct((-F.aggregate(F.zip_with(unit, F.array(*[F.lit(x) for x in c]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) + F.lit(sum(x * x for x in c) / 2)).alias("d"), F.lit(n).alias("list_id")) for n, c in enumerate(centres)]))
-    probing = queries.select(*queries.columns, F.explode(F.slice(near, 1, probes)).alias("_n")).select(*queries.columns, F.col("_n.list_id").alias("list_id"))
-    return ranked(topk_by_group(probing, listed, k, extra_key="list_id").drop("rank"), k)
-
-
-def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
-    """Share of the exact hits that were found (one row)."""
+    vectors, queries = vectors.filter("vec is not null"), queries.filter("vec is not null")
+    found = []
+    for grp, n in sorted((r[0], r[1]) for r in vectors.groupBy("grp").count().collect()):
+        most = min(n, lists or max(10, round(n**0.5 / 4)))
+        listed, centres = coarse_lists(vectors.filter(F.col("grp") == grp), most, seed)
+        probing = nearest_lists(queries.filter(F.col("grp") == grp), np.array(centres), probes or -(-6 * most // 10))
+        found.append(topk_by_group(probing, listed, k, extra_key="list_id").drop("rank"))
+    if not found:
+        return topk_by_group(queries, vectors, k)
+    return ranked(functools.reduce(DataFrame.unionByName, found), k)
+
+
+def nearest_lists(queries: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
+    """A row of ``queries`` for each of the ``probes`` centres nearest to its unit vector, with the centre as ``list_id``."""
+    half = (centres * centres).sum(axis=1) / 2
+    most = min(probes, len(centres))
+
+    def near(batches):
+        for batch in batches:
+            if batch.num_rows:
+                first = np.argsort(half - _matrix(batch.column("vec")) @ centres.T, axis=1, kind="stable")[:, :most].astype(np.int32)
+                each = pa.ListArray.from_arrays(pa.array(most * np.arange(len(first) + 1), pa.int32()), pa.array(first.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, each], [*batch.schema.names, "_near"])
+
+    marked = queries.mapInArrow(near, StructType([*queries.schema.fields, StructField("_near", ArrayType(IntegerType()))]))
+    return marked.select(*queries.columns, F.explode("_near").alias("list_id"))
+
+
+def recall(found: DataFrame, exact: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Share of the exact hits that were found (one row, or one for each value of ``by``)."""
     both = exact.select("query_id", "grp", "cand_id").join(found.select("query_id", "grp", "cand_id", F.lit(1).alias("_hit")), ["query_id", "grp", "cand_id"], "left")
-    return both.agg(F.avg(F.coalesce("_hit", F.lit(0))).alias("recall"), F.count("*").alias("n_hits"))
+    return both.groupBy(*by).agg(F.avg(F.coalesce("_hit", F.lit(0))).alias("recall"), F.count("*").alias("n_hits"))
 
 
 def with_fallback(filtered: DataFrame, unfiltered: DataFrame, pool_k: int) -> DataFrame:

@@ -102,6 +102,12 @@ def test_ivf_with_all_lists_is_exact_and_recall_is_high(spark, sf_dir):
     exact = V.topk_by_group(q, v, 10)
     assert V.recall(V.topk_ivf(q, v, 10, lists=6, probes=6), exact).first()["recall"] == 1.0
     assert V.recall(V.topk_ivf(q, v, 10, lists=10, probes=6), exact).first()["recall"] >= 0.9
+    both = v.unionByName(v.withColumn("grp", F.lit("other")))
+    asked = both.filter("entity_id % 20 = 0")
+    whole = V.topk_by_group(asked, both, 10)
+    each = V.recall(V.topk_ivf(asked, both, 10), whole, by=("grp",)).collect()
+    assert len(each) == 2 and min(r["recall"] for r in each) >= 0.9
+    assert V.topk_ivf(asked, both.limit(0), 10).count() == 0
 
 
 def test_topk_filter_is_a_window_limit(spark, sf_dir):
@@ -262,3 +268,16 @@ def test_training_set_equals_brute_force(spark, sf_dir):
         want |= {(a, c): 0.0 for c in free[:5]}
     rows = plans.QUERIES["training_set_whole"](spark, sf_dir).collect()
     assert len(rows) == len(want) and {(r.query_id, r.cand_id): r.label for r in rows} == want
+
+
+def test_entry_without_a_dependency_of_the_corpus_operators(monkeypatch):
+    import sys
+
+    import __spark_entry__ as entry
+
+    plain = set(entry.plans.QUERIES)
+    for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("kindred.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    assert set(entry.queries()) == plain and set(entry.oracle_sql()) <= plain
