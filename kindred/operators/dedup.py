@@ -6,46 +6,82 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions.similarity import cosine
-from ..sources.shared import written
+from ..sources.shared import removed, written
+from . import pivots
 
 
 def duplicate_edges(vectors: DataFrame, threshold: float = 0.995, block: int = 20_000) -> DataFrame:
-    """``a < b, sim`` for all pairs of ``vectors(id, vec)`` with at least that cosine, exact.
+    """``a < b, sim`` for all pairs of ``vectors(id, vec)`` with at least that cosine, exact; null vectors are skipped.
 
-    Every pair of blocks meets in one task, as rows only the pairs found come out.  For collections where blocks are
-    too many, :func:`lsh_edges` looks only at likely pairs.
+    Vectors stand in blocks around pivots.  Two within the threshold are at most ``t`` apart, so a vector is only copied
+    to blocks (later than its own) whose pivot is no farther than their radius plus ``t``: copies grow with neighbours
+    and not with blocks.  A block of many vectors is cut into parts that meet in pairs.  As rows only pairs found come
+    out, each once.
     """
-    rows = vectors.filter("vec is not null")
-    n = max(1, -(-rows.count() // block))
-    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    placed = rows.select("id", "vec", own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    placed = placed.select("id", "vec", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    return edges_and_meetings(vectors, threshold, block)[0]
+
+
+def edges_and_meetings(vectors: DataFrame, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """:func:`duplicate_edges`, and ``vectors, blocks, copies``: copies sent to other blocks, of (blocks - 1) / 2 each."""
+    rows = vectors.filter("vec is not null").select("id", "vec", F.lit("all").alias("grp"))
+    n = rows.count()
+    centres = pivots.pivots_of(rows, n, pivots.pivot_count(n, block), "id")
+    placed = written(pivots.with_distances(rows, centres, nearest=True), "placed")
+    about = placed.groupBy("_block").agg(F.count("*").alias("_n"), F.max("_dist").alias("_far"), F.min("_dist").alias("_near")).collect()  # as many as pivots
+    far, near, size = ({r["_block"]: r[c] for r in about} for c in ("_far", "_near", "_n"))
+    within = (max(0.0, 2 - 2 * (threshold - 1e-6))) ** 0.5 + 1e-7
+    shared = rows.sparkSession.sparkContext.broadcast((centres.get("all"), far, near))
+
+    def neighbours(batches):
+        for batch in batches:
+            if batch.num_rows:
+                points, most, least = shared.value
+                own, to = batch.column("_block").to_numpy(), [[] for _ in range(batch.num_rows)]
+                if points is not None:
+                    d = pivots.distances(pivots.unit_rows(batch.column("vec")), points)
+                    for other in sorted(most):
+                        for r in np.flatnonzero((own < other) & (d[:, other] - most[other] <= within) & (least[other] - d[:, other] <= within)).tolist():
+                            to[r].append(other)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "vec", "_block")), pa.array(to, pa.list_(pa.int32()))], ["id", "vec", "own", "_to"])
+
+    given = placed.select("id", "vec", "_block")
+    visiting = given.mapInArrow(neighbours, StructType([given.schema["id"], given.schema["vec"], StructField("own", IntegerType()), StructField("_to", ArrayType(IntegerType()))]))
+    visiting = written(visiting, "visiting")
+    visits = visiting.select("id", "vec", F.explode("_to").alias("cell"))
+    # parts of a block by its vectors, chunks of what visits it by theirs
+    came = {r["cell"]: r["m"] for r in visits.groupBy("cell").agg(F.count("*").alias("m")).collect()}
+    parts = {c: -(-size[c] // block) for c in size}
+    chunks = {c: -(-m // block) for c, m in came.items()}
+    many = lambda counts, cell: F.coalesce(F.try_element_at(F.create_map(*[F.lit(int(x)) for c in sorted(counts) for x in (c, counts[c])]), cell), F.lit(1)) if counts else F.lit(1)
+    hashed = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    home = visiting.select("id", "vec", F.col("own").alias("cell")).withColumn("n", many(parts, F.col("cell"))).withColumn("p", hashed(F.col("n")))
+    # within a block part p meets part q from it on; visitors, in chunks, meet every part
+    inside = home.select("id", "vec", "cell", "p", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("q")).select(
+        "id", "vec", "cell", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), (F.col("p") <= F.col("q")).alias("left"), (F.col("p") >= F.col("q")).alias("right"))
+    guests = visits.withColumn("m", many(chunks, F.col("cell"))).withColumn("q", -1 - hashed(F.col("m"))).select("id", "vec", "cell", F.explode(F.sequence(F.lit(0), many(parts, F.col("cell")) - 1)).alias("p"), "q", F.lit(True).alias("left"), F.lit(False).alias("right"))
+    hosts = home.join(F.broadcast(visits.select("cell").distinct()), "cell", "left_semi").select("id", "vec", "cell", "p", F.explode(F.sequence(-many(chunks, F.col("cell")), F.lit(-1))).alias("q"), F.lit(False).alias("left"), F.lit(True).alias("right"))
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, block_of = table.column("id").to_numpy(), table.column("own").to_numpy()
-        flat = table.column("vec").combine_chunks()
-        m = np.asarray(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(ids), -1)
-        m /= np.maximum(np.sqrt((m * m).sum(axis=1)), 1e-12)[:, None]
-        out_a, out_b, out_s = [], [], []
-        same = len(np.unique(block_of)) == 1
-        first, second = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(block_of == block_of.min()), np.flatnonzero(block_of == block_of.max()))
-        for start in range(0, len(first), 1024):
-            rows_ = first[start : start + 1024]
-            sims = np.round(m[rows_] @ m[second].T, 6)
+        ids, m = table.column("id").to_numpy(), pivots.unit_rows(table.column("vec"))
+        left, right = (np.flatnonzero(table.column(c).to_numpy(zero_copy_only=False)) for c in ("left", "right"))
+        out, width = [], 1 + (1 << 24) // max(1, len(right))
+        for start in range(0, len(left), width):
+            some = left[start : start + width]
+            sims = np.round(m[some] @ m[right].T, 6)
             i, j = np.nonzero(sims >= threshold)
-            x, y = ids[rows_[i]], ids[second[j]]
-            keep = x < y if same else x != y
-            out_a.append(np.minimum(x, y)[keep])
-            out_b.append(np.maximum(x, y)[keep])
-            out_s.append(sims[i, j][keep])
-        join = lambda parts, t: pa.array(np.concatenate(parts) if parts else [], t)
-        return pa.table({"a": join(out_a, pa.int64()), "b": join(out_b, pa.int64()), "sim": join(out_s, pa.float64())})
+            x, y = ids[some[i]], ids[right[j]]
+            # where both sides hold the same vectors a pair shows up twice
+            keep = (x < y) if len(left) == len(right) and (left == right).all() else x != y
+            out.append((np.minimum(x, y)[keep], np.maximum(x, y)[keep], sims[i, j][keep]))
+        join = lambda k, t: pa.array(np.concatenate([o[k] for o in out]) if out else [], t)
+        return pa.table({"a": join(0, pa.int64()), "b": join(1, pa.int64()), "sim": join(2, pa.float64())})
 
-    # a pair within one block shows up only in that block's own meeting
-    found = placed.groupBy("p", "q").applyInArrow(compare, "a long, b long, sim double")
-    return found.dropDuplicates(["a", "b"])
+    found = inside.unionByName(guests).unionByName(hosts).groupBy("cell", "p", "q").applyInArrow(compare, "a long, b long, sim double")
+    counts = visiting.agg(F.count("*").alias("vectors"), F.lit(len(size)).alias("blocks"), F.coalesce(F.sum(F.size("_to")), F.lit(0)).alias("copies"))
+    return found.dropDuplicates(["a", "b"]), counts
 
 
 def lsh_edges(vectors: DataFrame, threshold: float, tables: int = 8, length: float = 0.5, seed: int = 42) -> DataFrame:
@@ -60,24 +96,87 @@ def lsh_edges(vectors: DataFrame, threshold: float, tables: int = 8, length: flo
     return out.filter(F.col("sim") >= threshold).dropDuplicates(["a", "b"])
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def local_forest(edges: DataFrame, most: int = 500_000) -> DataFrame:
+    """``a > b``: ``edges(a, b)`` contracted within partitions, every node linked to the smallest one it reaches there.
+
+    Union-find over at most ``most`` nodes at a time, without a shuffle: what connects stays connected, and of a
+    partition's edges a forest is left.
+    """
+
+    def contract(batches):
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            top = x
+            while (above := up.get(top, top)) != top:
+                top = above
+            while x != top:
+                up[x], x = top, up[x]
+            return top
+
+        def forest():
+            nodes = [(x, root(x)) for x in list(up)]
+            nodes = [(x, r) for x, r in nodes if x != r]
+            return pa.RecordBatch.from_arrays([pa.array([n[k] for n in nodes], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                x, y = root(up.setdefault(x, x)), root(up.setdefault(y, y))
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            if len(up) > most:
+                yield forest()
+                up = {}
+        if up:
+            yield forest()
+
+    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(contract, "a long, b long")
+
+
+def joined_by_node(left: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
+    """``left(a, b)`` with the columns of ``nodes(a, rows, m)``: nodes of more than ``limit`` rows, of which there are at
+    most the rows over ``limit``, are broadcast, the others shuffled."""
+    busy = F.broadcast(nodes.filter(F.col("rows") > limit).select("a", F.col("m").alias("_m")))
+    marked = left.join(busy, "a", "left")
+    rest = marked.filter("_m is null").drop("_m").join(nodes.filter(F.col("rows") <= limit).select("a", "m"), "a")
+    return marked.filter("_m is not null").withColumnRenamed("_m", "m").unionByName(rest)
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """``id, cluster`` with the smallest id of the cluster; only ids that have an edge.
 
-    Every round each node takes the smallest label among itself and its neighbours and then the label of that label,
-    which halves the distance to the smallest id; rounds are written to the shared folder.
+    Each round contracts the edges within partitions to forests, links every node's larger neighbours to its smallest
+    one, contracts again, and links a node's smaller neighbours and itself to the smallest.  Links only fall, so rounds
+    end when a round changes nothing, which they do by a logarithm of the nodes in practice; there is no limit on them.  A node
+    of many edges costs a row for each partition after contraction, and beyond that is broadcast, not gathered.  Rounds
+    are written to the shared folder and the last but one removed.
     """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "id"), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        closer = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", "label", F.least("label", "near").alias("now"))
-        jump = closer.select(F.col("id").alias("now"), F.col("now").alias("far"))
-        step = written(closer.join(jump, "now").select("id", F.least("now", "far").alias("new"), F.col("label").alias("old")), "labels")
-        changed = step.filter("new < old").limit(1).count()
-        labels = step.select("id", F.col("new").alias("label"))
-        if not changed:
-            return labels.select("id", F.col("label").alias("cluster"))
-    raise RuntimeError("components did not settle")
+
+    def star(e: DataFrame, large: bool, n: int) -> DataFrame:
+        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("rows")).select("a", F.least("a", "m").alias("m"), "rows")
+        met = joined_by_node(both, least, max(10_000, n // 200))
+        links = met.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")) if large else met.select(F.col("b").alias("a"), F.col("m").alias("b")).union(met.select("a", F.col("m").alias("b")))
+        return links.filter("a <> b").distinct()
+
+    def sketch(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    ordered = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
+    current = written(local_forest(ordered).distinct(), "edges")
+    seen = sketch(current)
+    while seen[0]:
+        wide = written(local_forest(star(current, True, seen[0])), "edges")
+        step = written(star(wide, False, seen[0]), "edges")
+        now = sketch(step)
+        removed(current)
+        removed(wide)
+        current = step
+        if now == seen:
+            break
+        seen = now
+    ids = current.select(F.col("a").alias("id"), F.col("b").alias("cluster"))
+    return ids.union(current.select(F.col("b").alias("id"), F.col("b").alias("cluster")).distinct())
 
 
 def keepers(clusters: DataFrame, ranks: DataFrame, order: list[Column], id_col: str = "id") -> DataFrame:

@@ -1,20 +1,19 @@
-"""Vector retrieval per group of fields: exact in blocks, approximate by coarse lists, and what follows from hits.
+"""Vector retrieval per group of fields: exact in blocks, and what follows from hits.
 
 ``entity_vectors(entity_id, grp, vec)`` is long: a new group is rows, not columns.
 """
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+
+from ..sources.shared import written
+from . import pivots
 
 DIGITS = 6
 
@@ -26,47 +25,99 @@ def group_vectors(df: DataFrame, id_col: str, vec: str, groups: int, width: int)
     return df.select(F.col(id_col).alias("entity_id"), *other, F.explode(slices).alias("s")).select("entity_id", *other, "s.grp", "s.vec")
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    rows = np.asarray(flat.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(flat), -1)
-    return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1)), 1e-12)[:, None]
+_matrix = pivots.unit_rows
 
 
-def topk_by_group(queries: DataFrame, vectors: DataFrame, k: int, category: str | None = None, query_block: int = 2_000, vector_block: int = 100_000, extra_key: str | None = None) -> DataFrame:
+def topk_by_group(queries: DataFrame, vectors: DataFrame, k: int, category: str | None = None, block: int = 50_000, query_block: int = 20_000) -> DataFrame:
     """The k nearest by cosine for each query and group: ``query_id, grp, cand_id, sim, rank``.
 
-    Both sides are ``(entity_id, grp, vec)``; with ``category`` only candidates of the query's category count.  Null
-    vectors are skipped and a query never finds itself.  Blocks of queries meet blocks of vectors in one task each,
-    which returns k candidates a query, so neither side is broadcast and no table of all pairs arises.  Similarities
-    are rounded to six digits and ties go to the smaller id.
+    Both sides are ``(entity_id, grp, vec)``; with ``category`` only candidates of the query's category count
+    (none is one too).  Null vectors are skipped and a query never finds itself.  Similarities are rounded to six digits and ties go to the
+    smaller id.
+
+    Up to ``block`` vectors, queries meet all of them.  Beyond, vectors stand in blocks around pivots, and it is queries
+    that travel: first to their nearest blocks, which gives each query a bound, then to the blocks that the triangle
+    inequality cannot rule out within it.  Neither side is broadcast and no table of all pairs arises; see :func:`cells`.
     """
-    keys = ["grp", *([category] if category else []), *([extra_key] if extra_key else [])]
-    q, v = queries.filter("vec is not null"), vectors.filter("vec is not null")
-    n_q, n_v = max(1, -(-q.count() // query_block)), max(1, -(-v.count() // vector_block))
-    q = q.select(*keys, "entity_id", "vec", F.pmod(F.xxhash64("entity_id"), F.lit(n_q)).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("_v"))
-    v = v.select(*keys, "entity_id", "vec", F.pmod(F.xxhash64("entity_id"), F.lit(n_v)).cast("int").alias("_v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))).alias("_q"))
+    return topk_and_meetings(queries, vectors, k, category, block, query_block)[0]
+
+
+def topk_and_meetings(queries: DataFrame, vectors: DataFrame, k: int, category: str | None = None, block: int = 50_000, query_block: int = 20_000, first: int = 2) -> tuple[DataFrame, DataFrame | None]:
+    """:func:`topk_by_group`, and ``grp, blocks, met``: how many meetings of a query and a block there could be and were
+    (None where there are no blocks)."""
+    keys = ["grp", *(["_of"] if category else [])]
+    # no category is one of its own, and joins need keys that are not null
+    of = [F.coalesce(F.concat(F.lit("="), F.col(category).cast("string")), F.lit("")).alias("_of")] if category else []
+    q, v = (x.filter("vec is not null").select("grp", *of, "entity_id", "vec") for x in (queries, vectors))
+    n = v.count()
+    if n <= block:
+        one = F.lit(0).alias("_block")
+        chunks = pivots.spread(q.sparkSession, q.count(), query_block)
+        dealt = q.select("*", one, F.pmod(F.xxhash64("entity_id"), F.lit(chunks)).cast("int").alias("_q"), F.lit(0).alias("_v"))
+        copies = v.select("*", one, F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_q"), F.lit(0).alias("_v"))
+        return ranked(_nearest(dealt, copies, keys, k), k), None
+    centres = pivots.pivots_of(v, n, pivots.pivot_count(n, block))
+    placed = written(pivots.with_distances(v, centres, nearest=True), "placed")
+    about = placed.groupBy(*keys, "_block").agg(F.count("*").alias("_n"), F.max("_dist").alias("_far"), F.min("_dist").alias("_near"))
+    about = written(about, "blocks")
+    listed = pivots.small(about.groupBy(*keys).agg(F.collect_list(F.struct("_block", "_far", "_near")).alias("_blocks")))  # as many as pivots
+    asked = pivots.with_distances(q, centres, nearest=False).join(listed, keys)
+    away = F.array_sort(F.transform("_blocks", lambda b: F.struct(F.get("_to", b["_block"]).alias("d"), b["_block"].alias("b"), b["_far"].alias("far"), b["_near"].alias("near"))))
+    asked = written(asked.select(*keys, "entity_id", "vec", away.alias("_away")), "asked")
+    visits = asked.select(*keys, "entity_id", "vec", F.explode(F.slice("_away", 1, first)["b"]).alias("_block"))
+    found = written(ranked(_nearest(*cells(visits, placed, about, keys, block, query_block), keys, k), k), "found")
+    limit = found.filter(F.col("rank") == k).select(F.col("query_id").alias("entity_id"), "grp", pivots.bound_of(F.col("sim")).alias("_within"))
+    open_ = asked.join(limit, ["entity_id", "grp"], "left").withColumn("_within", F.coalesce("_within", F.lit(9.0)))
+    rest = F.filter(F.slice("_away", first + 1, F.greatest(F.size("_away") - first, F.lit(0))), lambda b: (b["d"] - b["far"] <= F.col("_within")) & (b["near"] - b["d"] <= F.col("_within")))
+    more = written(open_.select(*keys, "entity_id", "vec", F.explode(rest["b"]).alias("_block")), "visits")
+    further = _nearest(*cells(more, placed, about, keys, block, query_block), keys, k)
+    met = visits.groupBy("grp").agg(F.count("*").alias("met")).union(more.groupBy("grp").agg(F.count("*").alias("met"))).groupBy("grp").agg(F.sum("met").alias("met"))
+    counts = asked.groupBy("grp").agg(F.sum(F.size("_away")).alias("blocks")).join(met, "grp")
+    return ranked(found.drop("rank").unionByName(further), k), counts
+
+
+def cells(visits: DataFrame, placed: DataFrame, about: DataFrame, keys: list[str], block: int, query_block: int) -> tuple[DataFrame, DataFrame]:
+    """Queries and vectors with ``_q, _v``, so that a cell has at most about ``block`` vectors and ``query_block`` queries.
+
+    A block of many vectors is cut into parts that each of its queries visits; vectors are copied once for every
+    ``query_block`` queries that visit their block, and those of a block that none visits not at all.
+    """
+    at = [*keys, "_block"]
+    asked = visits.groupBy(*at).agg(F.count("*").alias("_m")).join(about, at)
+    shape = written(asked.select(*at, F.ceil(F.col("_n") / block).cast("int").alias("_parts"), F.ceil(F.col("_m") / query_block).cast("int").alias("_chunks")), "cells")
+    shape = pivots.small(shape)
+    own = lambda n: F.pmod(F.xxhash64("entity_id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = visits.join(shape, at).select(*at, "entity_id", "vec", own("_chunks").alias("_q"), each("_parts").alias("_v"))
+    right = placed.join(shape, at).select(*at, "entity_id", "vec", own("_parts").alias("_v"), each("_chunks").alias("_q"))
+    return left, right
+
+
+def _nearest(queries: DataFrame, vectors: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """``query_id, grp, cand_id, sim``: the k nearest within each cell."""
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"query_id": [], "grp": [], "cand_id": [], "sim": []}
         if left.num_rows and right.num_rows:
-            ids, names = right.column("entity_id").to_numpy(), left.column("entity_id").to_numpy()
-            sims = np.round(_matrix(left.column("vec")) @ _matrix(right.column("vec")).T, DIGITS)
+            ids, names, width = right.column("entity_id").to_numpy(), left.column("entity_id").to_numpy(), 1 + (1 << 24) // right.num_rows
+            rows, candidates = _matrix(left.column("vec")), _matrix(right.column("vec")).T
             grp = left.column("grp")[0].as_py()
-            for name, row in zip(names.tolist(), sims):
-                open_ = np.flatnonzero(ids != name)
-                if len(open_) > 4 * k:  # all that tie with the k-th stay for the order by id
-                    cut = np.partition(row[open_], len(open_) - k)[len(open_) - k]
-                    open_ = open_[row[open_] >= cut]
-                best = open_[np.lexsort((ids[open_], -row[open_]))][:k]
-                out["query_id"] += [name] * len(best)
-                out["grp"] += [grp] * len(best)
-                out["cand_id"] += ids[best].tolist()
-                out["sim"] += row[best].tolist()
+            for start in range(0, len(names), width):  # bounded memory, whatever the cell
+                sims = np.round(rows[start : start + width] @ candidates, DIGITS)
+                for name, row in zip(names[start : start + width].tolist(), sims):
+                    open_ = np.flatnonzero(ids != name)
+                    if len(open_) > 4 * k:  # all that tie with the k-th stay for the order by id
+                        cut = np.partition(row[open_], len(open_) - k)[len(open_) - k]
+                        open_ = open_[row[open_] >= cut]
+                    best = open_[np.lexsort((ids[open_], -row[open_]))][:k]
+                    out["query_id"] += [name] * len(best)
+                    out["grp"] += [grp] * len(best)
+                    out["cand_id"] += ids[best].tolist()
+                    out["sim"] += row[best].tolist()
         return pa.table({n: pa.array(x, t) for (n, x), t in zip(out.items(), (pa.int64(), pa.string(), pa.int64(), pa.float64()))})
 
-    by = [*keys, "_q", "_v"]
-    found = q.groupBy(*by).cogroup(v.groupBy(*by)).applyInArrow(nearest, "query_id long, grp string, cand_id long, sim double")
-    return ranked(found, k)
+    by = [*keys, "_block", "_q", "_v"]
+    return queries.groupBy(*by).cogroup(vectors.groupBy(*by)).applyInArrow(nearest, "query_id long, grp string, cand_id long, sim double")
 
 
 def ranked(hits: DataFrame, k: int | None = None) -> DataFrame:
@@ -76,50 +127,6 @@ def ranked(hits: DataFrame, k: int | None = None) -> DataFrame:
     return out.filter(F.col("rank") <= k) if k else out
 
 
-def coarse_lists(vectors: DataFrame, lists: int, seed: int = 42) -> tuple[DataFrame, list[list[float]]]:
-    """Vectors with ``list_id`` of the nearest k-means centre, and the centres (``lists`` of them, on the driver)."""
-    unit = vectors.withColumn("_v", array_to_vector(F.transform(F.col("vec").cast("array<double>"), lambda x: x)))
-    unit = Normalizer(p=2.0, inputCol="_v", outputCol="_u").transform(unit)
-    model = KMeans(k=lists, seed=seed, featuresCol="_u", predictionCol="list_id", maxIter=15).fit(unit)
-    return model.transform(unit).drop("_v", "_u"), [c.tolist() for c in model.clusterCenters()]
-
-
-def topk_ivf(queries: DataFrame, vectors: DataFrame, k: int, lists: int | None = None, probes: int | None = None, seed: int = 42) -> DataFrame:
-    """Approximate :func:`topk_by_group`: each query meets only the ``probes`` lists of its group nearest to it.
-
-    Every group has lists of its own.  Their number grows with a group's vectors (a quarter of the root, at least 10)
-    unless ``lists`` sets it; ``probes`` is 0.6 of the lists if not given.  Every vector is in one list, so
-    ``probes=lists`` gives the exact result.  Centres (lists times width) travel with the tasks; groups are as many as
-    the caller's groups of fields.
-    """
-    vectors, queries = vectors.filter("vec is not null"), queries.filter("vec is not null")
-    found = []
-    for grp, n in sorted((r[0], r[1]) for r in vectors.groupBy("grp").count().collect()):
-        most = min(n, lists or max(10, round(n**0.5 / 4)))
-        listed, centres = coarse_lists(vectors.filter(F.col("grp") == grp), most, seed)
-        probing = nearest_lists(queries.filter(F.col("grp") == grp), np.array(centres), probes or -(-6 * most // 10))
-        found.append(topk_by_group(probing, listed, k, extra_key="list_id").drop("rank"))
-    if not found:
-        return topk_by_group(queries, vectors, k)
-    return ranked(functools.reduce(DataFrame.unionByName, found), k)
-
-
-def nearest_lists(queries: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
-    """A row of ``queries`` for each of the ``probes`` centres nearest to its unit vector, with the centre as ``list_id``."""
-    half = (centres * centres).sum(axis=1) / 2
-    most = min(probes, len(centres))
-
-    def near(batches):
-        for batch in batches:
-            if batch.num_rows:
-                first = np.argsort(half - _matrix(batch.column("vec")) @ centres.T, axis=1, kind="stable")[:, :most].astype(np.int32)
-                each = pa.ListArray.from_arrays(pa.array(most * np.arange(len(first) + 1), pa.int32()), pa.array(first.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, each], [*batch.schema.names, "_near"])
-
-    marked = queries.mapInArrow(near, StructType([*queries.schema.fields, StructField("_near", ArrayType(IntegerType()))]))
-    return marked.select(*queries.columns, F.explode("_near").alias("list_id"))
-
-
 def recall(found: DataFrame, exact: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Share of the exact hits that were found (one row, or one for each value of ``by``)."""
     both = exact.select("query_id", "grp", "cand_id").join(found.select("query_id", "grp", "cand_id", F.lit(1).alias("_hit")), ["query_id", "grp", "cand_id"], "left")

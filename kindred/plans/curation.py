@@ -11,7 +11,7 @@ from ..functions import similarity as X
 from ..operators import curate, dedup, heads, pages
 from ..operators import vectors as V
 from ..sources.shared import shared_folder
-from ..sources.tables import read_table
+from ..sources.tables import read_folders, read_table
 from ..streaming import streams
 from .bindings import entities, entity_vectors, item_annotations, t
 from .registry import query
@@ -454,12 +454,11 @@ def latest_verdict(spark, d):
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS verdict FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'error'")
 def stream_latest(spark, d):
-    """The streaming form of ``latest_verdict``: micro-batches upserted by key."""
+    """The streaming form of ``latest_verdict``: keyed state, changed keys upserted by folder."""
     path = f"{shared_folder(spark)}/kindred-{uuid.uuid4().hex}"
     stream = streams.event_stream(spark, f"{d}/events*.parquet", read_table(spark, d, "events").schema)
-    done = streams.stream_upsert(stream.select("user_id", "event_id", "ts", "event_type"), ["user_id"], [F.desc("ts"), F.desc("event_id")], f"{path}/versions", f"{path}/progress")
-    done.awaitTermination()
-    return streams.newest_version(spark, f"{path}/versions", done).filter(F.col("event_type") != streams.UNDO).select("user_id", F.col("event_type").alias("verdict"))
+    streams.stream_latest(stream, "user_id", "event_type", ["ts", "event_id"], f"{path}/latest", f"{path}/progress").awaitTermination()
+    return read_folders(spark, f"{path}/latest").filter(F.col("event_type") != streams.UNDO).select("user_id", F.col("event_type").alias("verdict"))
 
 
 STATUS_SQL = "SELECT date_trunc('day', ts) AS window_start, event_type AS stage, count(*) AS n FROM events GROUP BY 1, 2"
@@ -475,9 +474,8 @@ def stream_status(spark, d):
     """The streaming form of ``status_by_window``; windows that ended less than an hour before the last row are left out."""
     path = f"{shared_folder(spark)}/kindred-{uuid.uuid4().hex}"
     stream = streams.event_stream(spark, f"{d}/events*.parquet", read_table(spark, d, "events").schema)
-    done = streams.stream_counts(stream.select("ts", "event_type"), f"{path}/versions", f"{path}/progress")
-    done.awaitTermination()
-    closed = streams.closed_windows(streams.newest_version(spark, f"{path}/versions", done), "1 hour")
+    streams.stream_counts(stream.select("ts", "event_type"), f"{path}/counts", f"{path}/progress").awaitTermination()
+    closed = streams.closed_windows(read_folders(spark, f"{path}/counts"), "1 hour")
     return closed.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 

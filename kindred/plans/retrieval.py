@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..operators import evaluate as E
-from ..operators import fusion, gates, pairs, ranker, retrieve
+from ..operators import fusion, gates, index, pairs, ranker, retrieve
 from ..operators import vectors as V
 from .bindings import COLOR_MATRIX, GROUPS, SIZE_ORDER, SPEC, TYPE_MATRIX, asked, entities, entity_vectors, known_pairs, t
 from .registry import query
@@ -93,15 +93,15 @@ def with_fallback(spark, d):
 
 @query()
 def topk_ivf(spark, d):
-    """Six of ten lists in every group (more lists as vectors grow); recall is reported by ``ivf_recall``."""
+    """Codes of the nearest lists, a tenth of a group's vectors compared in full; recall is reported by ``ivf_recall``."""
     v = entity_vectors(spark, d)
-    return V.topk_ivf(asked(v), v, 20)
+    return index.topk_ivf(asked(v), v, 20)
 
 
 @query()
 def ivf_recall(spark, d):
     v = entity_vectors(spark, d)
-    return V.recall(V.topk_ivf(asked(v), v, 20), V.topk_by_group(asked(v), v, 20), by=("grp",))
+    return V.recall(index.topk_ivf(asked(v), v, 20), V.topk_by_group(asked(v), v, 20), by=("grp",))
 
 
 @query()

@@ -12,7 +12,7 @@ from ..operators import curate, normalize
 from ..sources import tables as T
 from ..sources.shared import shared_folder
 from .bindings import SIZE_BINS, known_pairs, t
-from .registry import query
+from .registry import ORACLE_SQL, query
 
 KNOWN = """known AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y
   ON x.label = y.label AND y.vec_id > x.vec_id AND y.vec_id - x.vec_id < 15)"""
@@ -86,6 +86,18 @@ def write_upsert(spark, d):
     return T.upsert(new.select(cols), old.select(cols), ["user_id", "event_type"])
 
 
+@query(ORACLE_SQL["write_upsert"])
+def upsert_folders(spark, d):
+    """The same upsert into a table laid out by a hash of the key: only folders with a new key are written again."""
+    e = t(spark, d, "events")
+    path = f"{shared_folder(spark)}/kindred-{uuid.uuid4().hex}/upserted"
+    cols = ["user_id", "event_type", "event_id", "value"]
+    T.upsert_folders(e.filter("event_id % 2 = 0").select(*cols[:2], F.struct("event_id", "value").alias("s")).groupBy(*cols[:2]).agg(F.min("s").alias("s")).select(*cols[:2], "s.*"), path, cols[:2])
+    new = e.filter("event_type <> 'error'").groupBy("user_id", "event_type").agg(F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id")).alias("s"))
+    T.upsert_folders(new.select(*cols[:2], "s.*"), path, cols[:2])
+    return T.read_folders(spark, path)
+
+
 @query("""SELECT (SELECT count(*) FROM documents) AS n_items, (SELECT count(DISTINCT source) FROM documents) AS n_entities,
 (SELECT count(*) FROM labels) AS n_annotated, (SELECT count(*) FROM labels WHERE quality = 0) AS n_rejected, (SELECT count(*) FROM labels WHERE toxic = 1) AS n_toxic""")
 def pipeline_status(spark, d):

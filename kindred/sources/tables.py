@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import removed, written
+
 
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
@@ -80,6 +82,52 @@ def upsert(new: DataFrame, existing: DataFrame, keys: list[str], order: list[Col
     return both.withColumn("_k", place).filter("_k = 1").drop("_k", "_p")
 
 
+def folder_of(keys: list[str], folders: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(folders)).cast("int")
+
+
+def upsert_folders(new: DataFrame, path: str, keys: list[str], order: list[Column] | None = None, folders: int = 64) -> list[int]:
+    """Upsert ``new`` into the table at ``path``, which is laid out in ``folders`` by a hash of ``keys``; returns the
+    folders written.
+
+    Only folders that hold a key of ``new`` are read and written again, by dynamic partition overwrite; the others keep
+    their files.  Without ``order`` new rows win over the table's, and of several of a key the largest by
+    its columns stays; with ``order`` the last row by it stays, whichever side it comes from, so that running an upsert
+    again changes nothing.  Null keys are keys.  The table is made where there is none.  Files are replaced when the
+    job commits, folder by folder: a lost executor costs its tasks alone.
+    """
+    spark = new.sparkSession
+    names = new.columns
+    rank = F.struct(*order, "_new", *names) if order else F.struct("_new", *names)
+    staged = written(new.withColumn("_new", F.lit(1)).withColumn(FOLDER, folder_of(keys, folders)), "staged")  # computed once
+    fresh = staged
+    touched = sorted(r[0] for r in fresh.select(FOLDER).distinct().collect())  # as many as folders at most
+    if touched and table_exists(spark, path):
+        schema = new.select(*names).schema.add(FOLDER, "integer")
+        old = spark.read.schema(schema).parquet(path).filter(F.col(FOLDER).isin(touched)).withColumn("_new", F.lit(0))
+        fresh = old.select(*names, "_new", FOLDER).unionByName(fresh)
+    merged = fresh.groupBy(FOLDER, *[F.col(k).alias(f"_{n}") for n, k in enumerate(keys)]).agg(F.max_by(F.struct(*names), rank).alias("_row")).select("_row.*", FOLDER)
+    if touched:
+        merged.repartition(FOLDER).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(FOLDER).parquet(path)
+    removed(staged)
+    return touched
+
+
+#: The folder column of an upserted table.
+FOLDER = "_folder"
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(at) and any(f.isDirectory() and f.getPath().getName().startswith(f"{FOLDER}=") for f in fs.listStatus(at))
+
+
+def read_folders(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table that :func:`upsert_folders` wrote."""
+    return spark.read.parquet(path).drop(FOLDER)
+
+
 def write_report(df: DataFrame, path: str, kind: str = "json") -> None:
     """A report as JSON, CSV (with header) or Parquet."""
     (df.write.mode("overwrite").option("header", True).format(kind)).save(path)

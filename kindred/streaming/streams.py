@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
+
+from ..sources.tables import upsert_folders
 
 UNDO = "error"
 
@@ -36,43 +40,66 @@ def stream_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "
     return stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_versions(stream: DataFrame, merge: Callable[[DataFrame, DataFrame | None], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """Merge each micro-batch into a table of versions at ``path`` (the newest version is the table).
+def stream_latest(stream: DataFrame, key: str, verdict: str, order: list[str], path: str, checkpoint: str, late: str | None = None, folders: int = 64) -> StreamingQuery:
+    """The last row of each key by ``order`` in a table of ``folders`` at ``path``: ``key, *order, verdict``.
+
+    A key's last row is kept in the state store; a micro-batch hands on only keys whose last row is newer, and only their
+    folders are written.  The table is the same in whatever order and files rows come, a batch that is run again changes
+    nothing, and a restart without new rows leaves all as it is.
 
-    ``merge`` takes the batch and the table so far (none at first).  A batch that is run again writes its own version
-    again, so a restart changes nothing.
+    Without ``late`` no row is too late and every key keeps its state.  With it (an interval by the first column of
+    ``order``, a time) a key's state goes when the newest row of earlier batches is that much ahead of the key's last,
+    and rows as far behind are dropped; a key that comes again is held against the table's own row, which only a newer
+    one replaces.  Null keys go together; of rows alike in ``order`` the largest verdict stays.
     """
+    types = dict(stream.dtypes)
+    names = [key, *order, verdict]
+    schema = ", ".join(f"`{n}` {types[n]}" for n in names)
+    held = ", ".join(f"`{n}` {'long' if types[n].startswith('timestamp') else types[n]}" for n in [*order, verdict])
+
+    def newer(group: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = pd.concat([f.sort_values([*order, verdict]).tail(1) for f in frames]).sort_values([*order, verdict]).tail(1)
+        now = tuple(_plain(x) for x in last[[*order, verdict]].iloc[0])
+        was = tuple(state.get) if state.exists else None
+        if was is None or now > was:
+            state.update(now)
+            yield last[names]
+        if late:  # the watermark is ``late`` behind already
+            state.setTimeoutTimestamp(max(max(now, was or now)[0] // 1000, state.getCurrentWatermarkMs() + 1))
 
-    def apply(batch: DataFrame, number: int) -> None:
-        old = batch.sparkSession.read.parquet(f"{path}/v{number - 1}") if number else None
-        merge(batch, old).write.mode("overwrite").parquet(f"{path}/v{number}")
+    marked = stream.withWatermark(order[0], late) if late else stream
+    changed = marked.select(*names).groupBy(key).applyInPandasWithState(newer, schema, held, "update", "EventTimeTimeout" if late else "NoTimeout")
 
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def put(batch: DataFrame, _: int) -> None:
+        upsert_folders(batch, path, [key], [F.col(c) for c in (*order, verdict)], folders)
 
+    return changed.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-def stream_upsert(stream: DataFrame, keys: list[str], order: list, path: str, checkpoint: str, step: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """The first row of each key by ``order`` over all micro-batches, whichever batch it came in."""
 
-    def merge(batch: DataFrame, old: DataFrame | None) -> DataFrame:
-        new = step(batch) if step else batch
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        both = old.unionByName(new) if old is not None else new
-        return both.withColumn("_k", place).filter("_k = 1").drop("_k")
+def _plain(x):
+    """A value as the state holds it: times as microseconds."""
+    return x.value // 1000 if isinstance(x, pd.Timestamp) else x.item() if hasattr(x, "item") else x
 
-    return stream_versions(stream, merge, path, checkpoint)
 
+def stream_counts(stream: DataFrame, path: str, checkpoint: str, ts: str = "ts", stage: str = "event_type", size: str = "1 day", late: str | None = None, folders: int = 16) -> StreamingQuery:
+    """:func:`status_by_window` as a table of ``folders`` at ``path``: ``window_start, window_end, stage, n, last_ts``.
 
-def stream_counts(stream: DataFrame, path: str, checkpoint: str, ts: str = "ts", stage: str = "event_type", size: str = "1 day") -> StreamingQuery:
-    """:func:`status_by_window` as counts that each micro-batch adds to, so rows count in whatever order files come:
-    ``window_start, window_end, stage, n, last_ts``."""
+    Counts of open windows stand in the state store, and a micro-batch writes the folders of windows that it changed.
+    With ``late``, a window that ended that long before the newest row of earlier batches is closed: its state goes and
+    rows that still come for it are dropped.  Without, no row is too late and the state has a row for each window and
+    stage.  Counts do not depend on the order of files (with ``late``, as far as rows are not later than that).
+    """
+    marked = stream.withWatermark(ts, late) if late else stream
+    counts = marked.groupBy(F.window(ts, size), F.col(stage).alias("stage")).agg(F.count("*").alias("n"), F.max(ts).alias("last_ts"))
+    rows = counts.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "stage", "n", "last_ts")
 
-    def merge(batch: DataFrame, old: DataFrame | None) -> DataFrame:
-        each = batch.groupBy(F.window(ts, size), F.col(stage).alias("stage")).agg(F.count("*").alias("n"), F.max(ts).alias("last_ts"))
-        new = each.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "stage", "n", "last_ts")
-        both = old.unionByName(new) if old is not None else new
-        return both.groupBy("window_start", "window_end", "stage").agg(F.sum("n").alias("n"), F.max("last_ts").alias("last_ts"))
+    def put(batch: DataFrame, _: int) -> None:
+        upsert_folders(batch, path, ["window_start", "stage"], [F.col("n")], folders)
 
-    return stream_versions(stream, merge, path, checkpoint)
+    return rows.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def closed_windows(counts: DataFrame, late: str) -> DataFrame:
@@ -81,11 +108,6 @@ def closed_windows(counts: DataFrame, late: str) -> DataFrame:
     return counts.join(F.broadcast(last), F.col("window_end") <= F.col("_closed")).select("window_start", "stage", "n")
 
 
-def newest_version(spark: SparkSession, path: str, query: StreamingQuery) -> DataFrame:
-    """The table that a finished :func:`stream_versions` left behind."""
-    return spark.read.parquet(f"{path}/v{max(p['batchId'] for p in query.recentProgress if p['numInputRows'])}")
-
-
 def incremental_topk(hits: DataFrame, queries: DataFrame, vectors: DataFrame, changed: DataFrame, k: int, search: Callable[[DataFrame, DataFrame, int], DataFrame]) -> DataFrame:
     """Stored hits brought up to date after the vectors ``changed(entity_id, grp)`` were added, altered or removed.
 

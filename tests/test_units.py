@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kindred import plans
 from kindred.functions import scalars as S
 from kindred.functions import similarity as X
-from kindred.operators import curate, dedup, evaluate, fusion, heads, normalize, pages, pairs, ranker
+from kindred.operators import curate, dedup, evaluate, fusion, heads, index, normalize, pages, pairs, pivots, ranker
 from kindred.operators import vectors as V
 from kindred.plans import bindings
 from kindred.sources import tables as T
@@ -93,21 +93,103 @@ def test_topk_blocks_do_not_matter(spark, sf_dir):
     v = V.group_vectors(e.select("vec_id", "embedding"), "vec_id", "embedding", 2, 32)
     q = v.filter("entity_id % 50 = 0")
     key = lambda df: sorted(map(tuple, df.select("query_id", "grp", "cand_id", "sim", "rank").collect()))
-    assert key(V.topk_by_group(q, v, 7)) == key(V.topk_by_group(q, v, 7, query_block=3, vector_block=60))
+    assert key(V.topk_by_group(q, v, 7)) == key(V.topk_by_group(q, v, 7, query_block=3))
+
+
+def clustered(spark, n=3000, centres=12, width=8, seed=3):
+    """Vectors close around a few centres, some of them equal, a null and one of zeros; a third around one centre."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    at = rng.normal(size=(centres, width))
+    own = np.where(rng.random(n) < 0.33, 0, rng.integers(0, centres, n))
+    rows = at[own] + 0.05 * rng.normal(size=(n, width))
+    rows[1::50] = rows[0::50]
+    rows[7] = 0
+    return spark.createDataFrame([(k, "g" if k % 2 else "h", ["x", "y", None][k % 3], r.tolist() if k != 5 else None) for k, r in enumerate(rows)], "entity_id long, grp string, cat string, vec array<double>")
+
+
+@pytest.mark.parametrize("category", [None, "cat"])
+def test_topk_by_pivots_is_exact_and_skips_blocks(spark, category):
+    v = clustered(spark)
+    q = v.filter("entity_id % 20 < 2")
+    key = lambda df: sorted(map(tuple, df.select("query_id", "grp", "cand_id", "sim", "rank").collect()))
+    got, meetings = V.topk_and_meetings(q, v, 5, category, block=100, query_block=30)
+    assert key(got) == key(V.topk_by_group(q, v, 5, category))
+    met = {r.grp: r.met / r.blocks for r in meetings.collect()}
+    assert set(met) == {"g", "h"} and (category or max(met.values()) < 0.5)
+    assert V.topk_by_group(q.limit(0), v, 5, block=100).count() == 0 and V.topk_by_group(q, v.limit(0), 5, block=100).count() == 0
+
+
+def test_quantised_index_compares_a_tenth_in_full(spark):
+    v = clustered(spark, width=16)
+    q = v.filter("entity_id % 20 < 2")
+    exact = V.topk_by_group(q, v, 10)
+    books = index.codebooks(v.filter("vec is not null"), None, 8)
+    assert set(books) == {"g", "h"} and all(len(w) == 8 for _, w in books.values())
+    assert min(r["recall"] for r in V.recall(index.topk_ivf(q, v, 10), exact, by=("grp",)).collect()) >= 0.9
+    assert index.codebooks(v.filter("vec is not null"), None, 8, sample=300)["g"][0].shape == (10, 16)
+
+
+def test_duplicate_edges_by_pivots_are_exact_and_copy_to_neighbours(spark):
+    v = clustered(spark).select(F.col("entity_id").alias("id"), "vec")
+    whole = {(r.a, r.b): r.sim for r in dedup.duplicate_edges(v, 0.995).collect()}
+    rows = {r.id: r.vec for r in v.filter("vec is not null").collect()}
+    import numpy as np
+
+    ids = sorted(rows)
+    m = np.array([rows[i] for i in ids])
+    m /= np.maximum(np.linalg.norm(m, axis=1), 1e-12)[:, None]
+    sims = np.round(m @ m.T, 6)
+    assert set(whole) == {(ids[i], ids[j]) for i, j in zip(*np.nonzero(np.triu(sims, 1) >= 0.995))}
+    for block in (100, 1000):
+        found, counts = dedup.edges_and_meetings(v, 0.995, block)
+        rows_ = found.collect()
+        assert len(rows_) == len(whole) and {(r.a, r.b) for r in rows_} == set(whole)
+        c = counts.first()
+        assert c.blocks > 1 and c.copies < 0.3 * c.vectors * (c.blocks - 1) / 2
+    assert dedup.duplicate_edges(v.limit(0), 0.9).count() == 0
+    # random projections may miss some; on such clusters they miss few
+    near = {(r.a, r.b) for r in dedup.lsh_edges(v.filter("id <> 7 and vec is not null"), 0.995).collect()}
+    assert len(near & set(whole)) >= 0.9 * len(whole)
+
+
+def test_components_of_paths_stars_and_rings(spark):
+    import random
+
+    random.seed(4)
+    ids = random.sample(range(10_000), 900)
+    path, ring, star_ = ids[:300], ids[300:500], ids[500:900]
+    pairs_ = list(zip(path, path[1:])) + list(zip(ring, ring[1:] + ring[:1])) + [(star_[0], x) for x in star_[1:]] + [(path[3], path[3])]
+    random.shuffle(pairs_)
+    got = {r.id: r.cluster for r in dedup.connected_components(spark.createDataFrame(pairs_, "a long, b long").repartition(8)).collect()}
+    assert got == {x: min(group) for group in (path, ring, star_) for x in group}
+    ordered = spark.range(2000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).repartition(8)
+    assert dedup.connected_components(ordered).filter("cluster <> 0").count() == 0
+    assert dedup.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_star_leaves_a_row_for_each_partition(spark):
+    """A third of all edges at one node: contraction leaves it a row for each partition, before anything is shuffled."""
+    star_ = spark.range(1, 1_000_001).select(F.lit(5_000_000).cast("long").alias("a"), F.col("id").alias("b")).repartition(16)
+    left = dedup.local_forest(star_)
+    assert left.filter("a = 5000000").count() <= 64
+    done = dedup.connected_components(star_)
+    assert done.agg(F.count("*"), F.max("cluster")).first() == (1_000_001, 1)
 
 
 def test_ivf_with_all_lists_is_exact_and_recall_is_high(spark, sf_dir):
     v = V.group_vectors(T.read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 4, 16).filter("grp = 'g0'")
     q = v.filter("entity_id % 20 = 0")
     exact = V.topk_by_group(q, v, 10)
-    assert V.recall(V.topk_ivf(q, v, 10, lists=6, probes=6), exact).first()["recall"] == 1.0
-    assert V.recall(V.topk_ivf(q, v, 10, lists=10, probes=6), exact).first()["recall"] >= 0.9
+    assert V.recall(index.topk_ivf(q, v, 10, lists=6, probes=6, rerank=10_000), exact).first()["recall"] == 1.0
+    assert V.recall(index.topk_ivf(q, v, 10), exact).first()["recall"] >= 0.9
     both = v.unionByName(v.withColumn("grp", F.lit("other")))
     asked = both.filter("entity_id % 20 = 0")
     whole = V.topk_by_group(asked, both, 10)
-    each = V.recall(V.topk_ivf(asked, both, 10), whole, by=("grp",)).collect()
+    each = V.recall(index.topk_ivf(asked, both, 10), whole, by=("grp",)).collect()
     assert len(each) == 2 and min(r["recall"] for r in each) >= 0.9
-    assert V.topk_ivf(asked, both.limit(0), 10).count() == 0
+    assert index.topk_ivf(asked, both.limit(0), 10).count() == 0
 
 
 def test_topk_filter_is_a_window_limit(spark, sf_dir):
