@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..sources.shared import numbered_by
+from ..sources.shared import numbered_by, written
 from ..sources.tables import insert_ignore
 from .gates import null_tolerant_gate
 
@@ -155,9 +155,9 @@ def coverage_select(df: DataFrame, label: str, entity: str, id_col: str, target:
     """Entities that cover every class, rarest first, then whole entities by hash order up to about ``target`` rows.
 
     An entity's class is its most frequent label (ties by name).  With ``second``, classes of a second label that the
-    first pass left uncovered get one entity each.  The fill takes entities while the running sum of rows stays under
-    1.15 times the target; skipping single large entities on the way is left out, as it is sequential.  The running sum
-    is over entities (a row each), not over items.
+    first pass left uncovered get one entity each.  The fill goes through the other entities in hash order: each is taken
+    until 0.85 of the target is reached; from there one that would lead beyond 1.15 of it is passed over and the next
+    are tried; at 1.15 the fill ends.  Entities without a name are left out; an empty table gives no rows.
     """
     def classes(name: str) -> DataFrame:
         votes = df.groupBy(entity, name).agg(F.count("*").alias("n"))
@@ -172,13 +172,60 @@ def coverage_select(df: DataFrame, label: str, entity: str, id_col: str, target:
         covered = b.join(chosen, entity, "left_semi").select("_class").distinct()
         chosen = chosen.union(best(b.join(covered, "_class", "left_anti"), 1)).distinct()
     sizes = df.groupBy(entity).agg(F.count("*").alias("n")).join(chosen.withColumn("_chosen", F.lit(1)), entity, "left")
-    # buckets in the order of the hash, the chosen before them: their sums give each bucket's start
-    dealt = sizes.withColumn("_d", hash_order(entity, seed)).withColumn("_b", F.when(F.col("_chosen").isNotNull(), -1).otherwise(F.conv(F.substring("_d", 1, 3), 16, 10).cast("int")))
-    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most 4,097 rows
-    starts = dealt.groupBy("_b").agg(F.sum("n").alias("_all")).select("_b", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_start"))
-    within = F.sum("n").over(Window.partitionBy("_b").orderBy("_d", entity))
-    running = dealt.withColumn("_own", within).join(F.broadcast(starts), "_b").withColumn("_sum", F.col("_start") + F.col("_own"))
-    return running.filter(F.col("_chosen").isNotNull() | (F.col("_sum") <= 1.15 * target)).select(entity, F.col("_chosen").isNotNull().alias("for_coverage"))
+    sizes = written(sizes.filter(F.col(entity).isNotNull()).withColumn("_d", hash_order(entity, seed)).withColumn("_e", F.col(entity).cast("string")), "sizes")
+    start = sizes.agg(F.coalesce(F.sum(F.when(F.col("_chosen").isNotNull(), F.col("n"))), F.lit(0)).alias("n")).first()["n"]
+    taken = F.col("_chosen").isNotNull()
+    for first, last, most in filled(sizes.filter("_chosen is null"), start, 0.85 * target, 1.15 * target):
+        taken = taken | (F.col("_chosen").isNull() & (F.col("n") <= most) & (at() > at(first)) & (at() <= at(last)))
+    return sizes.filter(taken).select(entity, F.col("_chosen").isNotNull().alias("for_coverage"))
+
+
+def at(place: tuple[str, str] | None = None) -> Column:
+    """A row's place in hash order, or a given one."""
+    return F.struct(F.col("_d"), F.col("_e")) if place is None else F.struct(F.lit(place[0]).alias("_d"), F.lit(place[1]).alias("_e"))
+
+
+def filled(rows: DataFrame, total: int, enough: float, most: float) -> list[tuple[tuple[str, str], tuple[str, str], float]]:
+    """What a sequential fill in the order of ``rows(_d, _e, n)`` takes, as ranges ``(after, up to, largest n)``.
+
+    Until ``enough`` everything is taken.  From there a range is what fits one by one: rows no larger than what is left,
+    up to the first that no longer fits with those before it; it is passed over for good, as what is left only falls, and
+    the next range begins behind it.  Each range needs sums of 4,096 buckets of the hash and one bucket's rows in
+    order, so no task sees all rows; ranges end when nothing fits.
+    """
+    ranges, after = [], ("", "")
+    while total < most:
+        free = enough <= total
+        # before enough is reached, the row that crosses it is taken whatever its size
+        room = most - total if free else enough - total
+        open_ = rows.filter((F.col("n") <= room) if free else F.lit(True)).filter(at() > at(after))
+        bucket = F.substring("_d", 1, 3)
+        before, crossing = 0, None
+        for b, n in sorted(tuple(r) for r in open_.groupBy(bucket).agg(F.sum("n")).collect()):  # 4,096 at most
+            if before + n > room if free else before + n >= room:
+                crossing = b
+                break
+            before += n
+        if crossing is None:  # all that is left is taken
+            end = open_.agg(F.max(at())).first()[0]
+            if end is None:
+                break
+            ranges.append((after, tuple(end), float(room) if free else float("inf")))
+            after, total = tuple(end), total + before
+            if free:
+                break
+            continue
+        within = open_.filter(bucket == crossing).withColumn("_sum", F.lit(before) + F.sum("n").over(Window.partitionBy(bucket).orderBy("_d", "_e")))
+        if free:
+            got = within.agg(F.max(F.when(F.col("_sum") <= room, at())), F.max(F.when(F.col("_sum") <= room, F.col("_sum"))), F.min(F.when(F.col("_sum") > room, at()))).first()
+            end, added, skipped = got[0], got[1] or before, tuple(got[2])
+            ranges.append((after, tuple(end) if end else (crossing, ""), float(room)))
+            after, total = skipped, total + added
+        else:
+            end, added = within.filter(F.col("_sum") >= room).agg(F.min(at()), F.min("_sum")).first()
+            ranges.append((after, tuple(end), float("inf")))
+            after, total = tuple(end), total + added
+    return ranges
 
 
 def stratified_sample(df: DataFrame, strata: list[tuple[str, Column, float]], n: int, id_col: str, seed: int = 42) -> DataFrame:

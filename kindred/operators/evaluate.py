@@ -119,6 +119,53 @@ def _recalls(matrix: DataFrame, configs: DataFrame, ranks: DataFrame, ks: tuple[
     return every.select("config_id", "total", *[(F.coalesce(f"_h{k}", F.lit(0)) / F.col("total")).alias(f"recall_{k}") for k in ks])
 
 
+def field_weights(df: DataFrame, n: int, fields: list[str], seed: int = 7, most: float = 5.0) -> DataFrame:
+    """``config_id, w_<field>``: ``n`` draws of weights from 0 to ``most``, by hash, so that engines agree."""
+    u = lambda f: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string"), F.lit(f"|{f}"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return df.sparkSession.range(n).select(F.col("id").cast("string").alias("config_id"), *[(u(f) * most).alias(f"w_{f}") for f in fields])
+
+
+def weights_by_category(matrix: DataFrame, configs: DataFrame, fields: list[str], category: str = "category", k: int = 5, least: int = 3, pairs_per_task: int = 200) -> DataFrame:
+    """``category, config_id, total, hits, recall`` of each category with at least ``least`` directed pairs.
+
+    ``matrix(category, query_id, target_id, cand_id, <fields>)`` holds field scores, null where they do not compare; a
+    candidate's score is their mean by the configuration's weights over the fields that do (0 where none does), and a
+    target is hit if fewer than ``k`` candidates score strictly higher.  A task takes pairs of a category as one matrix
+    product each and returns a row per configuration, however many pairs it has; a category of many pairs is dealt over
+    many tasks.  Configurations are a list that the caller writes; they travel to the tasks.
+    """
+    rows = configs.select("config_id", *[f"w_{f}" for f in fields]).orderBy("config_id").toPandas()
+    shared = matrix.sparkSession.sparkContext.broadcast((rows["config_id"].tolist(), rows[[f"w_{f}" for f in fields]].to_numpy(float).T))
+    counts = matrix.select(category, "query_id", "target_id").distinct().groupBy(category).agg(F.count("*").alias("total")).filter(F.col("total") >= least)
+    tasks = matrix.join(counts.select(category, "total"), category).withColumn("_task", F.pmod(F.xxhash64("query_id", "target_id"), F.ceil(F.col("total") / pairs_per_task)))
+
+    def hits(table: pa.Table) -> pa.Table:
+        names, weights = shared.value
+        table = table.sort_by([("query_id", "ascending"), ("target_id", "ascending")])
+        query, target, cand = (table.column(c).to_numpy() for c in ("query_id", "target_id", "cand_id"))
+        x = np.column_stack([table.column(f).to_numpy(zero_copy_only=False).astype(float) for f in fields])
+        known = ~np.isnan(x)
+        score, weight = np.where(known, x, 0) @ weights, known @ weights
+        score = np.round(np.divide(score, weight, out=np.zeros_like(score), where=weight > 0), 9)
+        cuts = np.flatnonzero(np.append(True, (query[1:] != query[:-1]) | (target[1:] != target[:-1]))).tolist() + [len(query)]
+        found = np.zeros(len(names), np.int64)
+        for a, b in zip(cuts, cuts[1:]):
+            own = np.flatnonzero(cand[a:b] == target[a])
+            if len(own):
+                found += (score[a:b] > score[a + own[0]]).sum(axis=0) < k
+        return pa.table({"category": pa.array([table.column(category)[0].as_py()] * len(names), pa.string()), "config_id": names, "_hits": found})
+
+    parts = tasks.groupBy(category, "_task").applyInArrow(hits, "category string, config_id string, _hits long")
+    summed = parts.groupBy("category", "config_id").agg(F.sum("_hits").alias("hits"))
+    return summed.join(counts.withColumnRenamed(category, "category"), "category").select("category", "config_id", "total", "hits", (F.col("hits") / F.col("total")).alias("recall"))
+
+
+def best_by_category(scored: DataFrame) -> DataFrame:
+    """The configuration with the most hits of each category, ties by id."""
+    place = Window.partitionBy("category").orderBy(F.desc("hits"), "config_id")
+    return scored.withColumn("_k", F.row_number().over(place)).filter("_k = 1").drop("_k")
+
+
 def sample_weights(df: DataFrame, n: int, groups: list[str], seed: int = 42, alphas: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
     """``n`` weight vectors drawn evenly from the simplex (by hash, so that engines agree) by gates and alphas."""
     names = [*groups, "numeric"]

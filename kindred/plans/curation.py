@@ -195,12 +195,14 @@ def class_weights(spark, d):
 
 
 def _coverage_sql(votes: str, per_class: int, second: str = "") -> str:
-    """A class per source, chosen sources by hash within a class, then the running sum in the order of the hash."""
-    return f"""WITH x AS (SELECT *, floor(log10(n_chars)) AS size FROM documents),
+    """A class per source, chosen sources by hash within a class, then the fill in the order of the hash, one by one."""
+    return f"""WITH RECURSIVE x AS (SELECT *, floor(log10(n_chars)) AS size FROM documents),
     {votes}, best AS (SELECT source FROM c1 QUALIFY row_number() OVER (PARTITION BY k ORDER BY md5('42|' || source), source) <= {per_class}){second},
     s AS (SELECT x.source, count(*) AS n, x.source IN (FROM chosen) AS for_coverage FROM x WHERE x.source IS NOT NULL GROUP BY 1),
-    r AS (SELECT *, sum(n) OVER (ORDER BY for_coverage DESC, md5('42|' || source), source) AS upto FROM s)
-    SELECT source, for_coverage FROM r WHERE for_coverage OR upto <= 460"""
+    o AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || source), source) AS pos FROM s WHERE NOT for_coverage),
+    f(pos, total, took) AS (SELECT 0, (SELECT coalesce(sum(n), 0)::BIGINT FROM s WHERE for_coverage), false
+      UNION ALL SELECT o.pos, CASE WHEN total < 460 AND NOT (total + n > 460 AND total >= 340) THEN total + n ELSE total END, total < 460 AND NOT (total + n > 460 AND total >= 340) FROM f JOIN o ON o.pos = f.pos + 1)
+    SELECT source, for_coverage FROM s WHERE for_coverage UNION ALL SELECT source, false FROM o JOIN f USING (pos) WHERE took"""
 
 
 def _votes_sql(name: str, label: str) -> str:
@@ -385,11 +387,19 @@ def planted(spark, d):
 
 @query()
 def train_head(spark, d):
-    rows = planted(spark, d)
-    model = heads.train_head(rows, "vec", "planted")
+    """A perceptron chosen by macro F1 of held-out groups: what the chosen run says of every vector."""
+    rows = planted(spark, d).withColumn("specimen", F.floor(F.col("id") / 3))
+    model, _ = heads.choose_head(rows, "vec", "planted", "specimen")
     return heads.multi_head(rows, "vec", {"planted": model}).select("id", "feature", "value", F.round("confidence", 6).alias("confidence"), "status")
 
 
+@query()
+def train_head_runs(spark, d):
+    """Macro F1 on the validation groups after each run, and which run was chosen."""
+    rows = planted(spark, d).withColumn("specimen", F.floor(F.col("id") / 3))
+    return heads.choose_head(rows, "vec", "planted", "specimen")[1]
+
+
 @query()
 def multi_head(spark, d):
     rows = planted(spark, d).withColumn("sign", F.when(F.element_at("vec", 3) > 0, "plus").otherwise("minus"))

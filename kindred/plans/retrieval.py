@@ -104,6 +104,13 @@ def ivf_recall(spark, d):
     return V.recall(index.topk_ivf(asked(v), v, 20), V.topk_by_group(asked(v), v, 20), by=("grp",))
 
 
+@query("""SELECT doc_id AS entity_id, 'content' AS grp, CASE WHEN coalesce(text, '') = '' THEN '' ELSE 'text: ' || text || '.' END AS text FROM documents
+UNION ALL SELECT doc_id, 'origin', array_to_string(list_filter(['lang: ' || lang || '.', 'source: ' || source || '.'], lambda x: x IS NOT NULL), ' ') FROM documents""")
+def group_texts(spark, d):
+    """The texts that ``embed_groups`` gives its encoder."""
+    return embed_groups(spark, d).select("entity_id", "grp", "text")
+
+
 @query()
 def embed_groups(spark, d):
     x = t(spark, d, "documents").select("doc_id", "text", "lang", "source")
@@ -538,15 +545,34 @@ def sample_weights(spark, d):
     return E.best(E.rescore_bulk(m, E.sample_weights(m, 4, GROUPS), GROUPS))
 
 
-@query()
-def optimize_field_weights(spark, d):
-    """Recall of pair scores under sampled field weights (form, words), by known pairs of the same category."""
+FIELD_DRAWS = 24
+FIELD_SQL = f"""WITH {WIDE}, {ENT}, {DIRECTED}, conf AS (SELECT i::VARCHAR AS config_id, {', '.join(f"5.0::DOUBLE * ('0x' || substr(md5('7|' || i || '|{f}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS w_{f}" for f in ('form', 'words'))} FROM range({FIELD_DRAWS}) r(i)),
+fm AS (SELECT a.category, w.query_id, w.cand_id, target_id, ({TYPE_SIM.format(a='a.form', b='b.form')})::DOUBLE AS form, ({WORDS_SIM})::DOUBLE AS words FROM wide w JOIN ent a ON a.id = w.query_id JOIN ent b ON b.id = w.cand_id JOIN dir USING (query_id)),
+fs AS (SELECT *, round((w_form * form + w_words * words) / (w_form + w_words), 9) AS score FROM fm, conf),
+ft AS (SELECT *, max(score) FILTER (cand_id = target_id) OVER (PARTITION BY config_id, query_id, target_id) AS ts FROM fs),
+fr AS (SELECT category, config_id, query_id, target_id, count(*) FILTER (score > ts) < 5 AND bool_or(ts IS NOT NULL) AS hit FROM ft GROUP BY ALL),
+fc AS (SELECT category, config_id, count(*) AS total, count(*) FILTER (hit) AS hits FROM fr GROUP BY 1, 2 HAVING count(*) >= 3)"""
+
+
+def field_scores(spark, d):
     e = entities(spark, d)
     scores = pairs.field_scores(SPEC)
-    m = pairs.sides(hits(spark, d).select("query_id", "cand_id").distinct(), e, "entity_id").select("query_id", "cand_id", *[F.coalesce(c, F.lit(0.0)).alias(k) for k, c in scores.items()], F.lit(0.0).alias("numeric"), F.lit(0.0).alias("jaccard"), *[F.lit(True).alias(f"gate_{g}") for g in ("form", "surface", "size")])
-    names = list(scores)
-    configs = E.sample_weights(m, 8, names, seed=7, alphas=(1.0,)).filter("not use_form and not use_surface and not use_size")
-    return E.rescore_many(m.join(bidirectional(spark, d), "query_id"), configs, names)
+    found = hits(spark, d).select("query_id", "cand_id").distinct()
+    m = pairs.sides(found, e, "entity_id").select(F.col("a_category").alias("category"), "query_id", "cand_id", *[c.alias(k) for k, c in scores.items()])
+    m = m.join(bidirectional(spark, d), "query_id")
+    return E.weights_by_category(m, E.field_weights(m, FIELD_DRAWS, list(scores)), list(scores))
+
+
+@query(f"{FIELD_SQL} SELECT category, config_id, total, hits, round(hits / total, 6) AS recall FROM fc")
+def field_weights_by_category(spark, d):
+    """Recall in each category under drawn weights of the vocabulary fields."""
+    return six(field_scores(spark, d))
+
+
+@query(f"{FIELD_SQL} SELECT category, config_id, total, hits, round(hits / total, 6) AS recall FROM fc QUALIFY row_number() OVER (PARTITION BY category ORDER BY hits DESC, config_id) = 1")
+def optimize_field_weights(spark, d):
+    """The best draw of each category that has at least three directed pairs."""
+    return six(E.best_by_category(field_scores(spark, d)))
 
 
 # --- learned ranker
@@ -573,6 +599,23 @@ def hard_negatives(spark, d):
     return ranker.hard_negatives(fused(spark, d, "weighted").select("query_id", "cand_id", "score"), known_pairs(spark, d))
 
 
+@query(f"""WITH {WIDE}, {RING_SQL}, k AS (SELECT a AS query_id, b AS cand_id FROM known UNION SELECT b, a FROM known),
+sc AS (SELECT query_id, cand_id, {four(WEIGHTED)} AS score FROM ({ZERO}) WHERE (query_id, cand_id) NOT IN (SELECT (query_id, cand_id) FROM k)),
+hard AS (SELECT query_id AS a, cand_id AS neg FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_id) <= {NEG // 2}),
+mixed AS (SELECT known.a, b, neg, 'hard' AS kind FROM known JOIN hard ON hard.a = known.a WHERE neg <> b UNION ALL SELECT a, b, neg, 'random' FROM ng WHERE k <= {NEG - NEG // 2})
+SELECT a, b, neg, min(kind) AS kind FROM mixed GROUP BY 1, 2, 3""")
+def mixed_negatives(spark, d):
+    """Half the best scored unknown candidates of an anchor, half random ones."""
+    scored = fused(spark, d, "weighted").select("query_id", "cand_id", "score")
+    return ranker.mixed_negatives(known_pairs(spark, d), t(spark, d, "embeddings").select(F.col("vec_id").alias("id")), scored, NEG)
+
+
+@query()
+def mine_negatives(spark, d):
+    """Two rounds of a ranker on planted pairs: random negatives, then half those it scored high itself."""
+    return ranker.mined_rounds(planted_pairs(spark, d), RANKER_FEATURES, maxIter=5, maxDepth=3)[1]
+
+
 def planted_pairs(spark, d):
     """Pairs of parts labelled by a planted rule (same form and close in size), with features: the vectors' labels
     carry no signal."""
@@ -626,7 +669,12 @@ def inversion_check(spark, d):
 
 @query()
 def tune_ranker(spark, d):
-    """Mean AUC of each parameter set."""
-    candidates = [{"maxIter": 3, "maxDepth": 2}, {"maxIter": 5, "maxDepth": 3}]
-    tuned = ranker.tune_ranker(planted_pairs(spark, d), RANKER_FEATURES, "query_id", 2, candidates)
-    return spark.createDataFrame([(str(c), float(m)) for c, m in zip(candidates, tuned.avgMetrics)], "parameters string, auc double")
+    """Log loss, AUC and trees of four random settings on each of two folds of whole queries."""
+    return ranker.folds_report(planted_pairs(spark, d), RANKER_FEATURES, "query_id", 2, ranker.drawn_settings(4))[0]
+
+
+@query()
+def ranker_gains(spark, d):
+    """Share of the gain of each feature."""
+    model, _ = ranker.train_ranker(planted_pairs(spark, d), RANKER_FEATURES, "query_id", folds=2, maxIter=5, maxDepth=3)
+    return spark.createDataFrame(ranker.gains(model, RANKER_FEATURES), "feature string, gain double")
