@@ -71,7 +71,8 @@ def exact_duplicates(
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", broadcast_ids: int = 4_000_000, **options) -> DataFrame:
     """One row of each text, that with the smallest (or largest) id; rows without an id stay only where no other has the text."""
     several = exact_duplicates(docs, id_col, text, **options).filter("group_size > 1")
-    key = lambda i, sha: F.xxhash64(i.isNull(), i, sha)
+    # 128 bits of the id and the text's SHA-256: keys of other rows are not met by chance
+    key = lambda i, sha: F.unhex(F.md5(F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("-")), sha)))
     rows = several.select(key(F.col(id_col), F.col("text_sha256")).alias("_key"), F.col("kept").alias("_stays"))
     judged = written(rows.groupBy("_key", "_stays").agg(F.count("*").alias("_rows")), "judged")
     dropped, repeated = judged.filter("not _stays").select(F.col("_key").alias("_dropped")), judged.filter("_stays and _rows > 1").select(F.col("_key").alias("_repeated"))

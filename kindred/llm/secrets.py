@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import first_by_draw, written
 
 #: Words that announce a secret, and words that announce something else.
 KEY_WORDS = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api_key", "access_key", "secret_key", "auth", "bearer", "credential", "credentials")
@@ -159,7 +159,8 @@ def planted(docs: DataFrame, id_col: str = "doc_id", text: str = "text", most: i
     """``number, kind, value, label, text``: values of known kinds between words of at most ``most`` documents (drawn by
     a hash), ``label`` 1 for secrets.  Values and the words around them follow the document's hash."""
     content = F.coalesce(docs[text], F.lit(""))
-    drawn = docs.select(F.sha2(F.concat_ws("|", F.coalesce(docs[id_col].cast("string"), F.lit("")), content), 256).alias("h"), content.alias("t")).orderBy("h").limit(most)
+    hashed = docs.select(F.sha2(F.concat_ws("|", F.coalesce(docs[id_col].cast("string"), F.lit("")), content), 256).alias("h"), content.alias("t"))
+    drawn = first_by_draw(hashed, F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / float(1 << 32), ["h"], most)
     words = F.filter(F.split("t", SPACES), lambda w: w.rlike("^[A-Za-z]{3,12}$"))
     base = drawn.select(F.monotonically_increasing_id().alias("number"), "h", words.alias("w"))
     number = lambda a: F.conv(F.substring("h", a, 6), 16, 10).cast("long")

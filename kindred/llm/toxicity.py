@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, pieces_of, worker_cache, written
+from .common import Words, first_by_draw, pieces_of, worker_cache, written
 
 STRIP = b".,;:!?'\"()[]{}<>|*#$%&-_/"
 _ENDS = np.zeros(256, bool)
@@ -149,7 +149,8 @@ def train(
     tasks; the driver sees the features kept and where they occur.
     """
     marked = labels.filter(usable).select(labels[id_col].alias("_id"), labels[label].cast("int").alias("y")).filter("y is not null and _id is not null")
-    drawn = marked.orderBy(F.xxhash64("_id"), "_id").limit(most_rows)
+    draw = F.xxhash64("_id").cast("double") / float(1 << 64) + 0.5
+    drawn = first_by_draw(marked, draw, [F.xxhash64("_id"), "_id"], most_rows)
     joined = docs.select(docs[id_col].alias("_doc"), F.coalesce(docs[text], F.lit("")).alias("t")).join(F.broadcast(drawn), F.col("_doc") == F.col("_id"))
     rows = written(joined.groupBy("t").agg(F.max("y").alias("y")).select(F.xxhash64("t").alias("k"), "t", "y"), "training")
     total = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
