@@ -39,35 +39,25 @@ def pass_rate(ranks: DataFrame, k: int = 10) -> DataFrame:
     return ranks.filter("error is null").agg(F.count("*").alias("total"), F.sum(hit).alias("passed"), F.avg(hit).alias("pass_rate"))
 
 
-def config_score(groups: list[str], alpha: Column) -> Column:
-    """Score of a matrix row under a row of configurations (columns ``w_<group>``, ``w_numeric``)."""
-    total = sum((F.col(f"w_{g}") * F.col(g) for g in groups), F.col("w_numeric") * F.col("numeric"))
-    return F.round(alpha * total + (1 - alpha) * F.col("jaccard"), 9)
-
-
 def rescore(matrix: DataFrame, configs: DataFrame, groups: list[str], ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """Recall of each configuration; a target's rank is its place by score, ties by candidate id.
 
     ``matrix(query_id, cand_id, target_id, <groups>, numeric, jaccard, gate_form, gate_surface, gate_size)`` is computed
-    once; ``configs(config_id, w_..., alpha, use_form, use_surface, use_size)`` are few and bounded by the caller.
+    once; see :func:`rescore_bulk`.
     """
-    passed = _gated(matrix, configs).withColumn("score", config_score(groups, F.col("alpha")))
-    order = Window.partitionBy("config_id", "query_id", "target_id").orderBy(F.desc("score"), "cand_id")
-    ranked = passed.withColumn("_r", F.row_number().over(order)).filter("cand_id = target_id")
-    return _recalls(matrix, configs, ranked.select("config_id", "query_id", "target_id", "_r"), ks)
+    return rescore_bulk(matrix, configs, groups, ks, by_id=True)
 
 
 def rescore_many(matrix: DataFrame, configs: DataFrame, groups: list[str], ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """Like :func:`rescore`, but only strictly better candidates stand before a target, so ties favour it."""
-    passed = _gated(matrix, configs).withColumn("score", config_score(groups, F.col("alpha")))
-    pair = Window.partitionBy("config_id", "query_id", "target_id")
-    own = passed.withColumn("_target", F.max(F.when(F.col("cand_id") == F.col("target_id"), F.col("score"))).over(pair)).filter("_target is not null")
-    better = own.groupBy("config_id", "query_id", "target_id").agg((F.count_if(F.col("score") > F.col("_target")) + 1).alias("_r"))
-    return _recalls(matrix, configs, better, ks)
+    return rescore_bulk(matrix, configs, groups, ks)
 
 
-def rescore_bulk(matrix: DataFrame, configs: DataFrame, groups: list[str], ks: tuple[int, ...] = (1, 3, 5), pairs_per_task: int = 200) -> DataFrame:
-    """:func:`rescore_many` for thousands of configurations: a matrix product per pair, hits summed up per task.
+def rescore_bulk(matrix: DataFrame, configs: DataFrame, groups: list[str], ks: tuple[int, ...] = (1, 3, 5), pairs_per_task: int = 200, by_id: bool = False) -> DataFrame:
+    """Recall of up to thousands of configurations: a matrix product per pair, hits summed up per task.
+
+    A configuration ``(config_id, w_..., alpha, use_form, use_surface, use_size)`` scores ``alpha`` times the weighted
+    similarities and the rest times ``jaccard``, to nine digits, of the candidates that pass the gates it uses.
 
     What a task returns is a row per configuration, however many pairs it has seen; the list of configurations is
     written by the caller and travels to the tasks.
@@ -96,7 +86,10 @@ def rescore_bulk(matrix: DataFrame, configs: DataFrame, groups: list[str], ks: t
                 continue
             score = np.round(x[a:b] @ weights + jaccard[a:b, None] * rest, 9)
             open_ = (~use[None] | passed[a:b, None]).all(axis=2)
-            better = ((score > score[own[0]]) & open_).sum(axis=0)
+            before = score > score[own[0]]
+            if by_id:
+                before |= (score == score[own[0]]) & (cand[a:b, None] < target[a])
+            better = (before & open_).sum(axis=0)
             for k, most in enumerate(ks):
                 counts[k] += (better < most) & open_[own[0]]
         return pa.table({"config_id": pa.array(names, pa.string()), **{f"_h{k}": pa.array(c) for k, c in zip(ks, counts)}})
@@ -107,18 +100,6 @@ def rescore_bulk(matrix: DataFrame, configs: DataFrame, groups: list[str], ks: t
     return summed.select("config_id", F.lit(total).cast("long").alias("total"), *[(F.col(f"_h{k}") / total).alias(f"recall_{k}") for k in ks])
 
 
-def _gated(matrix: DataFrame, configs: DataFrame) -> DataFrame:
-    passes = (~F.col("use_form") | F.col("gate_form")) & (~F.col("use_surface") | F.col("gate_surface")) & (~F.col("use_size") | F.col("gate_size"))
-    return matrix.join(F.broadcast(configs), passes)  # configurations: a list that the caller writes
-
-
-def _recalls(matrix: DataFrame, configs: DataFrame, ranks: DataFrame, ks: tuple[int, ...]) -> DataFrame:
-    total = matrix.select("query_id", "target_id").distinct().agg(F.count("*").alias("total"))
-    hits = ranks.groupBy("config_id").agg(*[F.count_if(F.col("_r") <= k).alias(f"_h{k}") for k in ks])
-    every = configs.select("config_id").join(hits, "config_id", "left").join(F.broadcast(total))
-    return every.select("config_id", "total", *[(F.coalesce(f"_h{k}", F.lit(0)) / F.col("total")).alias(f"recall_{k}") for k in ks])
-
-
 def field_weights(df: DataFrame, n: int, fields: list[str], seed: int = 7, most: float = 5.0) -> DataFrame:
     """``config_id, w_<field>``: ``n`` draws of weights from 0 to ``most``, by hash, so that engines agree."""
     u = lambda f: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string"), F.lit(f"|{f}"))), 1, 8), 16, 10).cast("double") / 4294967296.0

@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-#: References are broadcast up to so many.
+from ..sources.shared import numbered_by
+from .pivots import unit_rows
+
+#: References travel to the tasks in blocks of so many.
 MOST_REFS = 50_000
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
@@ -38,17 +45,40 @@ def enforce_vocabulary(df: DataFrame, fields: dict[str, str], canonical: DataFra
     return out
 
 
-def nearest_canonical(vectors: DataFrame, refs: DataFrame, least: float = 0.82) -> DataFrame:
-    """``id, ref, sim``: the reference nearest by cosine, null under ``least``.
+def nearest_canonical(vectors: DataFrame, refs: DataFrame, least: float = 0.82, block: int = MOST_REFS) -> DataFrame:
+    """``id, ref, sim``: the reference nearest by cosine (ties: the first by name), null under ``least``.
 
-    ``refs(ref, vec)`` is a vocabulary's vectors, a list that people write.
+    References ``(ref, vec)`` travel to the tasks in blocks of ``block`` rows, a matrix product each; the blocks' best are
+    compared afterwards.  A null vector has neither reference nor similarity; without references there are no rows.
     """
-    from ..functions.similarity import cosine
-
-    table = refs.select("ref", F.col("vec").alias("_r"))
-    met = vectors.join(F.broadcast(table) if table.count() <= MOST_REFS else table)
-    sims = met.select("id", "ref", F.round(cosine(F.col("vec"), F.col("_r")), 6).alias("sim"))
-    best = sims.groupBy("id").agg(F.min_by("ref", F.struct(-F.col("sim"), F.col("ref"))).alias("ref"), F.max("sim").alias("sim"))
+    placed = numbered_by(refs.filter("vec is not null"), F.md5(F.col("ref").cast("string")), "ref", "_place")
+    n, best = placed.count(), None
+    kind = refs.schema["ref"].dataType
+    for start in range(0, n, block):
+        part = placed.filter((F.col("_place") > start) & (F.col("_place") <= start + block)).orderBy("ref").toArrow()
+        shared = vectors.sparkSession.sparkContext.broadcast((part.column("ref").to_pylist(), unit_rows(part.column("vec")).T))
+
+        def nearest(batches, shared=shared):
+            for batch in batches:
+                if batch.num_rows:
+                    names, matrix = shared.value
+                    known = np.flatnonzero(batch.column("vec").is_valid().to_numpy(zero_copy_only=False))
+                    found, sims = [None] * batch.num_rows, [None] * batch.num_rows
+                    width = 1 + (1 << 22) // len(names)
+                    for a in range(0, len(known), width):
+                        rows = known[a : a + width]
+                        all_ = np.round(unit_rows(batch.column("vec").take(pa.array(rows))) @ matrix, 6)
+                        for r, k, sim in zip(rows.tolist(), all_.argmax(axis=1).tolist(), all_.max(axis=1).tolist()):
+                            found[r], sims[r] = names[k], sim
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, to_arrow_type(kind)), pa.array(sims, pa.float64())], ["id", "ref", "sim"])
+
+        given = vectors.select("id", "vec")
+        got = given.mapInArrow(nearest, StructType([given.schema["id"], StructField("ref", kind), StructField("sim", DoubleType())]))
+        best = got if best is None else best.unionByName(got)
+    if best is None:
+        return vectors.select("id", F.lit(None).cast(kind).alias("ref"), F.lit(None).cast("double").alias("sim")).limit(0)
+    if n > block:
+        best = best.groupBy("id").agg(F.min_by("ref", F.struct(-F.col("sim"), F.col("ref"))).alias("ref"), F.max("sim").alias("sim"))
     return best.withColumn("ref", F.when(F.col("sim") >= least, F.col("ref")))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
+from ..sources.shared import written
 
 
 @dataclass
@@ -23,14 +24,28 @@ class PairSpec:
     gates: tuple[str, ...] = ()
 
 
+#: Scores of different pairs of lists are broadcast up to so many.
+MOST_LIST_PAIRS = 200_000
+
+
 def with_list_scores(met: DataFrame, spec: PairSpec, a: str = "a_", b: str = "b_") -> DataFrame:
-    """``met`` with ``sim_<field>`` for each list field: different pairs of lists are scored once and joined back, since
-    a vocabulary has far fewer of them than there are pairs of entities."""
+    """``met``, written, with ``sim_<field>`` for each list field.
+
+    Different pairs of lists are scored once, as a vocabulary has far fewer of them than there are pairs of entities, and
+    joined back: broadcast where they are few.  Beyond that each pair is scored where it stands, so that a frequent pair
+    of lists does not gather in a task.
+    """
+    if not spec.lists:
+        return met
+    met = written(met, "met")
     for f, m in spec.lists.items():
-        known = met.filter(F.col(a + f).isNotNull() & F.col(b + f).isNotNull())
-        each = known.select(F.col(a + f).alias("_x"), F.col(b + f).alias("_y")).distinct()
-        each = each.withColumn(f"sim_{f}", S.list_similarity(F.col("_x"), F.col("_y"), m))
-        met = met.join(each, (F.col(a + f) == F.col("_x")) & (F.col(b + f) == F.col("_y")), "left").drop("_x", "_y")
+        x, y = F.col(a + f), F.col(b + f)
+        each = met.filter(x.isNotNull() & y.isNotNull()).select(x.alias("_x"), y.alias("_y")).distinct()
+        each = written(each.withColumn(f"sim_{f}", S.list_similarity(F.col("_x"), F.col("_y"), m)), "lists")
+        if each.count() <= MOST_LIST_PAIRS:
+            met = met.join(F.broadcast(each), (x == F.col("_x")) & (y == F.col("_y")), "left").drop("_x", "_y")
+        else:
+            met = met.withColumn(f"sim_{f}", F.when(x.isNotNull() & y.isNotNull(), S.list_similarity(x, y, m)))
     return met
 
 

@@ -48,11 +48,12 @@ def candidates(queries: DataFrame, entity_vectors: DataFrame, s: Search) -> Data
 def scored(hits: DataFrame, entities: DataFrame | None, s: Search, spec: PairSpec | None = None, id_col: str = "entity_id") -> DataFrame:
     """Candidates with similarities, numeric and vocabulary scores and the fused ``score``."""
     weights = weights_of(s.groups, s.overrides, s.numeric)
-    wide = V.candidate_union(hits, list(s.priority) or None)
     per_group = [F.max(F.when(F.col("grp") == g, F.col("sim"))).alias(g) for g in s.groups]
     ranks = [F.max(F.when(F.col("grp") == g, F.col("rank"))).alias(f"rank_{g}") for g in s.groups]
-    both = hits.groupBy("query_id", "cand_id").agg(*per_group, *ranks).fillna(0.0, s.groups)
-    wide = wide.join(both, ["query_id", "cand_id"])
+    # one grouping gives the union of candidates, whether a priority group has them, and their columns
+    wanted = F.max(F.col("grp").isin(*s.priority)) if s.priority else F.lit(True)
+    wide = hits.groupBy("query_id", "cand_id").agg(*per_group, *ranks, wanted.alias("_wanted"), F.count("*").alias("n_groups"))
+    wide = wide.filter("_wanted").drop("_wanted").fillna(0.0, s.groups)
     if s.strategy == "contrastive":
         stats = V.group_stats(hits)
         flat = stats.groupBy("query_id").agg(*[F.max(F.when(F.col("grp") == g, F.col(k))).alias(f"{k}_{g}") for g in s.groups for k in ("mean", "std")])

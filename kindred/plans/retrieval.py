@@ -538,11 +538,16 @@ def alpha_grid(spark, d):
     return six(E.rescore(matrix_with_targets(spark, d), grid, GROUPS))
 
 
-@query()
+DRAWN_SQL = f"""drawn AS (SELECT i, {', '.join(f"-ln((('0x' || substr(md5('42|' || i || '|{g}'), 1, 8))::BIGINT + 1) / 4294967297.0::DOUBLE) AS e_{g}" for g in [*GROUPS, 'numeric'])} FROM range(4) r(i)),
+conf AS (SELECT concat_ws('-', i, f::INT, s::INT, z::INT, alpha) AS config_id, {', '.join(f"e_{g} / ({' + '.join(f'e_{x}' for x in [*GROUPS, 'numeric'])}) AS w_{g}" for g in [*GROUPS, 'numeric'])}, f AS use_form, z AS use_size, alpha
+  FROM drawn, (SELECT unnest([false, true]) AS f), (SELECT unnest([false, true]) AS s), (SELECT unnest([false, true]) AS z), (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS alpha))"""
+
+
+@query(f"WITH {MATRIX}, {DRAWN_SQL}, {SCORED_CONF.replace('NOT use_size OR gate_size', '(NOT use_size OR gate_size) AND (NOT use_form OR gate_form)')}, tg AS (SELECT *, max(score) FILTER (cand_id = target_id) OVER (PARTITION BY config_id, query_id, target_id) AS ts FROM sc), r AS (SELECT config_id, query_id, target_id, count(*) FILTER (score > ts) + 1 AS r FROM tg WHERE ts IS NOT NULL GROUP BY 1, 2, 3), x AS ({RECALL_CONF}) SELECT * FROM x ORDER BY recall_5 DESC, recall_3 DESC, recall_1 DESC, config_id LIMIT 10")
 def sample_weights(spark, d):
     """The ten best of 160 sampled configurations over the candidate matrix."""
     m = matrix_with_targets(spark, d)
-    return E.best(E.rescore_bulk(m, E.sample_weights(m, 4, GROUPS), GROUPS))
+    return six(E.best(E.rescore_bulk(m, E.sample_weights(m, 4, GROUPS), GROUPS)))
 
 
 FIELD_DRAWS = 24

@@ -13,8 +13,10 @@ from kindred.operators import curate, dedup, evaluate, fusion, heads, index, nor
 from kindred.operators import vectors as V
 from kindred.plans import bindings
 from kindred.sources import tables as T
+from kindred.streaming import streams
 
 from . import oracle
+from .conftest import SF
 
 
 def value(spark, c):
@@ -391,6 +393,212 @@ def test_training_set_equals_brute_force(spark, sf_dir):
     assert len(rows) == len(want) and {(r.query_id, r.cand_id): r.label for r in rows} == want
 
 
+def test_losses_and_areas_equal_brute_force(spark):
+    import random
+
+    random.seed(2)
+    rows = [(g, float(random.random() < 0.3), random.choice([0.0, 0.25, 0.5, 0.75, 1.0, random.random()])) for g in "ab" for _ in range(300)] + [("c", 0.0, 0.5)]
+    scored = spark.createDataFrame(rows, "g string, label double, score double")
+    loss = {r.g: (r.log_loss, r.n) for r in ranker.log_loss(scored, ("g",)).collect()}
+    auc = {r.g: r.auc for r in ranker.area_under_curve(scored, ("g",)).collect()}
+    for g in "ab":
+        yes, no = ([s for x, y, s in rows if x == g and y == k] for k in (1.0, 0.0))
+        clipped = [min(max(s, 1e-15), 1 - 1e-15) for s in yes], [min(max(s, 1e-15), 1 - 1e-15) for s in no]
+        want = -(sum(map(math.log, clipped[0])) + sum(math.log(1 - s) for s in clipped[1])) / (len(yes) + len(no))
+        assert loss[g] == (pytest.approx(want), len(yes) + len(no))
+        assert auc[g] == pytest.approx(sum((a > b) + (round(a, 6) == round(b, 6)) / 2 for a in yes for b in no) / len(yes) / len(no), abs=1e-4)
+    assert auc["c"] is None
+
+
+def test_drawn_settings_are_in_their_ranges_and_stable():
+    drawn = ranker.drawn_settings(30)
+    assert len(drawn[0]) == 11 and drawn[:5] == ranker.drawn_settings(5) and len({str(d) for d in drawn}) == 30
+    for d in drawn:
+        for name, (kind, *of) in ranker.SPACE.items():
+            assert d[name] in of if kind == "choice" else of[0] <= d[name] <= of[1]
+
+
+def planted_candidates(spark):
+    """Queries of 40 candidates with three pairs each; one feature tells them apart, one misleads, one may be missing."""
+    import random
+
+    random.seed(8)
+    rows = []
+    for q in range(40):
+        for c in range(40):
+            y = float(c < 3)
+            rows.append((q, 100 + c, y, y * 0.5 + random.random() * 0.6, random.random(), random.choice([None, y + random.random()])))
+    return spark.createDataFrame(rows, "query_id long, cand_id long, label double, good double, noise double, gap double")
+
+
+def test_folds_are_whole_and_their_loss_is_recomputed(spark):
+    rows = planted_candidates(spark)
+    report, scores = ranker.folds_report(rows, ["good", "noise", "gap"], "query_id", 2, [{"maxIter": 6, "maxDepth": 2, "stepSize": 0.3}, {"maxIter": 3, "maxDepth": 2, "stepSize": 0.02}])
+    got = {(r.draw, r.fold): r for r in report.collect()}
+    assert set(got) == {(d, f) for d in (0, 1) for f in (0, 1)}
+    said = scores.collect()
+    assert len(said) == 2 * rows.count() and len({(r.draw, r.query_id, r.fold) for r in said}) == 2 * 40
+    for (d, f), r in got.items():
+        own = [(x.label, min(max(x.score, 1e-15), 1 - 1e-15)) for x in said if (x.draw, x.fold) == (d, f)]
+        assert r.n == len(own) and r.log_loss == pytest.approx(-sum(math.log(p if y else 1 - p) for y, p in own) / len(own))
+        assert 1 <= r.trees <= (6, 3)[d] and r.auc > 0.8
+    best = ranker.best_setting(report).collect()
+    assert best[0].draw == 0 and best[0].mean_loss < best[1].mean_loss and best[0].std_loss >= 0
+
+
+def test_mined_negatives_are_half_hard(spark):
+    rows = planted_candidates(spark)
+    model, report = ranker.mined_rounds(rows, ["good", "noise", "gap"], ratio=5, maxIter=5, maxDepth=2)
+    first, second = report.orderBy("round").collect()
+    assert first.n_hard == 0 and first.n_random == second.n_hard + second.n_random
+    assert abs(second.n_hard - second.n_random) <= 40 and first.auc > 0.85 and second.auc > 0.85
+    assert ranker.gains(model, ["good", "noise", "gap"])[0][0] in ("good", "gap")
+
+
+def test_weights_by_category_equal_brute_force(spark):
+    import random
+
+    random.seed(6)
+    rows = []
+    for q in range(30):
+        cat = "abc"[q % 3] if q < 29 else "few"
+        for target in (1, 2):
+            rows += [(cat, q, target, c, random.choice([None, round(random.random(), 1)]), random.choice([None, round(random.random(), 1)])) for c in range(1 + q % 2, 9)]
+    matrix = spark.createDataFrame(rows, "category string, query_id long, target_id long, cand_id long, x double, y double")
+    configs = evaluate.field_weights(matrix, 5, ["x", "y"])
+    got = {(r.category, r.config_id): (r.total, r.hits) for r in evaluate.weights_by_category(matrix, configs, ["x", "y"], k=3, pairs_per_task=4).collect()}
+    want = {}
+    for c in configs.collect():
+        assert 0 <= c.w_x < 5 and 0 <= c.w_y < 5
+        for cat in "abc":
+            pairs_ = sorted({(q, t) for k, q, t, *_ in rows if k == cat})
+            hits = 0
+            for q, t in pairs_:
+                score = {}
+                for k, a, b, cand, x, y in rows:
+                    if (k, a, b) == (cat, q, t):
+                        known = [(c.w_x, x)] * (x is not None) + [(c.w_y, y)] * (y is not None)
+                        score[cand] = round(sum(w * v for w, v in known) / sum(w for w, _ in known), 9) if known else 0.0
+                hits += t in score and sum(s > score[t] for s in score.values()) < 3
+            want[cat, c.config_id] = (len(pairs_), hits)
+    assert got == want  # a category of two pairs is left out
+    best = {r.category: r.hits for r in evaluate.best_by_category(evaluate.weights_by_category(matrix, configs, ["x", "y"], k=3)).collect()}
+    assert best == {cat: max(h for (k, _), (_, h) in want.items() if k == cat) for cat in "abc"}
+
+
+def test_nearest_reference_in_blocks(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.1]), (2, [0.0, 2.0]), (3, None), (4, [-1.0, 0.0])], "id long, vec array<double>")
+    refs = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [2.0, 0.0]), ("c", [0.0, 1.0])], "ref string, vec array<double>")
+    for block in (50_000, 1):
+        assert {r.id: r.ref for r in normalize.nearest_canonical(vectors, refs, block=block).collect()} == {1: "a", 2: "c", 3: None, 4: None}
+    assert normalize.nearest_canonical(vectors, refs.limit(0)).count() == 0
+
+
+def test_upsert_writes_only_the_folders_of_its_keys(spark, tmp_path):
+    path = str(tmp_path / "table")
+    files = lambda: {f.relative_to(path) for f in (tmp_path / "table").rglob("*.parquet")}
+    rows = lambda: {(r.k, r.t, r.v) for r in T.read_folders(spark, path).collect()}
+    df = lambda x: spark.createDataFrame(x, "k string, t int, v string")
+    first = [(f"k{n}", 5, "old") for n in range(200)] + [(None, 5, "old")]
+    assert len(T.upsert_folders(df(first), path, ["k"], folders=16)) == 16 and rows() == set(first)
+    before = files()
+    touched = T.upsert_folders(df([("k3", 1, "new"), ("k3", 0, "newer by no order"), (None, 9, "null")]), path, ["k"], folders=16)
+    changed = files() ^ before
+    assert {int(f.parts[0].split("=")[1]) for f in changed} == set(touched) and len(touched) <= 2
+    assert rows() == (set(first) - {("k3", 5, "old"), (None, 5, "old")}) | {("k3", 1, "new"), (None, 9, "null")}
+    # with an order the table's later row stays, and running it again changes nothing
+    for _ in range(2):
+        T.upsert_folders(df([("k4", 4, "late"), ("k5", 6, "newer")]), path, ["k"], [F.col("t")], folders=16)
+        assert {("k4", 5, "old"), ("k5", 6, "newer")} <= rows() and len(rows()) == 201
+    before = files()
+    assert T.upsert_folders(df([]), path, ["k"], folders=16) == [] and files() == before
+
+
+def events_of(spark, tmp_path, name, rows):
+    """A file of events, one micro-batch."""
+    spark.createDataFrame(rows, "user_id long, ts timestamp, event_id long, event_type string").coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+
+
+def test_latest_rows_survive_restarts_and_write_only_what_changed(spark, tmp_path):
+    from datetime import datetime as at
+
+    path, day = str(tmp_path / "latest"), lambda n: at(2024, 1, n)
+
+    def run(late=None):
+        stream = streams.event_stream(spark, str(tmp_path / "in"), "user_id long, ts timestamp, event_id long, event_type string")
+        streams.stream_latest(stream, "user_id", "event_type", ["ts", "event_id"], path, str(tmp_path / "progress"), late, folders=8).awaitTermination()
+        return {r.user_id: r.event_type for r in T.read_folders(spark, path).collect()}
+
+    files = lambda: {f.relative_to(path) for f in (tmp_path / "latest").rglob("*.parquet")}
+    events_of(spark, tmp_path, "in", [(u, day(10), u, "seen") for u in range(40)])
+    assert set(run().values()) == {"seen"}
+    before = files()
+    assert len(run()) == 40 and files() == before  # a restart without new rows
+    # older rows and a late one change nothing; one key's newer row writes one folder
+    events_of(spark, tmp_path, "in", [(u, day(3), 1, "old") for u in range(40)] + [(7, day(11), 1, "new")])
+    assert run() == {**{u: "seen" for u in range(40)}, 7: "new"}
+    assert len({f.parts[0] for f in files() ^ before}) == 1
+
+
+def test_state_goes_with_time_and_the_table_keeps_its_rows(spark, tmp_path):
+    from datetime import datetime as at
+
+    path, day = str(tmp_path / "latest"), lambda n: at(2024, 1, n)
+    stream = lambda: streams.event_stream(spark, str(tmp_path / "in"), "user_id long, ts timestamp, event_id long, event_type string")
+
+    def run():
+        q = streams.stream_latest(stream(), "user_id", "event_type", ["ts", "event_id"], path, str(tmp_path / "progress"), "2 days", folders=4)
+        q.awaitTermination()
+        return {r.user_id: r.event_type for r in T.read_folders(spark, path).collect()}, q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    events_of(spark, tmp_path, "in", [(1, day(1), 1, "first"), (2, day(20), 2, "kept")])
+    run()
+    events_of(spark, tmp_path, "in", [(2, day(21), 3, "kept"), (1, day(2), 4, "too late")])
+    rows, held = run()
+    assert rows == {1: "first", 2: "kept"} and held == 1  # the key that was silent has no state, but its row
+    events_of(spark, tmp_path, "in", [(1, day(22), 5, "back")])
+    assert run()[0] == {1: "back", 2: "kept"}
+
+
+def test_counts_drop_rows_later_than_allowed_only(spark, tmp_path):
+    from datetime import datetime as at
+
+    def run(late, name):
+        stream = streams.event_stream(spark, str(tmp_path / "in"), "user_id long, ts timestamp, event_id long, event_type string")
+        streams.stream_counts(stream, str(tmp_path / name), str(tmp_path / f"{name}-progress"), late=late).awaitTermination()
+        return {(r.window_start.day, r.stage): r.n for r in T.read_folders(spark, str(tmp_path / name)).collect()}
+
+    def deal():
+        events_of(spark, tmp_path, "in", [(1, at(2024, 1, 1), 1, "a"), (1, at(2024, 1, 9), 2, "a")])
+
+    deal()
+    run("1 day", "dropping")
+    events_of(spark, tmp_path, "in", [(1, at(2024, 1, 1), 3, "a"), (1, at(2024, 1, 9), 4, "a")])
+    assert run("1 day", "dropping") == {(1, "a"): 1, (9, "a"): 2}
+    assert run(None, "whole") == {(1, "a"): 2, (9, "a"): 2}
+
+
+def test_runs_from_any_folder(tmp_path):
+    """Tasks get the library's functions by value: executors need no copy of it, wherever the process starts."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = str(Path(__file__).resolve().parents[1])
+    code = f"""
+import sys, importlib.util
+spec = importlib.util.spec_from_file_location("__spark_entry__", {repo!r} + "/__spark_entry__.py")
+entry = importlib.util.module_from_spec(spec); spec.loader.exec_module(entry)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
+assert entry.entry(spark).count() > 0
+assert entry.queries()["ivf_recall"](spark, {SF!r}).count() > 0
+print("done")
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300, env={k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"})
+    assert "done" in done.stdout, done.stderr[-3000:]
+
+
 def test_entry_without_a_dependency_of_the_corpus_operators(monkeypatch):
     import sys
 
