@@ -45,16 +45,19 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", leas
     words = F.split(F.coalesce(docs[text], F.lit("")), SPACES)
     run = f"{KEY}{{{least},}}"
     split = docs.select(docs[id_col].alias("_id"), words.alias("_words")).filter(F.exists("_words", lambda w: F.length(w) >= least))
-    follows = lambda i: F.coalesce(F.get("_words", i - 1), F.lit("")).rlike(ASSIGNED)
-    wanted = lambda w, i: (F.length(w) >= least) & (w.rlike("[0-9:=]") | follows(i)) & w.rlike(run)
-    at = F.filter(F.transform("_words", lambda w, i: F.when(wanted(w, i), i)), lambda i: i.isNotNull())
-    found = split.withColumn("_at", at).filter(F.size("_at") > 0).select("_id", "_words", F.explode("_at").alias("word_index"))
+    # a word meets the one before it side by side: looked up by place, the whole text would be split again for every word
+    wanted = lambda w, last: (F.length(w) >= least) & (w.rlike("[0-9:=]") | last.rlike(ASSIGNED)) & w.rlike(run)
+    flags = F.zip_with("_words", F.concat(F.array(F.lit("")), "_words"), wanted)
+    at = F.filter(F.transform(flags, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+    found = split.select("_id", "_words", F.explode(at).alias("word_index"))
     near = lambda k: F.coalesce(F.get("_words", F.col("word_index") + k), F.lit(""))
     rows = found.select(F.col("_id").alias(id_col), "word_index", near(0).alias("_word"), near(-1).alias("_1"), near(-2).alias("_2"), near(1).alias("after_1"))
     cut = rows.select(id_col, "word_index", "_1", "_2", "after_1", F.regexp_extract_all("_word", F.lit(f"({run})"), F.lit(1)).alias("_runs"), F.split("_word", run).alias("_parts"))
-    before = lambda i: F.concat(F.coalesce(F.get("_runs", i - 1), F.lit("")), F.get("_parts", i))
-    each = F.transform("_runs", lambda r, i: F.struct(i.alias("place"), r.alias("candidate"), F.right(before(i), F.lit(LEAD)).alias("lead"), F.left(F.get("_parts", i + 1), F.lit(TAIL)).alias("tail")))
-    runs = cut.select(id_col, "word_index", "_1", "_2", "after_1", F.explode(each).alias("_e")).select(id_col, "word_index", "_1", "_2", "after_1", "_e.*")
+    runs_ = F.zip_with("_runs", F.concat(F.array(F.lit("")), "_runs"), lambda r, last: F.struct(r.alias("r"), last.alias("last")))
+    sides = F.zip_with("_parts", F.slice("_parts", 2, F.size("_parts")), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    each = F.zip_with(runs_, sides, lambda x, y: F.struct(x["r"].alias("candidate"), F.right(F.concat(x["last"], y["p"]), F.lit(LEAD)).alias("lead"), F.left(y["q"], F.lit(TAIL)).alias("tail")))
+    kept = [id_col, "word_index", "_1", "_2", "after_1"]
+    runs = cut.select(*kept, F.posexplode(each).alias("place", "_e")).select(*kept, "place", "_e.*").filter("candidate is not null")
     # the slashes of an address follow no name
     name = F.when(F.col("candidate").startswith("//"), "").otherwise(F.regexp_extract("lead", NAME, 1))
     own = F.col("_name") != ""
