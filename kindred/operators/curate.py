@@ -163,6 +163,8 @@ def coverage_select(df: DataFrame, label: str, entity: str, id_col: str, target:
     until 0.85 of the target is reached; from there one that would lead beyond 1.15 of it is passed over and the next
     are tried; at 1.15 the fill ends.  Entities without a name are left out; an empty table gives no rows.
     """
+    df = df.filter(F.col(entity).isNotNull())
+
     def classes(name: str) -> DataFrame:
         votes = df.groupBy(entity, name).agg(F.count("*").alias("n"))
         return votes.withColumn("_k", F.row_number().over(Window.partitionBy(entity).orderBy(F.desc("n"), name))).filter("_k = 1").select(entity, F.col(name).alias("_class"))
@@ -176,7 +178,7 @@ def coverage_select(df: DataFrame, label: str, entity: str, id_col: str, target:
         covered = b.join(chosen, entity, "left_semi").select("_class").distinct()
         chosen = chosen.union(best(b.join(covered, "_class", "left_anti"), 1)).distinct()
     sizes = df.groupBy(entity).agg(F.count("*").alias("n")).join(chosen.withColumn("_chosen", F.lit(1)), entity, "left")
-    sizes = written(sizes.filter(F.col(entity).isNotNull()).withColumn("_d", hash_order(entity, seed)).withColumn("_e", F.col(entity).cast("string")), "sizes")
+    sizes = written(sizes.withColumn("_d", hash_order(entity, seed)).withColumn("_e", F.col(entity).cast("string")), "sizes")
     start = sizes.agg(F.coalesce(F.sum(F.when(F.col("_chosen").isNotNull(), F.col("n"))), F.lit(0)).alias("n")).first()["n"]
     taken = F.col("_chosen").isNotNull()
     for first, last, most in filled(sizes.filter("_chosen is null"), start, 0.85 * target, 1.15 * target):
