@@ -108,6 +108,17 @@ def cap_per_entity(df: DataFrame, entity: str, order: Sequence[Column | str], mo
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(entity).orderBy(*order))).filter(F.col("_k") <= most).drop("_k")
 
 
+def exact_name_first(found: DataFrame, asked: str, name: str, order: Sequence[str]) -> DataFrame:
+    """One row of ``found`` for each ``asked`` name: the first in order that bears it, without regard to case, else the first.
+
+    ``exact`` tells which.  An aggregate, so that a name with many finds is reduced before the shuffle.
+    """
+    exact = F.coalesce(F.lower(name) == F.lower(asked), F.lit(False))
+    whole = F.struct(*[c for c in found.columns if c != asked], exact.alias("exact"))
+    best = found.groupBy(asked).agg(F.min_by(whole, F.struct(~exact, *order)).alias("_best"))
+    return best.select(asked, "_best.*")
+
+
 def class_counts(df: DataFrame, label: str, entity: str) -> DataFrame:
     """Rows and distinct entities of each class."""
     return df.groupBy(label).agg(F.count("*").alias("n_rows"), F.countDistinct(entity).alias("n_entities"))

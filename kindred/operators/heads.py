@@ -169,6 +169,19 @@ def consensus(df: DataFrame, entity: str, predicted: str) -> DataFrame:
     return votes.withColumn("n", F.sum("votes").over(by)).withColumn("_k", F.row_number().over(by.orderBy(F.desc("votes"), "value"))).filter("_k = 1").drop("_k")
 
 
+def consensus_against(df: DataFrame, entity: str, predicted: str, truths: DataFrame, truth: str) -> DataFrame:
+    """:func:`consensus` of each entity whose truth is known, with ``truth`` and ``correct``; ``truths`` has a row per entity."""
+    known = truths.filter(F.col(truth).isNotNull()).select(entity, F.col(truth).alias("truth"))
+    return consensus(df, entity, predicted).join(known, entity).withColumn("correct", F.col("value") == F.col("truth"))
+
+
+def consensus_accuracy(df: DataFrame, entity: str, predicted: str, truths: DataFrame, truth: str) -> DataFrame:
+    """``total, correct, accuracy`` of consensuses against truth in one row; accuracy 0 without any."""
+    right = F.count(F.when(F.col("correct"), 1))
+    held = consensus_against(df, entity, predicted, truths, truth).agg(F.count("*").alias("total"), right.alias("correct"))
+    return held.withColumn("accuracy", F.when(F.col("total") > 0, F.col("correct") / F.col("total")).otherwise(0.0))
+
+
 def level_counts(df: DataFrame, level: str, levels: Sequence[str]) -> DataFrame:
     """Rows of each level, zeros included."""
     every = df.sparkSession.createDataFrame([(x,) for x in levels], "level string")

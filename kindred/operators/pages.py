@@ -12,7 +12,7 @@ PARAGRAPH = r"(?is)<p(?:\s[^>]*)?>(.*?)(?:</p>|$)"
 LINK = r"(?is)(<a\b[^>]*\bhref=\"[^\"]*\"[^>]*>.*?</a>)"
 TAG = r"(?s)<[^>]*>"
 IMAGE = r"(?is)(<img\b[^>]*>)"
-DECORATION = ("icon", "logo", "sprite", "avatar", "banner", "button", "spacer", "pixel")
+DECORATION = ("logo", "icon", "banner", "button", "arrow", "nav", "sprite", "avatar", "badge", "flag", "pixel", "spacer", "tracker", "ad[-_]", "advert", "widget")
 
 
 def page_text(html: Column) -> Column:
@@ -24,18 +24,45 @@ def page_text(html: Column) -> Column:
     return F.nullif(F.array_join(F.filter(texts, lambda t: t != ""), "\n\n"), F.lit(""))
 
 
+def without_dots(path: Column) -> Column:
+    """A path from the root with its steps ``.`` and ``..`` taken; ``..`` at the root stays there."""
+    steps = F.split(F.substring(path, 2, 1_000_000), "/")
+    ends_in_folder = F.element_at(steps, -1).isin(".", "..")
+    back = lambda acc: F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+    walked = F.aggregate(steps, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", back(acc)).when(x == ".", acc).otherwise(F.array_append(acc, x)))
+    return F.concat(F.lit("/"), F.array_join(walked, "/"), F.when(ends_in_folder & (F.size(walked) > 0), "/").otherwise(""))
+
+
+def absolute(base: Column, reference: Column) -> Column:
+    """The address that a reference on the page ``base`` means: whole ones as they are, else by host, root or folder."""
+    origin, scheme = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1), F.regexp_extract(base, r"^(https?:)", 1)
+    page, query = F.regexp_extract(base, r"^https?://[^/?#]+([^?#]*)", 1), F.regexp_extract(base, r"^([^#]*)", 1)
+    path, rest = F.regexp_extract(reference, r"^([^?#]*)", 1), F.regexp_extract(reference, r"^[^?#]*(.*)$", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(page, r"^/(.*/)?", 1))
+    return (
+        F.when(F.rlike(reference, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), reference)
+        .when(F.startswith(reference, F.lit("//")), F.concat(scheme, reference))
+        .when(F.startswith(reference, F.lit("/")), F.concat(origin, without_dots(path), rest))
+        .when(F.startswith(reference, F.lit("?")), F.concat(origin, page, reference))
+        .when(F.startswith(reference, F.lit("#")), F.concat(query, reference))
+        .otherwise(F.concat(origin, without_dots(F.concat(folder, path)), rest))
+    )
+
+
 def page_images(pages: DataFrame, key: str, html: str, url: str, most: int = 3) -> DataFrame:
-    """``key, place, image``: content images as absolute addresses, each once, the first ``most`` of a page."""
+    """``key, place, image``: content images as absolute addresses, each once, the first ``most`` of a page.
+
+    No content: inline data, drawings (``.svg``), images said to be under 80 wide or high, and those with a mark of
+    decoration anywhere in their absolute address, without regard to case.
+    """
     tags = pages.select(key, F.col(url).alias("_url"), F.posexplode(F.regexp_extract_all(F.col(html), F.lit(IMAGE), F.lit(1))).alias("_k", "_tag"))
-    attribute = lambda n: F.regexp_extract("_tag", rf"(?i)\b{n}\s*=\s*[\"']([^\"']*)", 1)
-    source = F.coalesce(F.nullif(F.regexp_extract("_tag", r"(?i)\ssrc\s*=\s*[\"']([^\"']*)", 1), F.lit("")), F.nullif(attribute("data-src"), F.lit("")))
+    known = lambda pattern: F.nullif(F.regexp_extract("_tag", pattern, 1), F.lit(""))
+    attribute = lambda n: F.coalesce(known(rf"(?i)\s{n}\s*=\s*[\"']([^\"']*)"), known(rf"(?i)\s{n}\s*=\s*([^\"'\s>]+)"))
+    source = F.coalesce(attribute("src"), attribute("data-src"))
     small = F.coalesce(attribute("width").try_cast("int") < 80, F.lit(False)) | F.coalesce(attribute("height").try_cast("int") < 80, F.lit(False))
-    kept = tags.withColumn("_src", source).filter(F.col("_src").isNotNull() & ~small)
-    kept = kept.filter(~F.lower("_src").rlike(r"^data:|\.svg(\?|$)|" + "|".join(DECORATION)))
-    origin, scheme = F.regexp_extract("_url", r"^(https?://[^/]+)", 1), F.regexp_extract("_url", r"^(https?:)", 1)
-    folder = F.regexp_extract("_url", r"^(https?://[^?#]*/)", 1)
-    address = F.when(F.col("_src").rlike("^https?://"), F.col("_src")).when(F.startswith("_src", F.lit("//")), F.concat(scheme, "_src")).when(F.startswith("_src", F.lit("/")), F.concat(origin, "_src")).otherwise(F.concat(F.when(folder != "", folder).otherwise(F.concat(origin, F.lit("/"))), "_src"))
-    once = kept.groupBy(key, address.alias("image")).agg(F.min("_k").alias("_k"))
+    kept = tags.withColumn("_src", source).filter(F.col("_src").isNotNull() & ~small & ~F.lower("_src").rlike(r"^data:|\.svg$"))
+    found = kept.withColumn("image", absolute(F.col("_url"), F.col("_src"))).filter(~F.lower("image").rlike("|".join(DECORATION)))
+    once = found.groupBy(key, "image").agg(F.min("_k").alias("_k"))
     return once.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("_k"))).filter(F.col("place") <= most).select(key, "place", "image")
 
 

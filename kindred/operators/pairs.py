@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
+from ..functions.scalars import range_to_category
 from ..sources.shared import written
 
 
@@ -91,6 +92,11 @@ def pair_features(spec: PairSpec, a: str = "a_", b: str = "b_", listed: bool = F
     return {f"vocab_{k}": v for k, v in field_scores(spec, a, b, listed).items()} | {f"num_{k}": v for k, v in numeric_scores(spec, a, b).items()} | gates
 
 
+def with_categories(entities: DataFrame, spans: dict[str, tuple[str, str, list]]) -> DataFrame:
+    """``entities`` with a category for each span of two measurements (least, largest, bins), to be compared as a range."""
+    return entities.withColumns({k: range_to_category(F.col(low), F.col(high), bins) for k, (low, high, bins) in spans.items()})
+
+
 def sides(pairs: DataFrame, entities: DataFrame, id_col: str, a: str = "query_id", b: str = "cand_id") -> DataFrame:
     """``pairs`` with every column of both entities, as ``a_...`` and ``b_...``."""
     left = entities.select(*[F.col(c).alias(f"a_{c}") for c in entities.columns])

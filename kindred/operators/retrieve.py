@@ -61,13 +61,14 @@ def scored(hits: DataFrame, entities: DataFrame | None, s: Search, spec: PairSpe
     wide = wide.withColumn("numeric", F.lit(0.0)).withColumn("jaccard", F.lit(0.0))
     if entities is not None:
         wide = sides(wide, entities, id_col)
+        # the signature rules over the whole pool, before the gates: a query without a fit keeps its pool
+        if s.signature:
+            wide = signature_prefilter(wide, f"a_{s.signature}", f"b_{s.signature}")
         for gate in s.gates:
             wide = wide.filter(gate_equal(F.col(f"a_{gate}"), F.col(f"b_{gate}")))
         if s.dangerous:
             column, safe, dangerous = s.dangerous
             wide = wide.filter(gate_opposite(F.col(f"a_{column}"), F.col(f"b_{column}"), safe, dangerous))
-        if s.signature:
-            wide = signature_prefilter(wide, f"a_{s.signature}", f"b_{s.signature}")
         if spec:
             wide = with_list_scores(wide, spec).withColumn("numeric", numeric_similarity(spec)).withColumn("jaccard", soft_jaccard(spec, listed=True))
     given = {
@@ -140,6 +141,20 @@ def enrich(candidates_: DataFrame, images: DataFrame, key: str, sources: DataFra
     return candidates_.join(refs, key, "left").withColumn("images", F.coalesce("images", F.array().cast("array<struct<url:string,source:string>>")))
 
 
+def entity_summary(entities: DataFrame, name: str, status: str) -> DataFrame:
+    """``name, status, n`` of all entities, in order; entities that share both are counted."""
+    return entities.groupBy(F.col(name).alias("name"), F.col(status).alias("status")).agg(F.count("*").alias("n")).orderBy("name", "status")
+
+
+def entity_profile(names: DataFrame, entities: DataFrame, name: str, key: str, fields: list[str], sources: DataFrame) -> DataFrame:
+    """A row per asked ``name``, without regard to case: the entity's id, its own spelling as ``known_as``, its fields, the
+    sorted source links (``sources(key, name, url)``, none: empty) and how many; an unknown name has an error and nulls."""
+    found = lookup_entity(names, entities, name, key)
+    profile = entities.select(F.col(key).alias("entity_id"), F.col(name).alias("known_as"), *fields)
+    linked = with_links(profile, sources.withColumnRenamed(key, "entity_id"), "entity_id").withColumn("source_count", F.size("sources"))
+    return found.join(linked, "entity_id", "left")
+
+
 def page(df: DataFrame, order: list[str], limit: int, offset: int = 0) -> DataFrame:
     """One page of a listing in a stable order."""
     return df.orderBy(*order).offset(offset).limit(limit)

@@ -63,6 +63,37 @@ def entities(spark: SparkSession, d: str) -> DataFrame:
 SPEC = PairSpec(scalars={"form": TYPE_MATRIX}, lists={"words": COLOR_MATRIX}, ranges={"size_class": SIZE_ORDER}, singles={"price": 200.0, "size": 20.0}, gates=("form", "size_class"))
 
 
+#: Measurements of a part's lines, and ranges over them: least, largest, bins.
+SPANNED = {"quantity": "l_quantity", "discount": "l_discount", "tax": "l_tax", "worth": "l_extendedprice"}
+SPANS = {
+    "quantity": ("quantity_min", "quantity_max", [("few", 20.0), ("some", 26.0), ("many", None)]),
+    "discount": ("discount_min", "discount_max", [("low", 0.04), ("mid", 0.055), ("high", None)]),
+    "tax": ("tax_min", "tax_max", [("low", 0.03), ("mid", 0.045), ("high", None)]),
+    "worth": ("worth_min", "worth_max", [("low", 20000.0), ("mid", 30000.0), ("high", None)]),
+}
+PROFILE_SPEC = PairSpec(
+    scalars={"form": TYPE_MATRIX, "color": COLOR_MATRIX, "thing": {}, "category": {}},
+    lists={"words": COLOR_MATRIX, "flags": {"A-R": 0.6, "N-R": 0.2}, "statuses": {}},
+    flags=("bulky", "dear", "undiscounted"),
+    ranges={"size_class": SIZE_ORDER} | {k: [n for n, _ in bins] for k, (_, _, bins) in SPANS.items()},
+    singles={"price": 200.0, "size": 20.0, "n_lines": 30.0, "quantity_max": 10.0, "discount_max": 0.05, "tax_max": 0.04},
+    sets=("months", "years", "suppliers"),
+    gates=("form", "size_class", "category"),
+)
+
+
+def part_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Entities with what their lines say: ranges, flags, and the sets of flags, statuses, months, years and suppliers."""
+    from ..operators.pairs import with_categories
+
+    sets = {"flags": F.col("l_returnflag"), "statuses": F.col("l_linestatus"), "months": F.month("l_shipdate"), "years": F.year("l_shipdate"), "suppliers": F.col("l_suppkey")}
+    ends = [x for n, c in SPANNED.items() for x in (F.min(c).alias(f"{n}_min"), F.max(c).alias(f"{n}_max"))]
+    lines = t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("entity_id")).agg(*ends, F.count("*").alias("n_lines"), *[F.sort_array(F.collect_set(c)).alias(k) for k, c in sets.items()])
+    e = with_categories(entities(spark, d).join(lines, "entity_id", "left"), SPANS)
+    word = lambda k: F.element_at("words", k)
+    return e.withColumns({"color": word(1), "thing": word(2), "bulky": F.col("quantity_max") >= 50, "dear": F.col("price") >= 1000, "undiscounted": F.col("discount_min") == 0})
+
+
 def item_annotations(spark: SparkSession, d: str) -> DataFrame:
     """Labels as annotations: ``id, feature_name, annotation_type, feature_value, confidence``."""
     from ..operators.curate import unpivoted

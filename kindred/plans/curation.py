@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -169,6 +170,20 @@ def cap_per_entity(spark, d):
     return curate.cap_per_entity(allowed, "source", [F.desc("n_chars"), "doc_id"]).select("doc_id", "source")
 
 
+@query("""WITH f AS (SELECT p_brand || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '!' END AS k, p_partkey, p_name, upper(max(p_name) OVER (PARTITION BY p_brand)) AS asked FROM part)
+SELECT k || ':' || asked AS asked, arg_min(p_partkey, CASE WHEN k NOT LIKE '%!' AND lower(p_name) = lower(asked) THEN 0 ELSE 1000000000 END + p_partkey) AS p_partkey,
+bool_or(k NOT LIKE '%!' AND lower(p_name) = lower(asked)) AS exact FROM f GROUP BY 1""")
+def exact_name_first(spark, d):
+    """Of the parts found for a brand's last name the one that bears it, else the first; names asked with ``!`` fit none."""
+    p = t(spark, d, "part")
+    last = p.groupBy("p_brand").agg(F.upper(F.max("p_name")).alias("last"))
+    odd = F.when(F.col("p_partkey") % 2 == 0, "").otherwise("!")
+    key = F.concat("p_brand", odd, F.lit(":"))
+    found = p.join(last, "p_brand").select(F.concat(key, "last").alias("asked"), F.concat(key, "p_name").alias("name"), "p_partkey", odd.alias("odd"))
+    found = found.withColumn("name", F.when(F.col("odd") == "", F.col("name")))
+    return curate.exact_name_first(found, "asked", "name", ["p_partkey"]).select("asked", "p_partkey", "exact")
+
+
 @query("SELECT doc_id, n_chars % 97 AS c FROM documents WHERE n_chars % 97 IN (SELECT n_chars % 97 FROM documents GROUP BY 1 HAVING count(DISTINCT source) >= 8)")
 def drop_rare_classes(spark, d):
     return curate.drop_rare_classes(t(spark, d, "documents").withColumn("c", F.col("n_chars") % 97), "c", "source", 8).select("doc_id", "c")
@@ -374,6 +389,30 @@ def consensus(spark, d):
     return heads.consensus(x, "source", "q")
 
 
+SOURCE_TRUTH = "tr AS (SELECT DISTINCT source, CASE ascii(right(source, 1)) % 3 WHEN 0 THEN '1' WHEN 1 THEN '0' END AS truth FROM documents)"
+VOTES = "v AS (SELECT source, quality::VARCHAR AS value, count(*) AS votes FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY 1, 2), c AS (SELECT *, (sum(votes) OVER (PARTITION BY source))::BIGINT AS n FROM v QUALIFY row_number() OVER (PARTITION BY source ORDER BY votes DESC, value) = 1)"
+
+
+def voted(spark, d):
+    """Labels of each source as votes, and a truth for two thirds of the sources."""
+    docs = t(spark, d, "documents")
+    last = F.ascii(F.right("source", F.lit(1))) % 3
+    truths = docs.select("source", F.when(last == 0, "1").when(last == 1, "0").alias("truth")).distinct()
+    return docs.join(t(spark, d, "labels"), "doc_id").withColumn("q", F.col("quality").cast("string")), truths
+
+
+@query(f"WITH {VOTES}, {SOURCE_TRUTH} SELECT source, value, votes, n, truth, value = truth AS correct FROM c JOIN tr USING (source) WHERE truth IS NOT NULL")
+def consensus_against(spark, d):
+    votes, truths = voted(spark, d)
+    return heads.consensus_against(votes, "source", "q", truths, "truth")
+
+
+@query(f"WITH {VOTES}, {SOURCE_TRUTH} SELECT count(*) AS total, count(*) FILTER (value = truth) AS correct, round(coalesce(count(*) FILTER (value = truth) / nullif(count(*), 0), 0), 6) AS accuracy FROM c JOIN tr USING (source) WHERE truth IS NOT NULL")
+def consensus_accuracy(spark, d):
+    votes, truths = voted(spark, d)
+    return six(heads.consensus_accuracy(votes, "source", "q", truths, "truth"))
+
+
 @query(f"WITH {SHARP}, {TOP2} SELECT l AS level, (SELECT count(*) FROM tq WHERE status = l) AS n FROM (SELECT unnest(['confident', 'uncertain', 'not_determinable', 'never']) AS l)")
 def confidence_breakdown(spark, d):
     return heads.level_counts(judged(spark, d), "status", ["confident", "uncertain", "not_determinable", "never"])
@@ -424,16 +463,19 @@ LINK_START = r'<a\b[^>]*\bhref="([^"]*)"[^>]*>'
 
 
 @query(rf"""WITH a AS (SELECT page_id, url, generate_subscripts(h, 1) AS k, unnest(h) AS src FROM (SELECT page_id, url, regexp_extract_all(html, '(?is){LINK_START}', 1) AS h FROM pages)),
-b AS (SELECT page_id, url, k, regexp_extract(src, '^[^'']*') AS src FROM a WHERE NOT regexp_matches(src, '(?i)[aeiou]$')),
-c AS (SELECT page_id, k, src, regexp_extract(url, '^(https?://[^/]+)', 1) AS origin, regexp_extract(url, '^(https?:)', 1) AS scheme, regexp_extract(url, '^(https?://[^?#]*/)', 1) AS folder FROM b
-    WHERE src <> '' AND NOT regexp_matches(lower(src), '^data:|\.svg(\?|$)|icon|logo|sprite|avatar|banner|button|spacer|pixel')),
-e AS (SELECT page_id, min(k) AS k, CASE WHEN regexp_matches(src, '^https?://') THEN src WHEN src LIKE '//%' THEN scheme || src WHEN src LIKE '/%' THEN origin || src WHEN folder <> '' THEN folder || src ELSE origin || '/' || src END AS image FROM c GROUP BY ALL)
-SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY min(k)) AS place, image FROM e GROUP BY page_id, image QUALIFY place <= 3""")
+b AS (SELECT page_id, url, k, regexp_replace(regexp_extract(src, '^[^'']*'), '^/([t-z])', '../\1') AS src FROM a WHERE NOT regexp_matches(src, '(?i)[aeiou]$')),
+c AS (SELECT page_id, k, src, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, regexp_extract(url, '^(https?:)', 1) AS scheme, regexp_extract(url, '^(https?://[^?#]*/)', 1) AS folder FROM b
+    WHERE src <> '' AND NOT regexp_matches(lower(src), '^data:|\.svg$')),
+e AS (SELECT page_id, min(k) AS k, CASE WHEN regexp_matches(src, '^https?://') THEN src WHEN src LIKE '//%' THEN scheme || src WHEN src LIKE '/%' THEN origin || src
+    WHEN src LIKE '../%' THEN regexp_replace(folder, '([^/:])/[^/]+/$', '\1/') || substr(src, 4) WHEN folder <> '' THEN folder || src ELSE origin || '/' || src END AS image FROM c GROUP BY ALL)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY min(k)) AS place, image FROM e
+WHERE NOT regexp_matches(lower(image), '{'|'.join(pages.DECORATION)}') GROUP BY page_id, image QUALIFY place <= 3""")
 def page_images(spark, d):
     """The test pages hold no images, so each link becomes one of its address: a small one where that ends in a vowel,
-    else one that loads late."""
+    else one that loads late, from the folder above where its name begins with t to z."""
     small = F.regexp_replace("html", r'(?is)<a\b[^>]*\bhref="([^"]*[aeiou])"[^>]*>', '<img width="64" src="$1">')
-    p = t(spark, d, "pages").withColumn("html", F.regexp_replace(small, f"(?is){LINK_START}", '<img height="300" data-src="$1">'))
+    late = F.regexp_replace(small, f"(?is){LINK_START}", '<img height="300" data-src="$1">')
+    p = t(spark, d, "pages").withColumn("html", F.regexp_replace(late, 'data-src="/([t-z])', 'data-src="../$1'))
     return pages.page_images(p, "page_id", "html", "url")
 
 
@@ -446,6 +488,21 @@ def link_index(spark, d):
     return pages.link_index(pages.links(t(spark, d, "pages"), "page_id", "html"), ["page_id", "place"])
 
 
+@query(f"WITH {LINKS} SELECT lower(text) AS name, arg_min(href, page_id * 100000 + place) AS href FROM k WHERE text <> '' GROUP BY 1")
+def link_index_first(spark, d):
+    """The first address of each link text."""
+    return pages.link_index(pages.links(t(spark, d, "pages"), "page_id", "html"), ["page_id", "place"], last=False)
+
+
+@query(f"""WITH {LINKS}, w AS (SELECT page_id, place, href, text || ' ' || lower(lead(text) OVER (PARTITION BY page_id ORDER BY place)) AS text FROM k WHERE text <> '')
+SELECT lower(regexp_extract(text, '^([A-Z][a-z]+ [a-z]+)', 1)) AS name, arg_min(href, page_id * 100000 + place) AS href FROM w WHERE regexp_matches(text, '^[A-Z][a-z]+ [a-z]+') GROUP BY 1""")
+def link_index_binomial(spark, d):
+    """Two-word names only, each with its first address; the test pages' links are single words, so each is read with the next."""
+    found = pages.links(t(spark, d, "pages"), "page_id", "html")
+    after = F.lower(F.lead("text").over(Window.partitionBy("page_id").orderBy("place")))
+    return pages.link_index(found.withColumn("text", F.concat("text", F.lit(" "), after)), ["page_id", "place"], last=False, binomial=True)
+
+
 @query(f"""WITH {LINKS}, i AS (SELECT lower(text) AS name, arg_max(href, page_id * 100000 + place) AS href FROM k WHERE text <> '' GROUP BY 1),
 n AS (SELECT doc_id AS id, g AS place, string_split(text, ' ')[g + 1] AS name FROM documents, range(3) r(g)) SELECT id, arg_min(href, place) AS href FROM n JOIN i ON lower(n.name) = i.name GROUP BY 1""")
 def resolve_with_aliases(spark, d):

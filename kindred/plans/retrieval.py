@@ -8,7 +8,7 @@ from ..functions import similarity as S
 from ..operators import evaluate as E
 from ..operators import fusion, gates, index, pairs, ranker, retrieve
 from ..operators import vectors as V
-from .bindings import COLOR_MATRIX, GROUPS, SIZE_ORDER, SPEC, TYPE_MATRIX, asked, entities, entity_vectors, known_pairs, t
+from .bindings import COLOR_MATRIX, GROUPS, PROFILE_SPEC, SIZE_ORDER, SPANNED, SPANS, SPEC, TYPE_MATRIX, asked, entities, entity_vectors, known_pairs, part_profiles, t
 from .registry import query
 from .tables import KNOWN, SIZE_CASE
 
@@ -238,6 +238,39 @@ def pair_features(spark, d):
     return x.select("query_id", "cand_id", *[F.round(c, 6).alias(k) for k, c in pairs.pair_features(SPEC, listed=True).items()])
 
 
+CATEGORY = lambda low, high, bins: f"CASE WHEN {low} IS NULL THEN NULL " + " ".join(f"WHEN ({low} + {high}) / 2 <= {b}::DOUBLE THEN '{n}'" for n, b in bins[:-1]) + f" ELSE '{bins[-1][0]}' END"
+SPANS_SQL = ", ".join(f"{CATEGORY(low, high, bins)} AS {k}" for k, (low, high, bins) in SPANS.items())
+PROFILES = f"""{ENT}, li AS (SELECT l_partkey, {', '.join(f'min({c}) AS {n}_min, max({c}) AS {n}_max' for n, c in SPANNED.items())}, count(*) AS n_lines, list(DISTINCT l_returnflag) AS flags, list(DISTINCT l_linestatus) AS statuses,
+  list(DISTINCT month(l_shipdate)) AS months, list(DISTINCT year(l_shipdate)) AS years, list(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1),
+pf AS (SELECT ent.*, words[1] AS color, words[2] AS thing, {SPANS_SQL}, n_lines, quantity_max, discount_max, tax_max, quantity_max >= 50 AS bulky, price >= 1000 AS dear, discount_min = 0 AS undiscounted,
+  flags, statuses, months, years, suppliers FROM ent LEFT JOIN li ON l_partkey = id)"""
+FLAG_SIM = "CASE WHEN {a} = {b} THEN 1.0 WHEN {a} || '-' || {b} IN ('A-R', 'R-A') THEN 0.6 WHEN {a} || '-' || {b} IN ('N-R', 'R-N') THEN 0.2 ELSE 0.0 END"
+SAME = lambda f: f"CASE WHEN a.{f} IS NULL OR b.{f} IS NULL THEN NULL WHEN a.{f} = b.{f} THEN 1.0 ELSE 0.0 END"
+BEST = lambda f, sim, x, y: f"list_avg(list_transform({x}.{f}, lambda i: list_max(list_transform({y}.{f}, lambda j: ({sim.format(a='i', b='j')})::DOUBLE))))"
+LISTED = lambda f, sim: f"CASE WHEN a.{f} IS NULL OR b.{f} IS NULL THEN NULL ELSE ({BEST(f, sim, 'a', 'b')} + {BEST(f, sim, 'b', 'a')}) / 2 END"
+ORDINAL_SIM = lambda f, bins: f"CASE abs(list_position({[n for n, _ in bins]}, a.{f}) - list_position({[n for n, _ in bins]}, b.{f})) WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 WHEN NULL THEN NULL ELSE CASE WHEN a.{f} IS NOT NULL AND b.{f} IS NOT NULL THEN 0.0 END END"
+NEAR = lambda f, tol: f"CASE WHEN a.{f} IS NOT NULL AND b.{f} IS NOT NULL THEN greatest(0, 1 - abs(a.{f} - b.{f}) / {tol}::DOUBLE) END"
+OVERLAP = lambda f: f"len(list_intersect(a.{f}, b.{f})) / len(list_distinct(list_concat(a.{f}, b.{f})))::DOUBLE"
+PROFILE_SQL = (
+    {"vocab_form": TYPE_SIM.format(a="a.form", b="b.form"), "vocab_color": WORD_SIM.format(a="a.color", b="b.color"), "vocab_thing": SAME("thing"), "vocab_category": SAME("category")}
+    | {f"vocab_{f}": SAME(f) for f in PROFILE_SPEC.flags}
+    | {"vocab_words": WORDS_SIM, "vocab_flags": LISTED("flags", FLAG_SIM), "vocab_statuses": LISTED("statuses", "CASE WHEN {a} = {b} THEN 1.0 ELSE 0.0 END")}
+    | {"num_size_class": SIZE_SIM} | {f"num_{k}": ORDINAL_SIM(k, bins) for k, (_, _, bins) in SPANS.items()}
+    | {f"num_{f}": NEAR(f, tol) for f, tol in PROFILE_SPEC.singles.items()}
+    | {f"num_{f}": f"CASE WHEN len(a.{f}) > 0 AND len(b.{f}) > 0 THEN {OVERLAP(f)} END" for f in PROFILE_SPEC.sets}
+    | {f"gate_{f}": SAME(f) for f in PROFILE_SPEC.gates}
+)
+
+
+@query(f"WITH {PROFILES}, {PART_PAIRS} SELECT query_id, cand_id, {', '.join(f'round(({x})::DOUBLE, 6) AS {k}' for k, x in PROFILE_SQL.items())} {BOTH.replace('ent ', 'pf ')}")
+def pair_features_profile(spark, d):
+    """All features of whole profiles: vocabularies, flags, lists, ranges from two measurements, numbers, sets and gates."""
+    e = part_profiles(spark, d)
+    met = pairs.sides(pairs.pair_matrix(e.select("entity_id", "category"), "entity_id", "category").filter("query_id % 20 = 0"), e, "entity_id")
+    x = pairs.with_list_scores(met, PROFILE_SPEC)
+    return x.select("query_id", "cand_id", *[F.round(c, 6).alias(k) for k, c in pairs.pair_features(PROFILE_SPEC, listed=True).items()])
+
+
 @query(f"WITH {ENT} SELECT a.id AS query_id, count(*) AS n, sum(b.id)::BIGINT AS ids FROM ent a JOIN ent b ON a.category = b.category AND a.id <> b.id GROUP BY 1")
 def pair_matrix(spark, d):
     m = pairs.pair_matrix(entities(spark, d).select("entity_id", "category"), "entity_id", "category")
@@ -338,6 +371,30 @@ def lookalikes_blended(spark, d):
     return retrieve.lookalikes(asked(v), v, full_search(), entities(spark, d), SPEC).select("query_id", "cand_id", "score", "rank")
 
 
+GATED = f"""WITH {HITS.replace('rank <= 60', 'rank <= 120')}, {IN_LABEL.replace('rank <= 30', 'rank <= 120')}, enough AS (SELECT query_id FROM inl GROUP BY 1 HAVING count(DISTINCT cand_id) >= 120),
+picked AS (SELECT * FROM inl WHERE query_id IN (FROM enough) UNION ALL SELECT * FROM hits WHERE query_id NOT IN (FROM enough)),
+wide AS (SELECT query_id, cand_id, {', '.join(f"coalesce(max(sim) FILTER (grp = '{g}'), 0) AS {g}" for g in GROUPS)} FROM picked GROUP BY 1, 2 HAVING bool_or(grp IN ('g0', 'g1'))), {ENT},
+x AS (SELECT query_id, cand_id, g0, g1, g2, g3, {NUMERIC} AS numeric, {JACCARD} AS jaccard, {SIG} AS sig, a.size_class = b.size_class AS same,
+  CASE WHEN a.form IN ('ECONOMY', 'STANDARD') THEN 's' WHEN a.form = 'PROMO' THEN 'd' END AS qs, CASE WHEN b.form IN ('ECONOMY', 'STANDARD') THEN 's' WHEN b.form = 'PROMO' THEN 'd' END AS cs,
+  CASE WHEN contains(lower(b.category) || ' and around', lower(a.category)) THEN 0.02::DOUBLE ELSE 0 END + CASE WHEN list_contains(b.words, a.words[1]) THEN 0.02::DOUBLE ELSE 0 END AS boost
+  FROM wide JOIN ent a ON a.id = query_id JOIN ent b ON b.id = cand_id),
+fit AS (SELECT * FROM x QUALIFY sig >= 0.6 OR max(sig) OVER (PARTITION BY query_id) < 0.6),
+scored AS (SELECT query_id, cand_id, {four(f'least(1.0::DOUBLE, 0.5::DOUBLE * ({WEIGHTED}) + 0.5::DOUBLE * jaccard + boost)')} AS score FROM fit WHERE same AND (qs IS NULL OR cs IS NULL OR qs <> cs)) {TOP}"""
+
+
+@query(GATED)
+def lookalikes_gated(spark, d):
+    """Every setting of a search at once: category with its fallback, priority groups, signature, gates, opposite safety,
+    blended score and context."""
+    s = retrieve.Search(
+        groups=GROUPS, overrides=OVERRIDES, alpha=0.5, category="label", priority=("g0", "g1"), signature="sig", gates=("size_class",),
+        dangerous=("form", ("economy", "standard"), ("promo",)), context=("category", "around", "first_word", "words"),
+    )
+    e = entities(spark, d).withColumns({"around": F.array(F.concat(F.lower("category"), F.lit(" and around"))), "first_word": F.element_at("words", 1)})
+    v = entity_vectors(spark, d)
+    return retrieve.lookalikes(asked(v), v, s, e, SPEC).select("query_id", "cand_id", "score", "rank")
+
+
 PROFILE = "prof AS (SELECT id AS entity_id, 'name' AS field, name AS value FROM ent UNION ALL SELECT id, 'form', CASE WHEN size > 10 THEN form END FROM ent)"
 
 
@@ -370,7 +427,21 @@ def enrich_sources(spark, d):
 
 @query("SELECT p_name, p_type AS status, count(*) AS n FROM part GROUP BY 1, 2")
 def entity_summary(spark, d):
-    return t(spark, d, "part").groupBy("p_name", F.col("p_type").alias("status")).agg(F.count("*").alias("n")).orderBy("p_name", "status")
+    return retrieve.entity_summary(t(spark, d, "part"), "p_name", "p_type").withColumnRenamed("name", "p_name")
+
+
+@query("""WITH n AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'nobody ' || s_suppkey ELSE upper(s_name) END AS name FROM supplier),
+src AS (SELECT l_suppkey AS k, list(x ORDER BY x) AS sources FROM (SELECT DISTINCT l_suppkey, l_linestatus || '>' || l_returnflag AS x FROM lineitem) GROUP BY 1)
+SELECT n.name, s_suppkey AS entity_id, CASE WHEN s_suppkey IS NULL THEN 'unknown: ' || n.name END AS error, s_name AS known_as, s_nationkey, s_acctbal,
+CASE WHEN s_suppkey IS NOT NULL THEN coalesce(sources, []) END AS sources, CASE WHEN s_suppkey IS NOT NULL THEN coalesce(len(sources), 0)::INT END AS source_count
+FROM n LEFT JOIN supplier ON lower(s_name) = lower(n.name) LEFT JOIN src ON k = s_suppkey""")
+def entity_profile_sources(spark, d):
+    """Profiles by name with all source links: every supplier's name in capitals, a third of them unknown."""
+    s = t(spark, d, "supplier")
+    names = s.select(F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("nobody "), "s_suppkey")).otherwise(F.upper("s_name")).alias("name"))
+    links = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_linestatus").alias("name"), F.col("l_returnflag").alias("url"))
+    out = retrieve.entity_profile(names, s, "s_name", "s_suppkey", ["s_nationkey", "s_acctbal"], links)
+    return out.withColumn("sources", F.transform("sources", lambda x: F.concat(x["name"], F.lit(">"), x["url"])))
 
 
 @query("SELECT p_partkey, p_name, p_type, count(DISTINCT l_suppkey) AS n_sources, min(l_suppkey) AS first_source FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2, 3")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kindred import plans
 from kindred.functions import scalars as S
 from kindred.functions import similarity as X
-from kindred.operators import curate, dedup, evaluate, fusion, heads, index, normalize, pages, pairs, pivots, ranker
+from kindred.operators import curate, dedup, evaluate, fusion, heads, index, normalize, pages, pairs, pivots, ranker, retrieve
 from kindred.operators import vectors as V
 from kindred.plans import bindings
 from kindred.sources import tables as T
@@ -350,6 +350,59 @@ def test_images_are_filtered_and_absolute(spark):
     assert [r.image for r in pages.page_images(page, "id", "html", "url").orderBy("place").collect()] == ["https://site.org/a.jpg", "https://site.org/dir/b.png", "https://h/d.jpg"]
 
 
+def test_addresses_resolve_by_host_root_and_folder(spark):
+    base = "https://site.org/a/b/page.html?x=1#top"
+    want = {
+        "../c.jpg": "https://site.org/a/c.jpg", "../../../c.jpg": "https://site.org/c.jpg", "./c.jpg": "https://site.org/a/b/c.jpg", "d/../c.jpg?y=..": "https://site.org/a/b/c.jpg?y=..",
+        "/q/./c.jpg": "https://site.org/q/c.jpg", "?y=2": "https://site.org/a/b/page.html?y=2", "#end": "https://site.org/a/b/page.html?x=1#end", "//h/c.jpg": "https://h/c.jpg",
+        "http://o.org/../c.jpg": "http://o.org/../c.jpg", "..": "https://site.org/a/", "c.jpg": "https://site.org/a/b/c.jpg",
+    }
+    rows = spark.createDataFrame([(base, k) for k in want], "base string, ref string")
+    assert {r.ref: r.a for r in rows.select("ref", pages.absolute(F.col("base"), F.col("ref")).alias("a")).collect()} == want
+    bare = spark.createDataFrame([("https://site.org", "c.jpg"), ("https://site.org?x=1", "../c.jpg")], "base string, ref string")
+    assert {r[0] for r in bare.select(pages.absolute(F.col("base"), F.col("ref"))).collect()} == {"https://site.org/c.jpg"}
+
+
+def test_decoration_counts_in_the_whole_address(spark):
+    names = ["photo.jpg", "Arrow.png", "my-badge.gif", "x/flag1.jpg", "tracker?id=1", "ad-1.jpg", "ad_2.jpg", "head.jpg", "adverts/a.jpg", "widgets/b.jpg", "navigation/c.jpg", "map.svg?v=2"]
+    html = "".join(f"<img src=/{n}>" for n in names)
+    page = spark.createDataFrame([(1, "https://site.org/p", html), (2, "https://navy.org/p", html)], "id long, url string, html string")
+    # "head.jpg" has no "ad-", an address of a drawing goes only by its ending, and a mark in the host counts too
+    assert [(r.id, r.image) for r in pages.page_images(page, "id", "html", "url", 20).orderBy("id", "place").collect()] == [(1, f"https://site.org/{n}") for n in ("photo.jpg", "head.jpg", "map.svg?v=2")]
+
+
+def test_signature_rules_before_gates(spark):
+    e = spark.createDataFrame([(1, "a|x|p", "s"), (2, "a|x|p", "t"), (3, "b|y|q", "s")], "entity_id long, sig string, size string")
+    hits = spark.createDataFrame([(1, "g", 2, 0.9, 1), (1, "g", 3, 0.8, 2)], "query_id long, grp string, cand_id long, sim double, rank int")
+    s = retrieve.Search(groups=["g"], signature="sig", gates=("size",))
+    # 2 fits by its signature and fails the gate; 3 does not come back for it
+    assert retrieve.scored(hits, e, s).count() == 0
+    assert {r.cand_id for r in retrieve.scored(hits.filter("cand_id = 3"), e, s).collect()} == {3}
+
+
+def test_consensus_against_truth(spark):
+    votes = spark.createDataFrame([("e", "x"), ("e", "x"), ("e", "y"), ("f", "b"), ("f", "a"), ("g", "a"), ("h", None), ("i", "a")], "entity string, said string")
+    truths = spark.createDataFrame([("e", "x"), ("f", "b"), ("g", None), ("h", "a")], "entity string, truth string")
+    got = {(r.entity, r.value, r.votes, r.n, r.correct) for r in heads.consensus_against(votes, "entity", "said", truths, "truth").collect()}
+    assert got == {("e", "x", 2, 3, True), ("f", "a", 1, 2, False)}  # a tie goes to the smaller value
+    assert tuple(heads.consensus_accuracy(votes, "entity", "said", truths, "truth").first()) == (2, 1, 0.5)
+    assert tuple(heads.consensus_accuracy(votes.limit(0), "entity", "said", truths, "truth").first()) == (0, 0, 0.0)
+
+
+def test_exact_name_comes_first(spark):
+    found = spark.createDataFrame([("Boletus", 1, "Boletus edulis"), ("Boletus", 3, "boletus"), ("Boletus", 2, "BOLETUS"), ("Amanita", 2, None), ("Amanita", 1, "Amanita x")], "asked string, place int, name string")
+    assert {tuple(r) for r in curate.exact_name_first(found, "asked", "name", ["place"]).select("asked", "place", "exact").collect()} == {("Boletus", 2, True), ("Amanita", 1, False)}
+
+
+def test_profiles_by_name_with_sources(spark):
+    e = spark.createDataFrame([(1, "Boletus edulis", "bolete"), (2, "Amanita", None)], "id long, name string, kind string")
+    src = spark.createDataFrame([(1, "w", "u2"), (1, "a", "u1"), (1, "w", "u2")], "id long, name string, url string")
+    names = spark.createDataFrame([("BOLETUS EDULIS",), ("amanita",), ("nothing",)], "name string")
+    got = {r.name: r for r in retrieve.entity_profile(names, e, "name", "id", ["kind"], src).collect()}
+    assert (got["BOLETUS EDULIS"].known_as, [tuple(x) for x in got["BOLETUS EDULIS"].sources], got["BOLETUS EDULIS"].source_count) == ("Boletus edulis", [("a", "u1"), ("w", "u2")], 2)
+    assert (got["amanita"].source_count, got["amanita"].error, got["nothing"].error, got["nothing"].sources) == (0, None, "unknown: nothing", None)
+
+
 def test_binomial_names(spark):
     page = spark.createDataFrame([(1, '<a href="/1">Amanita muscaria (L.) Lam.</a><a href="/2">see all</a><a href="/3"><b>Amanita  muscaria</b></a>')], "id long, html string")
     found = pages.links(page, "id", "html")
