@@ -222,6 +222,19 @@ def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def readable(column: pa.Array) -> pa.Array:
+    """The column itself where its texts are valid UTF-8; else bytes that are not become U+FFFD, text by text."""
+    raw, at = flat_text(column)
+    begins = raw[at[:-1][np.diff(at) > 0]]
+    try:
+        raw.tobytes().decode("utf-8")
+        if not ((begins & 0xC0) == 0x80).any():  # no text goes on with the end of the one before it
+            return column
+    except UnicodeDecodeError:
+        pass
+    return pa.array([raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:])], column.type)
+
+
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 _IS_LETTER = np.zeros(256, bool)

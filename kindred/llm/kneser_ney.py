@@ -3,11 +3,11 @@
 Grams are runs of ``ORDER`` characters over all code points, kept as strings.  Tasks count their own grams before the
 shuffle.  The model is a set of sharded tables (an order each: a gram's discounted share, a context's weight for the
 order below).  The different grams of all documents to judge are joined with these tables, order by order, which gives
-a sharded table of probabilities; it grows with the corpus and no part of it passes through the driver.
+a sharded table of probabilities; it grows with the corpus.
 
-A document's perplexity needs the probabilities of its own grams.  While the table is small (``broadcast_grams``) it is
-broadcast to the tasks that read the texts; beyond that, texts and the part of the table that a block of documents
-needs meet by a shuffle.  Both ways give the same numbers.
+A document's perplexity needs the probabilities of its own grams.  While the table is small (``broadcast_grams``) it
+passes through the driver and is broadcast to the tasks that read the texts; beyond that no part of it does, and texts
+and the part of the table that a block of documents needs meet by a shuffle.  Both ways give the same numbers.
 """
 
 import uuid
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bounded_batches, flat_text, pieces_of, removed, row_sums, tidy, worker_cache, written
+from .common import bounded_batches, flat_text, pieces_of, readable, removed, row_sums, tidy, worker_cache, written
 
 ORDER = 5
 #: Stands for what lies before a text (a code point that no text should hold).
@@ -32,7 +32,7 @@ MET = 1 << 21
 
 def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts, each with ``ORDER - 1`` edges before it, and where texts begin among them."""
-    raw, at = flat_text(texts)
+    raw, at = flat_text(readable(texts))
     points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     begin = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[at]
     padded = np.insert(points, np.repeat(begin[:-1], ORDER - 1), np.uint32(EDGE))
@@ -340,7 +340,7 @@ def quality_classifier(
     ``trusted`` has the ids (in ``id_col``) of texts to learn from: the model is trained on four fifths of them, and a
     document is kept when its perplexity is at most its language's quantile over the other fifth (by a hash of the id).
     A language without any of these, or null, takes the quantile over all; where no text is held back, nothing is
-    rejected but texts without characters.  Null and empty texts have no perplexity and are not kept.  Repeated rows
+    rejected but texts without characters.  Texts are read whole, bytes that are not UTF-8 as U+FFFD.  Null and empty texts have no perplexity and are not kept.  Repeated rows
     score alike, texts of any length are read whole, an empty table gives no rows, and other columns pass through
     whatever their names.
     """

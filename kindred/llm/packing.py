@@ -54,7 +54,7 @@ class WordTokens:
     def encoded(self, words: list[bytes]) -> list[bytes]:
         """Words of Latin letters, at most with a stop or comma behind, are encoded a thousand at a time in a line:
         each gives one end-of-word token for the letters and one for the mark."""
-        texts = [w.decode() for w in words]
+        texts = [w.decode("utf-8", "replace") for w in words]
         out: list[bytes | None] = [None] * len(texts)
         plain, parts, rest = [], [], []
         for k, t in enumerate(texts):
@@ -251,7 +251,8 @@ def pack(
 ) -> DataFrame:
     """One row per piece: ``id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
-    A document is its text's ids followed by ``last``; a null or empty text has that id alone.  Every id lies in one
+    A document is its whole text's ids (bytes that are not UTF-8 read as U+FFFD) followed by ``last``; a null or empty
+    text has that id alone.  Every id lies in one
     piece, a sequence holds at most ``window`` ids, and offsets leave no gaps.  Documents that share an id are
     packed each for itself; an empty table gives no rows; other columns are ignored.
     """

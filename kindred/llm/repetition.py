@@ -183,6 +183,6 @@ def repetition(
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", least_words: int = 50, most_repeated: int = 50, **options) -> DataFrame:
     """:func:`repetition` with ``base_failed`` (too short, or more than ``most_repeated`` % of words in repeated
-    three-word windows) and ``kept``: neither base rule nor repeats object."""
+    three-word windows) and ``kept``: neither base rule nor repeats object.  An empty table gives no rows."""
     rules = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     return repetition(docs, id_col, **options).withColumn("base_failed", rules).withColumn("kept", ~F.col("base_failed") & ~F.col("repetitive"))

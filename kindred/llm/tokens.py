@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_text, pieces_of, row_sums, worker_cache
+from .common import flat_text, pieces_of, readable, row_sums, worker_cache
 
 # classes of characters for the splitting pattern
 STMD, R, V, L, E, LETTER, NUMBER, APOSTROPHE, OTHER, SPACE, WHITE, END = range(12)
@@ -230,7 +230,7 @@ class CharacterClasses:
 
 def counts_of(texts: pa.Array, vocabulary: dict, words: dict[bytes, int], counter: Counter, classes: CharacterClasses, most_words: int = 400_000) -> np.ndarray:
     """Number of tokens of each text."""
-    raw, at = flat_text(texts)
+    raw, at = flat_text(readable(texts))
     whole = raw.tobytes()
     extra = np.zeros(len(at) - 1, np.int64)
     # special strings count as one token each and part the text around them
@@ -298,8 +298,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text:
 
     ``tokenizer`` is the path of a byte-level BPE file; its tables (a bounded size, read on the driver) travel to the
     tasks, so that executors need no such file.  Special strings inside a text count as one token, as by the
-    library's default.  Texts of any length are read whole; repeated rows and ids give repeated results; other
-    columns are ignored.
+    library's default.  Texts of any length are read whole; bytes that are not UTF-8 count as
+    U+FFFD in ``n_tokens`` and as they are in ``n_bytes``.  Repeated rows and ids give repeated results; an empty table
+    gives no rows; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary_of(tokenizer))
 

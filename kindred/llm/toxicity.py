@@ -218,7 +218,8 @@ def toxicity(
     """Train on labelled rows (``usable``: a condition on labels; at most ``most_rows`` of them) and :func:`score` all.
 
     Labels without a document, null labels and labels of null texts do no harm; without any label every document
-    scores the bias.  Repeated rows score alike; other columns are ignored.
+    scores the bias.  Texts of any length are read whole, bytes that are not UTF-8 as U+FFFD; repeated rows score
+    alike; an empty table gives no rows; other columns are ignored.
     """
     model = train(docs, labels, F.lit(True) if usable is None else usable, id_col, text, label, most_rows)
     return score(docs, model, id_col, text, **options)

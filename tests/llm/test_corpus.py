@@ -469,3 +469,96 @@ def test_null_ids_and_columns_do_no_harm(spark):
     assert kneser_ney.quality_classifier(docs, docs.select("doc_id")).count() == 3
     assert toxicity.toxicity(docs, docs.select("doc_id", docs.doc_id.cast("int").alias("toxic"))).count() == 3
     assert mixing.mix_sources(docs).count() == 3 and sharding.shard(docs).count() == 3
+
+
+# --- texts that are not UTF-8, and brute force of what is learnt and planned
+
+
+def test_texts_that_are_not_utf8(spark):
+    """Cut and stray bytes count as U+FFFD, also where a text's cut end and the next text's begin make up a character."""
+    raw = [b"caf\xc3", b"\xa9 noir", b"a \xff\xfe b", b"\xed\xa0\x80 lone surrogate", b"whole \xc3\xa9"]
+    texts = [r.decode("utf-8", "replace") for r in raw]
+    rows = spark.createDataFrame([(k, bytearray(r)) for k, r in enumerate(raw)], "doc_id long, raw binary").coalesce(1)
+    docs = rows.select("doc_id", F.expr("cast(raw AS string)").alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"))
+    library, path = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), public_tokenizers.path
+    got = {r.doc_id: r for r in tokens.count_tokens(docs, path("byte_bpe_50k.json")).collect()}
+    assert [(got[k].n_tokens, got[k].n_bytes) for k in range(5)] == [(len(library.encode(t, add_special_tokens=False).ids), len(r)) for t, r in zip(texts, raw)]
+    packed = packing.pack(docs, path("word_bpe_49k.json")).collect()
+    assert check_packing(packed, dict(enumerate(texts))) > 0
+    whole = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("en"))
+    trusted = docs.select("doc_id").filter("doc_id <> 2")
+    scores = [{r.doc_id: r.perplexity for r in kneser_ney.quality_classifier(d, trusted).collect()} for d in (docs, whole)]
+    assert scores[0] == pytest.approx(scores[1]) and all(scores[0].values())
+    assert repetition.quality_rules(docs).count() == ngram_join.jaccard_components(docs).count() == exact_dedup.exact_duplicates(docs).count() == 5
+    assert toxicity.toxicity(docs, docs.select("doc_id", F.lit(1).alias("toxic"))).count() == sharding.shard(docs).count() == mixing.mix_sources(docs).count() == 5
+
+
+def test_toxicity_weights_follow_finite_differences():
+    """Steps with gradients taken from differences of the likelihood, document by document, reach the same weights."""
+    rng = np.random.default_rng(3)
+    docs = [([[int(f) for f in rng.integers(0, 4, rng.integers(1, 4))] for _ in range(rng.integers(1, 4))], int(rng.integers(0, 3))) for _ in range(12)]
+    y = np.array([k % 3 == 0 for k in range(12)], float)
+    row = np.array([k for k, (sentences, _) in enumerate(docs) for _ in sentences])
+    every = [s for sentences, _ in docs for s in sentences]
+    sentence, feature = (np.array(x) for x in zip(*[(k, f) for k, s in enumerate(every) for f in s]))
+    plain, steps, rate, ridge = np.array([p for _, p in docs]), 25, 0.1, 0.01
+
+    def loss(v):
+        total = 0.0
+        for (sentences, alone), label in zip(docs, y):
+            clean = 1.0
+            for s in [*sentences, *[[]] * alone]:
+                clean *= 1 - 1 / (1 + np.exp(-(v[-1] + sum(v[f] for f in s))))
+            total -= np.log(1 - clean) if label else np.log(clean)
+        return total / len(docs) + ridge / 2 * (v[:-1] ** 2).sum()
+
+    v = np.append(np.zeros(4), -np.log((len(every) + plain.sum()) / len(docs)) - 3.0)
+    m = s = np.zeros(5)
+    for step in range(1, steps + 1):
+        g = np.array([(loss(v + e) - loss(v - e)) / 2e-5 for e in np.eye(5) * 1e-5])
+        m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
+        v = v - rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
+    w, bias = toxicity.fit(y, plain, row, sentence, feature, 4, steps, rate, ridge)
+    assert np.append(w, bias) == pytest.approx(v, abs=1e-4)
+
+
+def test_toxicity_scores_equal_a_loop_over_sentences(spark):
+    random.seed(11)
+    model = toxicity.Model({"idiot": 4.0, "idio~": 1.0, "scum": 3.0, "nice": -2.0}, -4.0)
+    texts = EDGES + ["".join(random.choice(["idiot", "Idiots!", "scum", "nice", "word", " ", " ", ". ", "\n", "? "]) for _ in range(random.randint(1, 60))) for _ in range(200)]
+    got = {r.doc_id: r for r in toxicity.score(table(spark, texts), model, piece_bytes=700).collect()}
+    for k, t in enumerate(texts):
+        odds, since = [], 0
+        for m in re.finditer(WORD, t or ""):
+            # a sentence ends with a stop in or behind a word: what follows that word's beginning counts
+            if not odds or re.search(r"[.!?\n]", t[since : m.start()]):
+                odds.append(model.bias)
+            odds[-1] += model.of_word(m.group().encode())
+            since = m.start()
+        clean = 1.0
+        for z in odds or [model.bias]:
+            clean *= 1 / (1 + np.exp(z))
+        assert got[k].score == pytest.approx(1 - clean, abs=1e-9), t
+        assert got[k].worst_score == pytest.approx(max(1 / (1 + np.exp(-z)) for z in odds or [model.bias]), abs=1e-9)
+
+
+def test_sharding_equals_best_fit_group_by_group(spark):
+    """Groups of up to 4,096 bytes have a class for each size: each group looks at every bin, one after the other."""
+    random.seed(12)
+    texts = [chr(97 + k % 26) * random.randint(0, 300) + str(k) for k in range(400)] + ["hot"] * 90
+    got = sharding.shard(table(spark, texts), shards=8).collect()
+    sizes = Counter()
+    for t in texts:
+        sizes[t] += len(t) + 1
+    of_size, room = Counter(sizes.values()), [-(-sum(sizes.values()) // 8)] * 8
+    want = Counter()
+    for size in sorted(of_size, reverse=True):
+        left = of_size[size]
+        while left:
+            fits = [(r, b) for b, r in enumerate(room) if r >= size]
+            b = min(fits)[1] if fits else max((r, b) for b, r in enumerate(room))[1]
+            take = 1 if fits else max(1, -(-left // 8))
+            room[b] -= take * size
+            want[b, size] += take
+            left -= take
+    assert Counter((b, sizes[t]) for t, b in {(texts[r.doc_id], r.shard) for r in got}) == want
