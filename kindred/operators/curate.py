@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..sources.shared import numbered_by, written
+from ..sources.shared import numbered_by, small, written
 from ..sources.tables import insert_ignore
 from .gates import null_tolerant_gate
 
@@ -279,6 +279,6 @@ def pending_ids(every: DataFrame, done: DataFrame, ok: Column, id_col: str) -> D
 
 
 def applicability_gate(df: DataFrame, view: str, matrix: DataFrame, feature: str) -> DataFrame:
-    """Rows whose view can show the feature, by ``matrix(feature, view)``, which people write."""
-    allowed = F.broadcast(matrix.filter(F.col("feature") == feature).select(F.col("view").alias("_view")))
+    """Rows whose view can show the feature, by ``matrix(feature, view)``."""
+    allowed = small(matrix.filter(F.col("feature") == feature).select(F.col("view").alias("_view")))
     return df.join(allowed, df[view] == F.col("_view"), "left_semi")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..sources.shared import numbered_by
+from ..sources.shared import numbered_by, rows_by_key, small
 from .pivots import unit_rows
 
 #: References travel to the tasks in blocks of so many.
@@ -21,24 +21,25 @@ MONTHS = ("january", "february", "march", "april", "may", "june", "july", "augus
 
 def apply_aliases(df: DataFrame, fields: dict[str, str], alias: DataFrame) -> DataFrame:
     """Replace values by their canonical ones, field by vocabulary key, without regard to case."""
-    out = df
+    out, rows = df, rows_by_key(alias, fields.values())
     for field, key in fields.items():
-        table = F.broadcast(alias.filter(F.col("key") == key).select(F.col("alias_lc").alias("_lc"), F.col("canonical").alias("_c")))  # a vocabulary's aliases
+        table = small(alias.filter(F.col("key") == key).select(F.col("alias_lc").alias("_lc"), F.col("canonical").alias("_c")), rows[key])
         out = out.join(table, F.lower(F.trim(out[field])) == table["_lc"], "left").withColumn(field, F.coalesce("_c", field)).drop("_lc", "_c")
     return out
 
 
 def enforce_vocabulary(df: DataFrame, fields: dict[str, str], canonical: DataFrame, fallback: DataFrame | None = None, open_keys: Sequence[str] = ()) -> DataFrame:
     """Values outside their vocabulary become their fallback ``(key, term, value)`` or null; open vocabularies pass."""
-    out = df
+    out, rows = df, rows_by_key(canonical, fields.values())
+    near_rows = rows_by_key(fallback, fields.values()) if fallback is not None else {}
     for field, key in fields.items():
         if key in open_keys:
             continue
-        table = F.broadcast(canonical.filter(F.col("key") == key).select(F.col("value").alias("_v")))
+        table = small(canonical.filter(F.col("key") == key).select(F.col("value").alias("_v")), rows[key])
         out = out.join(table, out[field] == table["_v"], "left")
         value = F.col("_v")
         if fallback is not None:
-            near = F.broadcast(fallback.filter(F.col("key") == key).select(F.col("term").alias("_t"), F.col("value").alias("_f")))
+            near = small(fallback.filter(F.col("key") == key).select(F.col("term").alias("_t"), F.col("value").alias("_f")), near_rows[key])
             out = out.join(near, out[field] == near["_t"], "left")
             value = F.coalesce("_v", "_f")
         out = out.withColumn(field, value).drop("_v", "_t", "_f")
@@ -189,8 +190,8 @@ def backfill_column(observations: DataFrame, source: DataFrame, key: str, column
 
 def translate_values(df: DataFrame, value: str, feature: Column, own: DataFrame, shared: DataFrame) -> DataFrame:
     """``translated``: by the feature's dictionary ``(feature, value, text)``, else the shared one ``(value, text)``, else itself."""
-    a = F.broadcast(own.select(F.col("feature").alias("_f"), F.col("value").alias("_v"), F.col("text").alias("_own")))  # dictionaries that people write
-    b = F.broadcast(shared.select(F.col("value").alias("_w"), F.col("text").alias("_shared")))
+    a = small(own.select(F.col("feature").alias("_f"), F.col("value").alias("_v"), F.col("text").alias("_own")))
+    b = small(shared.select(F.col("value").alias("_w"), F.col("text").alias("_shared")))
     out = df.withColumn("_feature", feature)
     out = out.join(a, (out["_feature"] == a["_f"]) & (out[value] == a["_v"]), "left").join(b, out[value] == b["_w"], "left")
     return out.withColumn("translated", F.coalesce("_own", "_shared", value)).drop("_feature", "_f", "_v", "_own", "_w", "_shared")

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 MOST = 1_024
-#: A row for each group, category and block is broadcast up to so many.
-BROADCAST_ROWS = 200_000
 
 
 def unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -25,10 +23,6 @@ def unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1)), 1e-12)[:, None]
 
 
-def small(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
 def pivot_count(n: int, block: int) -> int:
     """Pivots for n vectors: as many as keep blocks near half of ``block``, more where there are many vectors."""
     return 1 if n <= block else min(MOST, max(2, -(-2 * n // block), round(n**0.5 / 4)))

@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import small, written
 from . import pivots
 
 DIGITS = 6
@@ -60,7 +60,7 @@ def topk_and_meetings(queries: DataFrame, vectors: DataFrame, k: int, category:
     placed = written(pivots.with_distances(v, centres, nearest=True), "placed")
     about = placed.groupBy(*keys, "_block").agg(F.count("*").alias("_n"), F.max("_dist").alias("_far"), F.min("_dist").alias("_near"))
     about = written(about, "blocks")
-    listed = pivots.small(about.groupBy(*keys).agg(F.collect_list(F.struct("_block", "_far", "_near")).alias("_blocks")))  # as many as pivots
+    listed = small(about.groupBy(*keys).agg(F.collect_list(F.struct("_block", "_far", "_near")).alias("_blocks")))  # as many as pivots
     asked = pivots.with_distances(q, centres, nearest=False).join(listed, keys)
     away = F.array_sort(F.transform("_blocks", lambda b: F.struct(F.get("_to", b["_block"]).alias("d"), b["_block"].alias("b"), b["_far"].alias("far"), b["_near"].alias("near"))))
     asked = written(asked.select(*keys, "entity_id", "vec", away.alias("_away")), "asked")
@@ -85,7 +85,7 @@ def cells(visits: DataFrame, placed: DataFrame, about: DataFrame, keys: list[str
     at = [*keys, "_block"]
     asked = visits.groupBy(*at).agg(F.count("*").alias("_m")).join(about, at)
     shape = written(asked.select(*at, F.ceil(F.col("_n") / block).cast("int").alias("_parts"), F.ceil(F.col("_m") / query_block).cast("int").alias("_chunks")), "cells")
-    shape = pivots.small(shape)
+    shape = small(shape)
     own = lambda n: F.pmod(F.xxhash64("entity_id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = visits.join(shape, at).select(*at, "entity_id", "vec", own("_chunks").alias("_q"), each("_parts").alias("_v"))

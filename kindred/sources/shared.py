@@ -27,6 +27,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A table is broadcast up to so many rows.
+BROADCAST_ROWS = 200_000
+
+
+def small(table: DataFrame, rows: int | None = None) -> DataFrame:
+    """``table``, to be broadcast where its rows (counted, unless given) are few, else left to the optimiser."""
+    return F.broadcast(table) if (table.count() if rows is None else rows) <= BROADCAST_ROWS else table
+
+
+def rows_by_key(table: DataFrame, keys) -> dict[str, int]:
+    """How many rows ``table(key, ...)`` has for each of these keys; 0 for those it lacks."""
+    counts = dict.fromkeys(keys, 0)
+    counts.update((r[0], r[1]) for r in table.filter(F.col("key").isin(*counts)).groupBy("key").count().collect())
+    return counts
+
+
 def removed(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`written` that no later plan reads."""
     spark = df.sparkSession

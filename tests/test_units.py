@@ -12,6 +12,7 @@ from kindred.functions import similarity as X
 from kindred.operators import curate, dedup, evaluate, fusion, heads, index, normalize, pages, pairs, pivots, ranker, retrieve
 from kindred.operators import vectors as V
 from kindred.plans import bindings
+from kindred.sources import shared
 from kindred.sources import tables as T
 from kindred.streaming import streams
 
@@ -663,3 +664,29 @@ def test_entry_without_a_dependency_of_the_corpus_operators(monkeypatch):
     monkeypatch.setitem(sys.modules, "public_tokenizers", None)
     monkeypatch.setitem(sys.modules, "xxhash", None)
     assert set(entry.queries()) == plain and set(entry.oracle_sql()) <= plain
+
+
+def test_large_dictionaries_are_not_broadcast(spark, monkeypatch):
+    """Beyond the bound the optimiser chooses, and the rows are the same."""
+    rows = spark.createDataFrame([(k, f"v{k % 7}") for k in range(50)] + [(50, None), (51, "else")], "id int, colour string")
+    alias = spark.createDataFrame([("colour", f"v{k}", f"c{k}") for k in range(5)] + [("other", "v6", "no")], "key string, alias_lc string, canonical string")
+    canonical = spark.createDataFrame([("colour", f"c{k}") for k in range(4)], "key string, value string")
+    fallback = spark.createDataFrame([("colour", "v5", "c0"), ("other", "v6", "c1")], "key string, term string, value string")
+    matrix = spark.createDataFrame([("cap", "c0"), ("cap", "c3"), ("stem", "c1")], "feature string, view string")
+
+    def done():
+        named = normalize.apply_aliases(rows, {"colour": "colour"}, alias)
+        kept = normalize.enforce_vocabulary(named, {"colour": "colour"}, canonical, fallback)
+        told = normalize.translate_values(kept, "colour", F.lit("cap"), alias.limit(0).selectExpr("key AS feature", "alias_lc AS value", "canonical AS text"), canonical.selectExpr("value", "upper(value) AS text"))
+        shown = curate.applicability_gate(told, "colour", matrix, "cap")
+        return shown, {tuple(r) for r in told.collect()}, {tuple(r) for r in shown.collect()}
+
+    hinted = lambda df: "strategy=broadcast" in df._jdf.queryExecution().logical().toString()
+    few = done()
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", -1)
+    many = done()
+    assert hinted(few[0]) and not hinted(many[0]) and few[1:] == many[1:]
+    want = {k: {"v5": "c0"}.get(v, v.replace("v", "c") if v in ("v0", "v1", "v2", "v3") else None) for k, v in ((k, f"v{k % 7}") for k in range(50))}
+    assert few[1] == {(k, v, v and v.upper()) for k, v in (want | {50: None, 51: None}).items()}
+    assert few[2] == {r for r in few[1] if r[1] in ("c0", "c3")}
+    assert shared.rows_by_key(alias, ["colour", "none"]) == {"colour": 5, "none": 0}
