@@ -690,3 +690,33 @@ def test_large_dictionaries_are_not_broadcast(spark, monkeypatch):
     assert few[1] == {(k, v, v and v.upper()) for k, v in (want | {50: None, 51: None}).items()}
     assert few[2] == {r for r in few[1] if r[1] in ("c0", "c3")}
     assert shared.rows_by_key(alias, ["colour", "none"]) == {"colour": 5, "none": 0}
+
+
+def test_pairs_within_blocks_are_whole_on_both_ways_and_none_is_shuffled(spark, monkeypatch):
+    from kindred.functions import similarity as S
+    from kindred.operators import pairs
+
+    e = spark.createDataFrame([(i, f"c{i % 3}" if i % 7 else None, ["red", "blue", None][i % 3], [["red"], ["blue", "green"], [], None][i % 4]) for i in range(60)], "entity_id long, category string, color string, words array<string>")
+    want = pairs.pair_matrix(e, "entity_id", "category").filter("query_id % 5 = 0")
+    key = lambda df: sorted(map(tuple, df.select("query_id", "cand_id").collect()))
+    met = pairs.block_pairs(e.filter("entity_id % 5 = 0"), e, "entity_id", ["category"])
+    assert key(met) == key(want) != []
+    # a task that makes pairs hands none on: the joins' only exchanges are of entities
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(pairs, "BROADCAST_ROWS", 3)
+    assert key(pairs.block_pairs(e.filter("entity_id % 5 = 0"), e, "entity_id", ["category"], chunk=4)) == key(want)
+    totals = want.sparkSession.createDataFrame(pairs.pair_matrix(e, "entity_id", "category").collect()).groupBy("query_id").agg(F.count("*").alias("n"), F.sum("cand_id").alias("ids"))
+    assert sorted(map(tuple, pairs.pair_totals(e, "entity_id", "category").collect())) == sorted(map(tuple, totals.collect()))
+
+    spec = pairs.PairSpec(scalars={"color": {"red-blue": 0.3}}, lists={"words": {"red-blue": 0.3, "blue-green": 0.5}})
+    plain = pairs.sides(want, e, "entity_id").select("query_id", "cand_id", *[c.alias(k) for k, c in pairs.field_scores(spec).items()])
+    for most in (pairs.MOST_VALUE_PAIRS, 3):  # by a table of values, and where the pair stands
+        monkeypatch.setattr(pairs, "MOST_VALUE_PAIRS", most)
+        scores = pairs.value_scores(spec)
+        numbered, found = pairs.numbered_values(e, scores)
+        assert (found["words"].table is None) == (most == 3)
+        x = pairs.with_scores(pairs.sides(want, numbered, "entity_id"), scores, found)
+        assert sorted(map(tuple, x.select("query_id", "cand_id", "sim_color", "sim_words").collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    one = spark.createDataFrame([(None, 1.0), (0.5, None), (None, None)], "x double, y double")
+    assert [r[0] for r in one.select(S.mean_of_known(F.col("x"), F.col("y"))).collect()] == [1.0, 0.5, 0.0]
