@@ -720,3 +720,20 @@ def test_pairs_within_blocks_are_whole_on_both_ways_and_none_is_shuffled(spark,
         assert sorted(map(tuple, x.select("query_id", "cand_id", "sim_color", "sim_words").collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
     one = spark.createDataFrame([(None, 1.0), (0.5, None), (None, None)], "x double, y double")
     assert [r[0] for r in one.select(S.mean_of_known(F.col("x"), F.col("y"))).collect()] == [1.0, 0.5, 0.0]
+
+
+def test_further_meetings_hand_on_only_what_can_count(spark, monkeypatch):
+    """A query's bound from its nearest blocks goes along to the others, which used to hand on k rows each."""
+    rows = [(i, [((i * 37 + j * 101) % 211 - 105) / 100 for j in range(4)]) for i in range(600)]
+    v = spark.createDataFrame([(i, g, x) for i, x in rows for g in ("g0", "g1")], "entity_id long, grp string, vec array<double>")
+    q, handed, near = v.filter("entity_id % 20 = 0"), [], V._nearest
+
+    def watched(*given):
+        handed.append(near(*given))
+        return handed[-1]
+
+    monkeypatch.setattr(V, "_nearest", watched)
+    key = lambda df: sorted(map(tuple, df.select("query_id", "grp", "rank", "cand_id", "sim").collect()))
+    got = key(V.topk_by_group(q, v, 5, block=60, query_block=50))
+    further, blocks = handed[1].count(), 2 * q.count() * 5
+    assert got == key(V.topk_by_group(q, v, 5)) and further < blocks
