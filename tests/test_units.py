@@ -724,8 +724,10 @@ def test_pairs_within_blocks_are_whole_on_both_ways_and_none_is_shuffled(spark,
 
 def test_further_meetings_hand_on_only_what_can_count(spark, monkeypatch):
     """A query's bound from its nearest blocks goes along to the others, which used to hand on k rows each."""
-    rows = [(i, [((i * 37 + j * 101) % 211 - 105) / 100 for j in range(4)]) for i in range(600)]
-    v = spark.createDataFrame([(i, g, x) for i, x in rows for g in ("g0", "g1")], "entity_id long, grp string, vec array<double>")
+    import numpy as np
+
+    rows = np.random.default_rng(4).normal(size=(900, 16)).tolist()  # without structure: no block is ruled out
+    v = spark.createDataFrame([(i, "g", x) for i, x in enumerate(rows)], "entity_id long, grp string, vec array<double>")
     q, handed, near = v.filter("entity_id % 20 = 0"), [], V._nearest
 
     def watched(*given):
@@ -734,6 +736,7 @@ def test_further_meetings_hand_on_only_what_can_count(spark, monkeypatch):
 
     monkeypatch.setattr(V, "_nearest", watched)
     key = lambda df: sorted(map(tuple, df.select("query_id", "grp", "rank", "cand_id", "sim").collect()))
-    got = key(V.topk_by_group(q, v, 5, block=60, query_block=50))
-    further, blocks = handed[1].count(), 2 * q.count() * 5
-    assert got == key(V.topk_by_group(q, v, 5)) and further < blocks
+    got, meetings = V.topk_and_meetings(q, v, 5, block=100, query_block=50)
+    further = meetings.first()["met"] - 2 * q.count()
+    assert further > 300 and handed[1].count() < 2 * further
+    assert key(got) == key(V.topk_by_group(q, v, 5))
