@@ -161,14 +161,24 @@ def prefix_elements(sets: DataFrame, sizes: DataFrame, percent: int, rows: int)
     return sized.select("row", "n", F.col("longest").alias("longest"), prefix.alias("prefix")).filter(F.size("prefix") > 0)
 
 
+#: Pairs of prefix elements are enumerated while they are at most so many times the elements.
+MOST_PAIRS = 2
+
+
 def light_bound(prefixes: DataFrame, candidates: tuple[int, ...] = (0, 8, 16, 24, 32, 48, 64, 96, 128)) -> int:
-    """The size up to which enumerating pairs of prefix elements costs less than scanning the elements' lists."""
+    """The size up to which enumerating pairs of prefix elements costs less than scanning the elements' lists.
+
+    Sets of a large group of near copies share all of their prefixes, so their pairs grow with the square of a prefix;
+    a bound with more than ``MOST_PAIRS`` times as many pairs as elements does not count.
+    """
     p = F.size("prefix")
     pairs = p * (p - 1) / 2
     lists = F.aggregate("prefix", F.lit(0.0), lambda s, e: s + F.least(e["df"], F.lit(1000)).cast("double"))
+    light = lambda b, c: F.when(F.col("n") <= b, c).otherwise(0)
     costs = [F.sum(F.when(F.col("n") <= b, 4 * pairs).otherwise(lists)).alias(f"b{b}") for b in candidates]
+    costs += [F.sum(light(b, pairs - MOST_PAIRS * p)).alias(f"x{b}") for b in candidates]
     row = prefixes.agg(*costs).first()
-    known = [(row[k] or 0.0, b) for k, b in enumerate(candidates)]
+    known = [(row[f"b{b}"] or 0.0, b) for b in candidates if (row[f"x{b}"] or 0.0) <= 0]
     return min(known)[1]
 
 

@@ -562,3 +562,11 @@ def test_sharding_equals_best_fit_group_by_group(spark):
             want[b, size] += take
             left -= take
     assert Counter((b, sizes[t]) for t, b in {(texts[r.doc_id], r.shard) for r in got}) == want
+
+
+def test_near_copies_do_not_enumerate_pairs_of_whole_prefixes(spark):
+    """Sets that share all of a prefix of 20 elements get a key an element, not one for each of 190 pairs."""
+    prefix = [(k, k, 40) for k in range(20)]
+    rows = [(i, 120, 20, prefix) for i in range(40)] + [(i, 120, 20, [(0, 1000 + i // 2, 2)]) for i in range(100, 300)]
+    p = spark.createDataFrame(rows, "row long, n long, longest int, prefix array<struct<place:int,element:long,df:long>>")
+    assert ngram_join.keys_of(p, 85, ngram_join.light_bound(p)).count() <= 2 * (40 * 20 + 200)
