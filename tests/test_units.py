@@ -740,3 +740,19 @@ def test_further_meetings_hand_on_only_what_can_count(spark, monkeypatch):
     further = meetings.first()["met"] - 2 * q.count()
     assert further > 300 and handed[1].count() < 2 * further
     assert key(got) == key(V.topk_by_group(q, v, 5))
+
+
+def test_what_rounds_to_zero_keeps_its_sign_as_in_sql(spark, tmp_path):
+    import struct
+
+    import duckdb
+
+    rows = [(0, [1.0, -1e-8, 1e-8, 0.0], 0), (1, [-0.5, 0.5, -2e-7, -0.0], 0), (2, None, 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = dict(con.execute(plans.ORACLE_SQL["l2_normalize"]).fetchall())
+    got = {r.vec_id: r.unit for r in plans.QUERIES["l2_normalize"](spark, str(tmp_path)).collect()}
+    bits = lambda v: v and struct.pack(f"{len(v)}d", *v)
+    assert {k: bits(v) for k, v in got.items()} == {k: bits(v) for k, v in want.items()}
+    assert struct.pack("d", -0.0) in bits(got[0])
