@@ -176,9 +176,16 @@ def text_of(df: DataFrame, text: str = "text") -> Column:
     return F.coalesce(df[text], F.lit(""))
 
 
-def worker_cache(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker, so that tasks of one worker share compiled tables."""
-    return sys.__dict__.setdefault("_kindred_cache", {}).setdefault(name, {})
+def worker_cache(name: str | None) -> dict:
+    """A dictionary that tasks of one kind share within a Python worker, for compiled tables.
+
+    It lives until the worker takes a task of another kind: workers go on from stage to stage, and tables of those before
+    would stand beside what the present one needs.
+    """
+    kept = sys.__dict__.setdefault("_kindred_cache", {})
+    for other in [k for k in kept if k != name]:
+        del kept[other]
+    return kept.setdefault(name, {}) if name else {}
 
 
 def given_back() -> None:
@@ -190,11 +197,15 @@ def given_back() -> None:
         trim(0)
 
 
-def tidy(task):
-    """A task's function over batches that hands its memory back at the end."""
+def tidy(task, cache: str | None = None):
+    """A task's function over batches that hands its memory back at the end, and at the start the tables that tasks of
+    other kinds left to this worker; ``cache`` names its own (:func:`worker_cache`)."""
 
     @functools.wraps(task)
     def whole(batches):
+        if any(k != cache for k in sys.__dict__.get("_kindred_cache", {})):
+            worker_cache(cache)
+            given_back()
         yield from task(batches)
         given_back()
 

@@ -10,6 +10,7 @@ passes through the driver and is broadcast to the tasks that read the texts; bey
 and the part of the table that a block of documents needs meet by a shuffle.  Both ways give the same numbers.
 """
 
+import functools
 import uuid
 
 import numpy as np
@@ -262,7 +263,7 @@ def perplexity(
     if ready:
         shared, key = ready
 
-        @tidy
+        @functools.partial(tidy, cache="kneser_ney")
         def scored(batches):
             own = worker_cache("kneser_ney")
             if key not in own:

@@ -10,6 +10,7 @@ their number within their bin, counted in salted buckets.
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -212,9 +213,11 @@ def tokenised(docs: DataFrame, tokenizer: str, id_col: str, text: str, last: int
     """Whole windows and the tail of each document: ``i, start, length, crc, doc_tokens, blocks`` (checksums of the
     tail's blocks)."""
 
-    @tidy
+    name = f"packing:{tokenizer}"
+
+    @functools.partial(tidy, cache=name)
     def cut(batches):
-        own = worker_cache(f"packing:{tokenizer}")
+        own = worker_cache(name)
         tokens = own.get("tokens") or own.setdefault("tokens", WordTokens(tokenizer))
         for batch in batches:
             for piece in pieces_of(batch, "t", piece_bytes):

@@ -570,3 +570,22 @@ def test_near_copies_do_not_enumerate_pairs_of_whole_prefixes(spark):
     rows = [(i, 120, 20, prefix) for i in range(40)] + [(i, 120, 20, [(0, 1000 + i // 2, 2)]) for i in range(100, 300)]
     p = spark.createDataFrame(rows, "row long, n long, longest int, prefix array<struct<place:int,element:long,df:long>>")
     assert ngram_join.keys_of(p, 85, ngram_join.light_bound(p)).count() <= 2 * (40 * 20 + 200)
+
+
+def test_a_worker_drops_the_tables_of_earlier_kinds_of_task():
+    """They used to stay beside what later stages of a pipeline need."""
+    import sys
+
+    from kindred.llm import common
+
+    sys.__dict__.pop("_kindred_cache", None)
+    held = lambda: set(sys.__dict__.get("_kindred_cache", {}))
+
+    def task(batches):
+        yield from batches
+
+    own = common.tidy(lambda batches: (common.worker_cache("packing").setdefault("n", b) for b in batches), cache="packing")
+    assert list(own([1, 2])) == [1, 1] and list(own([3])) == [1]  # tasks of one kind share it
+    common.worker_cache("kneser_ney")["table"] = 4
+    assert held() == {"kneser_ney"}
+    assert list(common.tidy(task)([5])) == [5] and held() == set()
