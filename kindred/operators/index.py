@@ -1,7 +1,8 @@
 """Approximate retrieval: coarse lists with product-quantised residuals, re-ranked exactly.
 
 Codebooks are fitted on a bounded sample of each group; every vector is indexed as a list and a few bytes.  A query is
-scored against the bytes of its nearest lists by tables of distances, and only its best candidates are compared in full.
+scored against the bytes of its nearest lists by tables of distances, and only its best candidates are compared in full,
+in the task that scored them: what comes out is k rows for each query and part of its group.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from ..sources.shared import written
 from .pivots import distances, unit_rows
@@ -68,119 +68,123 @@ def codebooks(vectors: DataFrame, lists: int | None, parts: int, seed: int = 42,
     return {g: (np.array(c), [np.array(w) for w in ws]) for g, (c, ws) in books.items()}
 
 
-def indexed(vectors: DataFrame, books: dict, parts: int) -> DataFrame:
-    """``grp, entity_id, list_id, code``: every vector's list and a byte for each part of its residual."""
+def indexed(vectors: DataFrame, books: dict, parts: int, cuts: dict[str, int]) -> DataFrame:
+    """``grp, part, ids, lists, codes, rows``: every vector's id, list, a byte for each piece of its residual and itself at
+    unit length, packed (a row for each batch, group and part).  ``cuts`` are the parts of a group; an id's hash deals it."""
     shared = vectors.sparkSession.sparkContext.broadcast(books)
 
     def encoded(batches):
         for batch in batches:
-            if batch.num_rows:
-                rows, groups = unit_rows(batch.column("vec")), np.array(batch.column("grp").to_pylist(), object)
-                lists, codes = np.zeros(len(rows), np.int32), np.zeros((len(rows), parts), np.uint8)
-                for grp in set(groups.tolist()):
-                    own = np.flatnonzero(groups == grp)
-                    coarse, words = shared.value[grp]
-                    lists[own] = distances(rows[own], coarse).argmin(axis=1)
-                    rest = np.array_split(rows[own] - coarse[lists[own]], parts, axis=1)
-                    for p in range(parts):
-                        codes[own, p] = distances(rest[p], words[p]).argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("entity_id"), pa.array(lists), pa.array([c.tobytes() for c in codes], pa.binary())], ["grp", "entity_id", "list_id", "code"])
-
-    given = vectors.select("grp", "entity_id", "vec")
-    fields = [f for f in given.schema.fields if f.name != "vec"]
-    return given.mapInArrow(encoded, StructType([*fields, StructField("list_id", IntegerType()), StructField("code", BinaryType())]))
-
-
-def probing(queries: DataFrame, books: dict, probes: float | int) -> DataFrame:
-    """A row of ``queries`` for each of its nearest lists: ``probes`` of them, or that share of them if below 1."""
-    shared = queries.sparkSession.sparkContext.broadcast({g: c for g, (c, _) in books.items()})
-
-    def near(batches):
-        for batch in batches:
-            if batch.num_rows:
-                rows, groups = unit_rows(batch.column("vec")), batch.column("grp").to_pylist()
-                lists = []
-                for row, grp in zip(rows, groups):
-                    coarse = shared.value.get(grp, np.zeros((0, rows.shape[1])))
-                    most = min(len(coarse), probes if probes >= 1 else int(np.ceil(probes * len(coarse))))
-                    lists.append(np.argsort(distances(row[None], coarse)[0], kind="stable")[:most].tolist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], [*batch.schema.names, "_lists"])
-
-    given = queries.select("grp", "entity_id", "vec")
-    marked = given.mapInArrow(near, StructType([*given.schema.fields, StructField("_lists", ArrayType(IntegerType()))]))
-    return marked.select("grp", "entity_id", "vec", F.explode("_lists").alias("list_id"))
-
-
-def shortlist(asked: DataFrame, codes: DataFrame, books: dict, parts: int, most: int, rows: int = 100_000, queries: int = 20_000) -> DataFrame:
-    """``query_id, grp, cand_id, guess``: for each query and list at most ``most`` candidates by the tables of distances.
-
-    A long list is cut into parts of about ``rows`` codes, a list of many queries into chunks of about ``queries``.
+            if not batch.num_rows:
+                continue
+            groups = np.array(batch.column("grp").to_pylist(), object)
+            rows, ids = unit_rows(batch.column("vec")), batch.column("entity_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            for grp in set(groups.tolist()) & set(shared.value):
+                coarse, words = shared.value[grp]
+                with np.errstate(over="ignore"):
+                    part = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % cuts[grp]
+                for p in range(cuts[grp]):
+                    own = np.flatnonzero((groups == grp) & (part == p))
+                    if len(own):
+                        lists = distances(rows[own], coarse).argmin(axis=1)
+                        rest = np.array_split(rows[own] - coarse[lists], parts, axis=1)
+                        codes = np.stack([distances(x, w).argmin(axis=1) for x, w in zip(rest, words)], axis=1).astype(np.uint8)
+                        packed = [x.tobytes() for x in (ids[own], lists.astype(np.int32), codes, rows[own])]
+                        yield pa.RecordBatch.from_arrays([pa.array([grp]), pa.array([p], pa.int32()), *[pa.array([x], pa.binary()) for x in packed]], ["grp", "part", "ids", "lists", "codes", "rows"])
+
+    return vectors.select("grp", "entity_id", "vec").mapInArrow(encoded, "grp string, part int, ids binary, lists binary, codes binary, rows binary")
+
+
+class Part:
+    """A part of a group's index, list after list, to be searched query by query.
+
+    A code's squared distance is that of the query to the list's centre, a constant of the code, and less twice the query's
+    products with the code words, which are looked up (two pieces at a time beyond ``single`` codes).
     """
-    shared = codes.sparkSession.sparkContext.broadcast(books)
-    at = ["grp", "list_id"]
-    n, m = codes.groupBy(*at).agg(F.count("*").alias("_n")), asked.groupBy(*at).agg(F.count("*").alias("_m"))
-    # a row for each list, and there are as many as centres on the driver
-    shape = F.broadcast(n.join(m, at).select(*at, F.ceil(F.col("_n") / rows).cast("int").alias("_parts"), F.ceil(F.col("_m") / queries).cast("int").alias("_chunks")))
-    own = lambda c: F.pmod(F.xxhash64("entity_id"), F.col(c)).cast("int")
-    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = asked.join(shape, at).select(*at, "entity_id", "vec", own("_chunks").alias("_q"), each("_parts").alias("_v"))
-    right = codes.join(shape, at).select(*at, "entity_id", "code", own("_parts").alias("_v"), each("_chunks").alias("_q"))
-
-    def scored(asking: pa.Table, listed: pa.Table) -> pa.Table:
-        out = {"query_id": [], "grp": [], "cand_id": [], "guess": []}
-        if asking.num_rows and listed.num_rows:
-            grp, place = asking.column("grp")[0].as_py(), asking.column("list_id")[0].as_py()
-            coarse, words = shared.value[grp]
-            code = np.frombuffer(b"".join(listed.column("code").to_pylist()), np.uint8).reshape(-1, parts)
-            ids, rest = listed.column("entity_id").to_numpy(), unit_rows(asking.column("vec")) - coarse[place]
-            tables = [distances(piece, words[p]) ** 2 for p, piece in enumerate(np.array_split(rest, parts, axis=1))]
-            for k, name in enumerate(asking.column("entity_id").to_pylist()):
-                far = sum(tables[p][k][code[:, p]] for p in range(parts))
-                far[ids == name] = np.inf
-                best = np.argpartition(far, most)[:most] if len(far) > most else np.arange(len(far))
-                best = best[np.isfinite(far[best])]
-                out["query_id"] += [name] * len(best)
-                out["grp"] += [grp] * len(best)
-                out["cand_id"] += ids[best].tolist()
-                out["guess"] += far[best].tolist()
-        return pa.table({c: pa.array(x, t) for (c, x), t in zip(out.items(), (pa.int64(), pa.string(), pa.int64(), pa.float64()))})
-
-    by = [*at, "_q", "_v"]
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(scored, "query_id long, grp string, cand_id long, guess double")
-
-
-def compared(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``query_id, grp, cand_id, sim`` of pairs, by their whole vectors."""
-    own = queries.select(F.col("entity_id").alias("query_id"), "grp", F.col("vec").alias("_a"))
-    other = vectors.select(F.col("entity_id").alias("cand_id"), "grp", F.col("vec").alias("_b"))
-    both = pairs.select("query_id", "grp", "cand_id").join(other, ["cand_id", "grp"]).join(own, ["query_id", "grp"]).select("query_id", "grp", "cand_id", "_a", "_b")
-
-    def product(batches):
-        for batch in batches:
-            if batch.num_rows:
-                sims = np.round((unit_rows(batch.column("_a")) * unit_rows(batch.column("_b"))).sum(axis=1), DIGITS)
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("query_id", "grp", "cand_id")] + [pa.array(sims)], ["query_id", "grp", "cand_id", "sim"])
-
-    return both.mapInArrow(product, "query_id long, grp string, cand_id long, sim double")
-
 
-def topk_ivf(queries: DataFrame, vectors: DataFrame, k: int, lists: int | None = None, probes: float | int = 0.8, parts: int = 8, rerank: int | None = None, share: float = 0.1, seed: int = 42) -> DataFrame:
+    def __init__(self, packed: pa.Table, coarse: np.ndarray, words: list[np.ndarray], single: int = 1 << 16):
+        joined = lambda c, t: np.frombuffer(b"".join(packed.column(c).to_pylist()), t)
+        lists = joined("lists", np.int32)
+        by = np.argsort(lists, kind="stable")
+        self.coarse, self.words, self.sizes = coarse, words, np.bincount(lists, minlength=len(coarse))
+        self.ids = joined("ids", np.int64)[by]
+        self.rows = joined("rows", np.float64).reshape(len(by), -1)[by]
+        code = joined("codes", np.uint8).reshape(len(by), -1)[by]
+        self.constant, at = np.zeros(len(by)), 0
+        for p, w in enumerate(words):
+            of_list = (w * w).sum(axis=1) + 2 * coarse[:, at : at + w.shape[1]] @ w.T
+            self.constant += of_list[lists[by], code[:, p]]
+            at += w.shape[1]
+        self.paired = len(by) > single and len(words) % 2 == 0
+        wide = np.ascontiguousarray(code)
+        self.codes = np.ascontiguousarray((wide.view("<u2") if self.paired else wide).T)
+        self.by_id = np.argsort(self.ids, kind="stable")
+        self.sorted_ids = self.ids[self.by_id]
+
+    def nearest(self, name: int, row: np.ndarray, probes: float | int, full: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and similarities of the k best of the ``full`` best by code in the query's nearest lists."""
+        away = distances(row[None], self.coarse)[0]
+        most = min(len(away), int(probes if probes >= 1 else np.ceil(probes * len(away))))
+        base = np.full(len(away), np.inf)
+        near = np.argsort(away, kind="stable")[:most]
+        base[near] = away[near] ** 2
+        far = np.repeat(base, self.sizes) + self.constant
+        cut = np.cumsum([w.shape[1] for w in self.words])[:-1]
+        tables = [-2 * (w @ x) for w, x in zip(self.words, np.split(row, cut))]
+        if self.paired:
+            tables = [np.add.outer(np.pad(y, (0, CODES - len(y))), np.pad(x, (0, CODES - len(x)))).ravel() for x, y in zip(tables[::2], tables[1::2])]
+        for table, code in zip(tables, self.codes):
+            far += table[code]
+        far[self.by_id[np.searchsorted(self.sorted_ids, name, "left") : np.searchsorted(self.sorted_ids, name, "right")]] = np.inf
+        best = np.flatnonzero(far <= (np.partition(far, full - 1)[full - 1] if len(far) > full else np.inf))
+        best = best[np.isfinite(far[best])]
+        best = best[np.lexsort((self.ids[best], far[best]))][:full]
+        sims = np.round((self.rows[best] * row).sum(axis=1), DIGITS)
+        first = np.lexsort((self.ids[best], -sims))[:k]
+        return self.ids[best][first], sims[first]
+
+
+def topk_ivf(queries: DataFrame, vectors: DataFrame, k: int, lists: int | None = None, probes: float | int = 0.8, parts: int = 8, rerank: int | None = None, share: float = 0.1, seed: int = 42, part_rows: int = 1_000_000, query_rows: int = 2_000) -> DataFrame:
     """Approximate :func:`~kindred.operators.vectors.topk_by_group`: ``query_id, grp, cand_id, sim, rank``.
 
     A query's ``probes`` nearest lists (a share of them below 1) are scored by code, and its ``rerank`` best candidates
     over all of them are compared in full: not given, a ``share`` of its group's vectors, from k up to 50 k.  Null
     vectors are skipped, a query never finds itself, and a table without vectors gives no rows.  What travels with the
     tasks are centres and ``parts`` times 256 code words a group.
+
+    A task has about ``query_rows`` queries and the packed index of their group, which is copied for each such chunk of
+    queries.  An index of more than ``part_rows`` vectors is cut into parts, each of which compares as many candidates, so
+    that a query's are a superset.
     """
     vectors, queries = vectors.filter("vec is not null"), queries.filter("vec is not null")
     books = codebooks(vectors, lists, parts, seed)
-    if not books:
-        return ranked(compared(queries.select(F.col("entity_id").alias("query_id"), "grp", F.col("entity_id").alias("cand_id")).limit(0), queries, vectors), k)
-    codes = written(indexed(vectors, books, parts), "codes")
-    counts = codes.groupBy("grp").agg(F.count("*").alias("_n"))
-    full = F.lit(rerank) if rerank else F.least(F.lit(50 * k), F.greatest(F.lit(k), F.floor(F.col("_n") * share)))
-    most = rerank or 50 * k
-    guessed = shortlist(probing(queries, books, probes), codes, books, parts, most).join(F.broadcast(counts), "grp")
-    place = F.row_number().over(Window.partitionBy("query_id", "grp").orderBy("guess", "cand_id"))
-    chosen = written(guessed.withColumn("_k", place).filter(F.col("_k") <= full).select("query_id", "grp", "cand_id"), "shortlist")
-    return ranked(compared(chosen, queries, vectors), k)
+    n = {r["grp"]: r["n"] for r in vectors.groupBy("grp").agg(F.count("*").alias("n")).collect()}  # a row for each group, as books
+    cuts = {g: -(-n[g] // part_rows) for g in books}
+    full = {g: rerank or min(50 * k, max(k, int(np.floor(n[g] * share)))) for g in books}
+    m = {r["grp"]: r["n"] for r in queries.groupBy("grp").agg(F.count("*").alias("n")).collect()}
+    chunks = {g: -(-m[g] // query_rows) for g in books if g in m}
+    shape = queries.sparkSession.createDataFrame([(g, cuts[g], c) for g, c in chunks.items()], "grp string, _parts int, _chunks int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = F.pmod(F.xxhash64("entity_id"), F.col("_chunks")).cast("int")
+    left = queries.join(F.broadcast(shape), "grp").select("grp", "entity_id", "vec", own.alias("_q"), each("_parts").alias("part"))
+    packed = written(indexed(vectors, books, parts, cuts), "codes")
+    right = packed.join(F.broadcast(shape), "grp").select("grp", "part", "ids", "lists", "codes", "rows", each("_chunks").alias("_q"))
+    shared = vectors.sparkSession.sparkContext.broadcast((books, full))
+
+    def searched(asking: pa.Table, listed: pa.Table) -> pa.Table:
+        who, found, near, grp = [], [], [], ""
+        if asking.num_rows and listed.num_rows:
+            grp = asking.column("grp")[0].as_py()
+            part = Part(listed, *shared.value[0][grp])
+            for name, row in zip(asking.column("entity_id").to_pylist(), unit_rows(asking.column("vec"))):
+                ids, sims = part.nearest(name, row, probes, shared.value[1][grp], k)
+                who.append(np.full(len(ids), name, np.int64))
+                found.append(ids)
+                near.append(sims)
+        flat = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
+        whose = flat(who, pa.int64())
+        return pa.table({"query_id": whose, "grp": pa.array([grp] * len(whose), pa.string()), "cand_id": flat(found, pa.int64()), "sim": flat(near, pa.float64())})
+
+    by = ["grp", "part", "_q"]
+    hits = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(searched, "query_id long, grp string, cand_id long, sim double")
+    return ranked(hits, k)

@@ -756,3 +756,35 @@ def test_what_rounds_to_zero_keeps_its_sign_as_in_sql(spark, tmp_path):
     bits = lambda v: v and struct.pack(f"{len(v)}d", *v)
     assert {k: bits(v) for k, v in got.items()} == {k: bits(v) for k, v in want.items()}
     assert struct.pack("d", -0.0) in bits(got[0])
+
+
+def test_ivf_hands_on_k_rows_a_query_and_scores_as_defined(spark, monkeypatch):
+    """A list used to hand on up to 50 k candidates for each query, which grew with lists times queries."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 8))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    coarse = index.centres_of(x, 6, 5, 1)
+    lists = pivots.distances(x, coarse).argmin(axis=1)
+    pieces = np.array_split(x - coarse[lists], 4, axis=1)
+    words = [index.centres_of(p, 16, 3, 1) for p in pieces]
+    codes = np.stack([pivots.distances(p, w).argmin(axis=1) for p, w in zip(pieces, words)], axis=1).astype(np.uint8)
+    ids = rng.permutation(700) + 10
+    packed = pa.table({"ids": [ids.tobytes()], "lists": [lists.astype(np.int32).tobytes()], "codes": [codes.tobytes()], "rows": [x.tobytes()]})
+    for limit in (1 << 16, 1):  # a table for each piece, and for two at a time
+        part = index.Part(packed, coarse, words, limit)
+        for q in range(0, 700, 90):
+            away = pivots.distances(x[[q]], coarse)[0]
+            near = np.argsort(away)[:4]
+            guess = np.array([sum(((np.split(x[q] - coarse[lists[v]], 4)[p] - words[p][codes[v, p]]) ** 2).sum() for p in range(4)) if lists[v] in near and v != q else np.inf for v in range(700)])
+            best = sorted(np.flatnonzero(np.isfinite(guess)), key=lambda v: (round(guess[v], 12), ids[v]))[:40]
+            want = sorted(((round(float(x[v] @ x[q]), 6), int(ids[v])) for v in best), key=lambda r: (-r[0], r[1]))[:5]
+            got = part.nearest(int(ids[q]), x[q], 0.6, 40, 5)
+            assert got[0].tolist() == [v for _, v in want] and got[1].tolist() == pytest.approx([s for s, _ in want], abs=2e-6)
+    came, order = [], index.ranked
+    monkeypatch.setattr(index, "ranked", lambda hits, k: order(came.append(hits) or hits, k))
+    v = spark.createDataFrame([(i, "g", r) for i, r in enumerate(x.tolist())], "entity_id long, grp string, vec array<double>")
+    q = v.filter("entity_id % 20 = 0")
+    assert index.topk_ivf(q, v, 5, rerank=100, part_rows=400, query_rows=20).count() == 35 * 5 and came[0].count() == 35 * 5 * 2
