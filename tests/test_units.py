@@ -802,3 +802,17 @@ def test_lsh_pairs_come_once_whatever_the_blocks(spark):
     assert few == many and len(few) >= 0.9 * (np.triu(sims, 1) >= 0.8).sum() and all(a < b and s == pytest.approx(sims[a, b], abs=2e-6) and s >= 0.8 for (a, b), s in few.items())
     found = dedup.lsh_edges(v, 0.8, block=25)
     assert found.count() == len(few) and "dropDuplicates" not in found._jdf.queryExecution().toString() and "SortMergeJoin" not in found._jdf.queryExecution().toString()
+
+
+def test_gaps_over_classes_equal_gaps_over_pairs_of_copies(spark, tmp_path):
+    """Copies of parts used to meet pair by pair."""
+    part = T.read_table(spark, SF, "part").limit(60)
+    copies = part.crossJoin(spark.range(3)).withColumn("p_partkey", F.col("p_partkey") + F.col("id") * 1_001).drop("id")
+    copies.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    from kindred.plans import retrieval
+
+    rows, few = retrieval.planted_pairs(spark, str(tmp_path)), retrieval.planted_classes(spark, str(tmp_path))
+    assert few.agg(F.sum("_pairs")).first()[0] == rows.count() > 2 * few.count()
+    gaps = lambda x, times: dict(map(tuple, ranker.feature_gaps(x, retrieval.RANKER_FEATURES, times).collect()))
+    one, other = gaps(rows, None), gaps(few, "_pairs")
+    assert one.keys() == other.keys() and all(one[k] == pytest.approx(other[k], abs=1e-12) for k in one)
