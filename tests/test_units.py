@@ -816,3 +816,55 @@ def test_gaps_over_classes_equal_gaps_over_pairs_of_copies(spark, tmp_path):
     gaps = lambda x, times: dict(map(tuple, ranker.feature_gaps(x, retrieval.RANKER_FEATURES, times).collect()))
     one, other = gaps(rows, None), gaps(few, "_pairs")
     assert one.keys() == other.keys() and all(one[k] == pytest.approx(other[k], abs=1e-12) for k in one)
+
+
+def test_ranker_learns_from_counted_rows_what_it_learns_from_each(spark):
+    rows = planted_candidates(spark).select("query_id", "label", "good", "noise", "gap").withColumn("times", F.pmod(F.hash("query_id", "good"), F.lit(4)).cast("long") + 1)
+    each = rows.select("*", F.explode(F.sequence(F.lit(1), "times")))
+    features = ["good", "noise", "gap"]
+    few, auc_few = ranker.train_ranker(rows, features, "query_id", folds=2, times="times", maxIter=3, maxDepth=2)
+    all_, auc_all = ranker.train_ranker(each, features, "query_id", folds=2, maxIter=3, maxDepth=2)
+    assert abs(auc_few[0] - auc_all[0]) < 0.02
+    x, y = (dict(ranker.gains(m, features)) for m in (few, all_))
+    assert all(abs(x[f] - y[f]) < 0.05 for f in features)
+    scored = [ranker.fuse_learned(r, all_, features).withColumn("g", F.lit(0)) for r in (rows, each)]
+    a, b = ranker.log_loss(scored[0], times="times").first(), ranker.log_loss(scored[1]).first()
+    assert a.n == b.n and abs(a.log_loss - b.log_loss) < 1e-9
+    assert abs(ranker.area_under_curve(scored[0], times="times").first()[0] - ranker.area_under_curve(scored[1]).first()[0]) < 1e-9
+    a, b = ranker.inversion_check(scored[0], "times").first(), ranker.inversion_check(scored[1]).first()
+    assert abs(a.mean_pairs - b.mean_pairs) < 1e-9 and abs(a.mean_negatives - b.mean_negatives) < 1e-9 and a.ok == b.ok
+
+
+def copied_parts(spark, tmp_path, copies):
+    """Parts of the smallest tables, each ``copies`` times under other keys."""
+    part = T.read_table(spark, SF, "part").crossJoin(spark.range(copies))
+    part.withColumn("p_partkey", F.col("p_partkey") + F.col("id") * 10_000).drop("id").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    return str(tmp_path)
+
+
+def test_ranker_rows_do_not_grow_with_copies_and_stand_for_all_pairs(spark, tmp_path):
+    from kindred.plans import retrieval
+
+    d = copied_parts(spark, tmp_path, 3)
+    deal = ranker.fold_of(F.col("entity_id"), 2)
+    whole = retrieval.planted_pairs(spark, d).withColumn("_deal", F.pmod(F.xxhash64("query_id"), F.lit(2)))
+    by = ["label", *retrieval.RANKER_FEATURES, "_deal"]
+    few = retrieval.planted_counts(spark, d, deal, 2)
+    want = {tuple(r)[:-1]: r["count"] for r in whole.groupBy(*by).count().collect()}
+    assert {tuple(r)[:-1]: r["_pairs"] for r in few.collect()} == want and len(want) < whole.count() / 3
+    classes = retrieval.part_classes(spark, d)
+    members = pairs.class_members(retrieval.compared(spark, d), classes, "entity_id")
+    apart = pairs.member_pairs(retrieval.planted_classes(spark, d, classes).select("query_id", "cand_id", "label"), members, F.col("entity_id") % 20 == 0, "entity_id")
+    ids = lambda x: sorted(map(tuple, x.select("query_id", "cand_id", "label").collect()))
+    assert ids(apart) == ids(whole)
+
+
+def test_mined_rounds_take_as_many_negatives_from_copies_as_row_by_row(spark):
+    rows = planted_candidates(spark)
+    apart = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("_k")).withColumn("cand_id", F.col("cand_id") * 3 + F.col("_k")).drop("_k")
+    copies = rows.withColumns({"m": F.lit(1), "n": F.lit(3), "_held": ranker.held_out(F.col("query_id"))})
+    features = ["good", "noise", "gap"]
+    one = ranker.mined_rounds(apart, features, ratio=1, maxIter=3, maxDepth=2)[1].orderBy("round").collect()
+    two = ranker.mined_rounds(copies, features, ratio=1, copies=("m", "n"), maxIter=3, maxDepth=2)[1].orderBy("round").collect()
+    assert [(r.n_hard, r.n_random) for r in one] == [(r.n_hard, r.n_random) for r in two]
+    assert all(abs(x.auc - y.auc) < 0.05 for x, y in zip(one, two))
