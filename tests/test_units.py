@@ -868,3 +868,19 @@ def test_mined_rounds_take_as_many_negatives_from_copies_as_row_by_row(spark):
     two = ranker.mined_rounds(copies, features, ratio=1, copies=("m", "n"), maxIter=3, maxDepth=2)[1].orderBy("round").collect()
     assert [(r.n_hard, r.n_random) for r in one] == [(r.n_hard, r.n_random) for r in two]
     assert all(abs(x.auc - y.auc) < 0.05 for x, y in zip(one, two))
+
+
+def test_stepped_is_the_round_of_sql_and_best_signatures_are_those_of_all_pairs(spark, sf_dir):
+    import duckdb
+    from kindred.functions import similarity as S
+    from kindred.operators import gates
+    from kindred.plans.bindings import entities
+
+    x = [k / 3 for k in range(4)] + [0.0000005, 0.1234565, 0.9999995, 0.85345, 1e-9]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(S.stepped(F.col("x"), 6)).collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in x]
+    e = entities(spark, sf_dir)
+    b = e.select(F.col("entity_id").alias("o"), F.col("category").alias("c"), F.col("sig").alias("s"))
+    whole = e.join(b, (F.col("category") == F.col("c")) & (F.col("entity_id") != F.col("o"))).groupBy("entity_id").agg(F.max(S.signature_match(F.col("sig"), F.col("s"))))
+    best = gates.with_best(e, "category", "sig").select("entity_id", "_best").filter("_best is not null")
+    assert sorted(map(tuple, best.collect())) == sorted(map(tuple, whole.collect()))
