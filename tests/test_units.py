@@ -722,6 +722,12 @@ def test_pairs_within_blocks_are_whole_on_both_ways_and_none_is_shuffled(spark,
     assert [r[0] for r in one.select(S.mean_of_known(F.col("x"), F.col("y"))).collect()] == [1.0, 0.5, 0.0]
 
 
+def test_totals_of_pairs_count_blocks_and_no_entity_meets_another(spark, sf_dir):
+    plan = plans.QUERIES["pair_matrix"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join " in x]
+    assert len(joins) == 1 and "_block" in joins[0] and "query_id" not in joins[0]
+
+
 def test_further_meetings_hand_on_only_what_can_count(spark, monkeypatch):
     """A query's bound from its nearest blocks goes along to the others, which used to hand on k rows each."""
     import numpy as np
