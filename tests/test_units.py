@@ -748,6 +748,31 @@ def test_further_meetings_hand_on_only_what_can_count(spark, monkeypatch):
     assert key(got) == key(V.topk_by_group(q, v, 5))
 
 
+def test_tasks_of_a_search_do_not_grow_with_the_visits(spark, monkeypatch):
+    """Visits grow with queries times blocks; a fixed number of tasks sorted them all."""
+    import numpy as np
+
+    rows = np.random.default_rng(5).normal(size=(1200, 16)).tolist()  # without structure: no block is ruled out
+    v = spark.createDataFrame([(i, "g", x) for i, x in enumerate(rows)], "entity_id long, grp string, vec array<double>")
+    q, read, near = v.filter("entity_id % 2 = 0"), [], V._nearest
+
+    def watched(queries, vectors, *given):
+        out = near(queries, vectors, *given)
+        side = int(max(r[0] for r in queries.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*")).select("count(1)").collect()))
+        read.append((side, queries.count(), out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")))
+        return out
+
+    monkeypatch.setattr(V, "TASK_ROWS", 600, raising=False)
+    monkeypatch.setattr(V, "_nearest", watched)
+    key = lambda df: sorted(map(tuple, df.select("query_id", "grp", "rank", "cand_id", "sim").collect()))
+    got = V.topk_by_group(q, v, 5, block=50, query_block=50)
+    most, visits, exchanges = read[1]
+    assert visits > 12_000 and most < 1_500 and exchanges == 2  # dealt once, by the search itself
+    monkeypatch.setattr(V, "_nearest", near)
+    monkeypatch.setattr(V, "BOUNDED", 0, raising=False)  # query by query, as where bounds rule little out
+    assert key(got) == key(V.topk_by_group(q, v, 5))
+
+
 def test_what_rounds_to_zero_keeps_its_sign_as_in_sql(spark, tmp_path):
     import struct
 
