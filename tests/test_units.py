@@ -722,6 +722,35 @@ def test_pairs_within_blocks_are_whole_on_both_ways_and_none_is_shuffled(spark,
     assert [r[0] for r in one.select(S.mean_of_known(F.col("x"), F.col("y"))).collect()] == [1.0, 0.5, 0.0]
 
 
+def test_second_sides_are_not_copied_for_chunks_and_pairs_join_no_scores(spark):
+    """Beyond a broadcast every entity used to be copied for each chunk of those that ask, and each pair joined its scores."""
+    e = spark.createDataFrame([(i, f"c{i % 3}" if i % 7 else None, ["red", "blue", None][i % 3]) for i in range(60)], "entity_id long, category string, color string")
+    scores = pairs.value_scores(pairs.PairSpec(scalars={"color": {"red-blue": 0.3}}))
+    n, found = pairs.numbered_values(e, scores)
+    met = pairs.with_scores(pairs.block_pairs(n.filter("entity_id % 5 = 0"), n, "entity_id", ["category"], chunk=4, found=found), scores, found)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "explode(sequence" not in plan
+    arms = plan.split("Generate inline")
+    assert len(arms) == 4 and "Join" not in arms[0]  # three chunks of twelve that ask; above their pairs nothing is joined
+    want = pairs.sides(pairs.pair_matrix(e, "entity_id", "category").filter("query_id % 5 = 0"), e, "entity_id")
+    want = want.select("query_id", "cand_id", scores["color"][1](F.col("a_color"), F.col("b_color")))
+    assert sorted(map(tuple, met.select("query_id", "cand_id", "sim_color").collect()), key=str) == sorted(map(tuple, want.collect()), key=str) != []
+
+
+def test_fields_are_compared_by_values_or_by_words(spark, monkeypatch):
+    rows = [(i, "c", f, v) for i, x in enumerate(["red ring", "blue ring", None, "a b", "red"]) for f, v in (("name", x), ("form", "round" if i % 2 else None))]
+    p = spark.createDataFrame(rows[:-1], "entity_id long, category string, field string, value string")
+    out = {}
+    for most in (pairs.MOST_VALUE_PAIRS, 3):
+        monkeypatch.setattr(pairs, "MOST_VALUE_PAIRS", most)
+        x = retrieve.compare_features(p.filter("entity_id % 2 = 0"), p, "category")
+        plan = x._jdf.queryExecution().executedPlan().toString()
+        assert ("arrays_overlap" in plan) == (most == 3)
+        out[most] = sorted(map(tuple, x.collect()), key=str)
+    a, b = out.values()
+    assert a == b and (0, 1, "name", "red ring", "blue ring", True) in a and (0, 3, "name", "red ring", "a b", False) in a and (2, 4, "name", None, "red", False) in a
+
+
 def test_totals_of_pairs_count_blocks_and_no_entity_meets_another(spark, sf_dir):
     plan = plans.QUERIES["pair_matrix"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     joins = [x for x in plan.splitlines() if "Join " in x]
