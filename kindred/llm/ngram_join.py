@@ -254,12 +254,31 @@ def block_links(placed: DataFrame, percent: int) -> DataFrame:
     return placed.groupBy("task").applyInArrow(compare, "a long, b long")
 
 
+#: Rows with their places, about 200 bytes each in the driver, are broadcast up to so many.
+MOST_WIDE = 20_000
+
+
+def wanted_texts(mine: DataFrame, wanted: DataFrame, broadcast_ids: int) -> DataFrame:
+    """``mine(t, key)`` with the columns of ``wanted(key, ...)``.
+
+    What the driver holds for a broadcast is small: beyond ``MOST_WIDE`` rows only a hash of each key is broadcast, up to
+    ``broadcast_ids``, so that of the texts those that are wanted are shuffled to their rows, and beyond that nothing is.
+    """
+    rows = wanted.count()
+    if rows <= min(MOST_WIDE, broadcast_ids):
+        return mine.join(F.broadcast(wanted), "key")
+    if rows <= broadcast_ids:
+        hashes = wanted.select(F.xxhash64("key").alias("_hash")).distinct()
+        mine = mine.join(F.broadcast(hashes), F.xxhash64("key") == F.col("_hash"), "left_semi")
+    return mine.join(wanted.hint("shuffle_hash"), "key")
+
+
 def placed_sets(docs: DataFrame, id_col: str, text: str, n: int, piece_bytes: int, wanted: DataFrame, broadcast_ids: int) -> DataFrame:
     """``task, part, row, known, elements``: the whole sets of ``wanted(key, row, sid, sid2, known, places)``, a row for
-    each of their places (task, part).  Texts do not move: sets are made where the texts are read."""
+    each of their places (task, part).  Up to ``MOST_WIDE`` texts do not move: sets are made where the texts are read."""
     wanted = written(wanted, "wanted")
     mine = docs.select(docs[text].alias("t"), row_key(docs, id_col, text).alias("key"))
-    mine = mine.join(F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted, "key").select("row", "known", "sid", "sid2", "places", "t")
+    mine = wanted_texts(mine, wanted, broadcast_ids).select("row", "known", "sid", "sid2", "places", "t")
 
     @tidy
     def made(batches):

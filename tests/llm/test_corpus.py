@@ -589,3 +589,22 @@ def test_a_worker_drops_the_tables_of_earlier_kinds_of_task():
     common.worker_cache("kneser_ney")["table"] = 4
     assert held() == {"kneser_ney"}
     assert list(common.tidy(task)([5])) == [5] and held() == set()
+
+
+def test_many_wanted_rows_are_not_broadcast_with_their_places(spark, monkeypatch):
+    """Up to 500,000 rows with their places used to go through the driver; now a hash of each key does."""
+    from kindred.llm import ngram_join as J
+
+    docs = [(k, " ".join(f"w{k % 7}x{j}" for j in range(30)) + (" end" if k % 2 else "")) for k in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = sorted(map(tuple, J.jaccard_components(df, n=4, percent=85).collect()))
+    assert len({r[2] for r in want}) == 7
+    monkeypatch.setattr(J, "MOST_WIDE", 3)
+    mine = df.select(F.col("text").alias("t"), J.row_key(df, "doc_id", "text").alias("key"))
+    wanted = mine.filter("t like 'w1%'").select("key", F.lit(1).alias("places"))
+    met = J.wanted_texts(mine, wanted, 500_000)
+    wide = [x for x in met._jdf.queryExecution().executedPlan().toString().split("\n") if "ShuffledHashJoin" in x or "BroadcastHashJoin" in x]
+    assert len(wide) == 2 and "ShuffledHashJoin" in wide[0] and "LeftSemi" in wide[1]
+    assert met.count() == wanted.count() == mine.join(wanted, "key").count() > 3
+    assert sorted(map(tuple, J.jaccard_components(df, n=4, percent=85).collect())) == want
+    assert sorted(map(tuple, J.jaccard_components(df, n=4, percent=85, broadcast_ids=2).collect())) == want
