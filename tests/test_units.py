@@ -757,6 +757,22 @@ def test_totals_of_pairs_count_blocks_and_no_entity_meets_another(spark, sf_dir)
     assert len(joins) == 1 and "_block" in joins[0] and "query_id" not in joins[0]
 
 
+def test_all_pairs_of_a_block_arise_in_tiles(spark, monkeypatch):
+    """Blocks used to be counted, and no pair of entities was met."""
+    import numpy as np
+
+    n, ids = pairs.tile_totals((np.array([1, 2, 9]), np.array([1, 2, 1])), (np.array([1, 2, 3]), np.array([1, 2, 1])))
+    assert n.tolist() == [3, 4, 4] and ids.tolist() == [7, 8, 8]
+    with pytest.raises(OverflowError):
+        pairs.tile_totals((np.array([1]), np.array([1])), (np.array([2**62, 2]), np.array([1, 1])))
+    e = spark.createDataFrame([(i % 50 - 3, f"c{i % 3}" if i % 7 else None) for i in range(70)] + [(None, "c1")], "entity_id long, category string")
+    monkeypatch.setattr(pairs, "TILE", 4)
+    totals = pairs.pair_totals(e, "entity_id", "category")
+    assert "MapInArrow" in totals._jdf.queryExecution().executedPlan().toString()
+    want = pairs.pair_matrix(e, "entity_id", "category").groupBy("query_id").agg(F.count("*").alias("n"), F.sum("cand_id").alias("ids"))
+    assert sorted(map(tuple, totals.collect())) == sorted(map(tuple, want.collect())) != []
+
+
 def test_further_meetings_hand_on_only_what_can_count(spark, monkeypatch):
     """A query's bound from its nearest blocks goes along to the others, which used to hand on k rows each."""
     import numpy as np
