@@ -935,6 +935,39 @@ def test_ranker_rows_do_not_grow_with_copies_and_stand_for_all_pairs(spark, tmp_
     assert ids(apart) == ids(whole)
 
 
+def test_pairs_are_counted_by_numbers_of_their_scores_copies_and_null_values_too(spark, monkeypatch):
+    """Settings are tuned on every part, not on each twentieth; all its pairs are counted, and none is grouped as a row."""
+    from kindred.plans import retrieval
+
+    tuned = []
+    monkeypatch.setattr(pairs, "TILE", 7)
+    monkeypatch.setattr(pairs, "COUNTED", 20)
+    colors = ["red", "blue", None, "green"]
+    e = spark.createDataFrame([(i, f"c{i % 3}" if i % 7 else None, colors[i % 4], float(i % 5)) for i in range(120)], "entity_id long, category string, color string, size double")
+    classes = pairs.value_classes(e, "entity_id", F.lit(True), F.pmod(F.col("entity_id"), F.lit(2)), 2)
+    scores = {"color": {"x": lambda a, b: X.vocab_similarity(a, b, {"red-blue": 0.3})}, "size": {"y": lambda a, b: X.proximity(a, b, 3.0), "z": lambda a, b: a < b}}
+    got = pairs.counted_pairs(classes, "entity_id", "category", scores)
+    met = pairs.sides(pairs.pair_matrix(e, "entity_id", "category"), e, "entity_id")
+    want = met.select((F.col("query_id") % 2).alias("_deal"), *[f(F.col(f"a_{c}"), F.col(f"b_{c}")).alias(k) for c, of in scores.items() for k, f in of.items()]).groupBy("_deal", "x", "y", "z").count()
+    key = lambda df, n: sorted(map(tuple, df.select("_deal", "x", "y", "z", n).collect()), key=str)
+    assert key(got, "_pairs") == key(want, "count") != []
+    monkeypatch.setattr(pairs, "MOST_TABLE", 3)
+    assert pairs.counted_pairs(classes, "entity_id", "category", scores) is None
+    monkeypatch.undo()
+    monkeypatch.setattr(ranker, "folds_report", lambda rows, *given, **named: (tuned.append(rows), None))
+    retrieval.tune_ranker(spark, SF)
+    parts = retrieval.entities(spark, SF)
+    assert tuned[0].agg(F.sum("_pairs")).first()[0] == pairs.pair_matrix(parts, "entity_id", "category").count() > retrieval.planted_pairs(spark, SF).count()
+
+
+def test_trees_as_columns_give_the_scores_of_the_model(spark):
+    rows = [(float(k % 2), k % 7 / 7 if k % 5 else None, k % 11 / 11, 1 + k % 3) for k in range(200)]
+    df = spark.createDataFrame(rows, "label double, x double, y double, times long")
+    model = ranker.fitted(ranker.with_missing(df, ["x", "y"]), ["x", "y"], "times", maxIter=4, maxDepth=3)
+    both = [sorted(r[0] for r in f(df, model, ["x", "y"]).select("score").collect()) for f in (ranker.fuse_by_columns, ranker.fuse_learned)]
+    assert max(abs(a - b) for a, b in zip(*both)) < 1e-12 and len(set(both[0])) > 2
+
+
 def test_mined_rounds_take_as_many_negatives_from_copies_as_row_by_row(spark):
     rows = planted_candidates(spark)
     apart = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("_k")).withColumn("cand_id", F.col("cand_id") * 3 + F.col("_k")).drop("_k")
