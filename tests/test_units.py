@@ -960,6 +960,18 @@ def test_pairs_are_counted_by_numbers_of_their_scores_copies_and_null_values_too
     assert tuned[0].agg(F.sum("_pairs")).first()[0] == pairs.pair_matrix(parts, "entity_id", "category").count() > retrieval.planted_pairs(spark, SF).count()
 
 
+def test_sets_of_few_members_are_compared_by_bits(spark):
+    spec = pairs.PairSpec(sets=("few", "many"))
+    rows = [(i, [m for m in range(1, 13) if (i * m) % 3 == 1], [i, i + 1, 70 + i % 3]) for i in range(80)] + [(80, [], []), (81, None, None)]
+    e, masked = pairs.with_set_masks(spark.createDataFrame(rows, "entity_id long, few array<int>, many array<int>"), spec)
+    assert masked == ("few",)
+    ids = spark.createDataFrame([(a, b) for a in (0, 1, 2, 5, 80, 81) for b in (1, 2, 4, 79, 80, 81)], "query_id long, cand_id long")
+    met = pairs.sides(ids, e, "entity_id")
+    got = met.select("query_id", "cand_id", *pairs.numeric_scores(spec, masked=masked).values()).collect()
+    want = met.select("query_id", "cand_id", *pairs.numeric_scores(spec).values()).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str) and any(r[2] for r in got) and any(r[3] for r in got)
+
+
 def test_trees_as_columns_give_the_scores_of_the_model(spark):
     rows = [(float(k % 2), k % 7 / 7 if k % 5 else None, k % 11 / 11, 1 + k % 3) for k in range(200)]
     df = spark.createDataFrame(rows, "label double, x double, y double, times long")
